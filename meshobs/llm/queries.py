@@ -4,28 +4,52 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .best_fit_packing import best_fit_packing
+from .bpe_transducer import encode_and_decode
 from .exact_dedup import exact_dedup
+from .flow_reshard import reshard
+from .training_order import training_order
 from .url_filters import filter_urls
 
 JSON_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+SHARDS = 24
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(_table(spark, sf_dir, "documents"), JSON_VOCABULARY, key="training order, epoch 1")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As they lie, documents are sharded by their source, so the old sizes are far apart."""
+    by_source = F.pmod(F.crc32(F.coalesce(F.col("source").cast("string"), F.lit("")).cast("binary")), F.lit(SHARDS))
+    placed = reshard(_table(spark, sf_dir, "documents"), by_source, SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"), JSON_VOCABULARY)
 
 
+def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op6_exact_dedup, op8_best_fit_packing, op10_url_filters)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_training_order, op6_exact_dedup, op7_flow_reshard, op8_best_fit_packing, op9_bpe_transducer, op10_url_filters)
+}
