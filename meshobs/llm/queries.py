@@ -10,6 +10,8 @@ from .best_fit_packing import best_fit_packing
 from .bpe_transducer import encode_and_decode
 from .exact_dedup import exact_dedup
 from .flow_reshard import reshard
+from .mcd_quality import mcd_quality
+from .quote_linking import link_quotes
 from .training_order import training_order
 from .url_filters import filter_urls
 
@@ -26,6 +28,15 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order(_table(spark, sf_dir, "documents"), JSON_VOCABULARY, key="training order, epoch 1")
 
 
+def op3_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = mcd_quality(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -51,5 +62,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_training_order, op6_exact_dedup, op7_flow_reshard, op8_best_fit_packing, op9_bpe_transducer, op10_url_filters)
+    for f in (op1_training_order, op3_mcd_quality, op4_quote_linking, op6_exact_dedup, op7_flow_reshard, op8_best_fit_packing, op9_bpe_transducer, op10_url_filters)
 }
