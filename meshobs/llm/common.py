@@ -52,16 +52,16 @@ class Scratch:
         jvm.System.gc()
 
 
-def with_row_key(docs: DataFrame, columns: list[str], scratch: Scratch) -> DataFrame:
-    """``columns`` plus ``rk``, a long that names one row.
+def with_row_key(docs: DataFrame, columns: list[str], scratch: Scratch, whole: list[str] | None = None) -> DataFrame:
+    """``columns`` plus ``rk``, a long that names one row, and ``row``, a struct of the columns ``whole``.
 
     ``rk`` is ``doc_id`` where that is unique and never null.  Else a copy numbered row by row is
     written first, so that repeated rows and rows without an id still count one by one.
     """
-    docs = docs.select(*columns)
     ids = docs.agg(
         F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.countDistinct("doc_id").alias("ids")
     ).first()
+    docs = docs.select(*columns, *([F.struct(*(F.col(f"`{c}`") for c in whole)).alias("row")] if whole else []))
     if ids["n"] == ids["known"] == ids["ids"]:
         return docs.withColumn("rk", F.col("doc_id").cast("long"))
     return scratch.save(docs.withColumn("rk", F.monotonically_increasing_id()), "keyed")

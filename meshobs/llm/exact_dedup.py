@@ -143,6 +143,6 @@ def exact_dedup(docs: DataFrame, memtable_rows: int = 100_000, digest_bytes: int
 def survivors(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of the row that stays of each group of equal texts."""
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    keyed = with_row_key(docs, columns, scratch)
+    keyed = with_row_key(docs, ["doc_id", "text"], scratch, columns)
     stay = index_rows(keyed, scratch).filter("rk = keep_rk").select("rk")
-    return keyed.join(stay, "rk", "left_semi").select(*columns)
+    return keyed.join(stay, "rk", "left_semi").select("row.*")

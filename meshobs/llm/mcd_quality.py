@@ -171,6 +171,6 @@ def mcd_quality(docs: DataFrame, min_group: int = 200, z: float = 4.0) -> DataFr
 def accepted(docs: DataFrame, columns: list[str], min_group: int = 200, z: float = 4.0) -> DataFrame:
     """``columns`` of the rows that are kept."""
     scratch = Scratch(docs.sparkSession, "mcd-quality")
-    keyed = with_row_key(docs, columns, scratch)
+    keyed = with_row_key(docs, ["doc_id", "lang", "source", "text"], scratch, columns)
     stay = judge(keyed, ["rk"], scratch, min_group, z).filter("kept").select("rk")
-    return keyed.join(stay, "rk", "left_semi").select(*columns)
+    return keyed.join(stay, "rk", "left_semi").select("row.*")

@@ -11,6 +11,7 @@ from .bpe_transducer import encode_and_decode
 from .exact_dedup import exact_dedup
 from .flow_reshard import reshard
 from .mcd_quality import mcd_quality
+from .ngram_jaccard import ngram_jaccard
 from .quote_linking import link_quotes
 from .training_order import training_order
 from .url_filters import filter_urls
@@ -37,6 +38,10 @@ def op4_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotes(_table(spark, sf_dir, "conversations"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -62,5 +67,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_training_order, op3_mcd_quality, op4_quote_linking, op6_exact_dedup, op7_flow_reshard, op8_best_fit_packing, op9_bpe_transducer, op10_url_filters)
+    for f in (op1_training_order, op3_mcd_quality, op4_quote_linking, op5_ngram_jaccard, op6_exact_dedup, op7_flow_reshard, op8_best_fit_packing, op9_bpe_transducer, op10_url_filters)
 }
