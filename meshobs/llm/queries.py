@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .best_fit_packing import best_fit_packing
 from .bpe_transducer import encode_and_decode
+from .ctw_scoring import ctw_scores
 from .exact_dedup import exact_dedup
 from .flow_reshard import reshard
 from .mcd_quality import mcd_quality
@@ -29,6 +30,10 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order(_table(spark, sf_dir, "documents"), JSON_VOCABULARY, key="training order, epoch 1")
 
 
+def op2_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_scores(_table(spark, sf_dir, "documents"))
+
+
 def op3_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = mcd_quality(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -67,5 +72,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_training_order, op3_mcd_quality, op4_quote_linking, op5_ngram_jaccard, op6_exact_dedup, op7_flow_reshard, op8_best_fit_packing, op9_bpe_transducer, op10_url_filters)
+    for f in (op1_training_order, op2_ctw_scoring, op3_mcd_quality, op4_quote_linking, op5_ngram_jaccard, op6_exact_dedup, op7_flow_reshard, op8_best_fit_packing, op9_bpe_transducer, op10_url_filters)
 }
