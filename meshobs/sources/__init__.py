@@ -1,0 +1 @@
+"""Message sources, configured dimensions, and sinks."""
