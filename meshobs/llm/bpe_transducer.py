@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .bpe_ids import read_ranks
 
 #: Bounds of a worker's memory: states of the transducer and encoded pattern matches.
-MAX_STATES, MAX_MATCHES = 60_000, 250_000
+MAX_STATES, MAX_MATCHES = 60_000, 300_000
 #: Pending bytes beyond which the transducer looks for tokens that are certain.
 LOOKAHEAD = 16
 
@@ -225,16 +225,18 @@ class Codec:
             tokens[rank] = token
         self.decode = Decoder(tokens)
         self.names = [str(i).encode() for i in range(len(tokens))]
+        #: Encoded matches: those met since the last turn, and those of the turn before.
         self.matches: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
-        known, ids = self.matches, []
-        if len(known) > MAX_MATCHES:
-            known.clear()
+        if len(self.matches) > MAX_MATCHES:
+            self.older, self.matches = self.matches, {}
+        known, older, ids = self.matches, self.older, []
         for match in self.pattern.findall(text):
             found = known.get(match)
             if found is None:
-                found = known[match] = self.transducer.encode(match.encode())
+                found = known[match] = older.get(match) or self.transducer.encode(match.encode())
             ids += found
         return ids
 
