@@ -15,11 +15,11 @@ def rows(spark, *items):
 def test_envelopes(spark):
     df = rows(
         spark,
-        ("meshcore/YVR/aabb01/packets", '{"raw":"11 00 AB","timestamp":"2026-01-02T03:04:05.123456-07:00","len":"3","SNR":"-7.5","RSSI":-108}'),
-        ("meshcore/YVR/aabb01/packets", '{"raw":"","len":"0"}'),
-        ("meshcore/YVR/aabb01/status", '{"source":"org/bridge:1.1.0","origin":"roof","radio":"910.525,62.5,7,5","stats":{"uptime_secs":60,"battery_mv":4100,"noise_floor":-110}}'),
-        ("meshcore/YVR/aabb01/internal", "{}"), ("other/YVR/aabb01/packets", '{"raw":"11"}'), ("meshcore/YVR/packets", "{}"),
-        ("meshcore/YVR/aabb01/packets", "not json"), ("meshcore/YVR/aabb01/packets", '{"raw":"1g"}'), ("meshcore/YVR/zz/packets", '{"raw":"11"}'), ("meshcore/YVR/aabb01/packets", '{"raw":"","len":"5"}'),
+        (f"{messages.TOPIC_ROOT}/YVR/aabb01/packets", '{"raw":"11 00 AB","timestamp":"2026-01-02T03:04:05.123456-07:00","len":"3","SNR":"-7.5","RSSI":-108}'),
+        (f"{messages.TOPIC_ROOT}/YVR/aabb01/packets", '{"raw":"","len":"0"}'),
+        (f"{messages.TOPIC_ROOT}/YVR/aabb01/status", '{"source":"org/bridge:1.1.0","origin":"roof","radio":"910.525,62.5,7,5","stats":{"uptime_secs":60,"battery_mv":4100,"noise_floor":-110}}'),
+        (f"{messages.TOPIC_ROOT}/YVR/aabb01/internal", "{}"), ("other/YVR/aabb01/packets", '{"raw":"11"}'), (f"{messages.TOPIC_ROOT}/YVR/packets", "{}"),
+        (f"{messages.TOPIC_ROOT}/YVR/aabb01/packets", "not json"), (f"{messages.TOPIC_ROOT}/YVR/aabb01/packets", '{"raw":"1g"}'), (f"{messages.TOPIC_ROOT}/YVR/zz/packets", '{"raw":"11"}'), (f"{messages.TOPIC_ROOT}/YVR/aabb01/packets", '{"raw":"","len":"5"}'),
     )
     found = ingest.split_messages(df)
     packets = found["packets"].collect()
@@ -30,7 +30,7 @@ def test_envelopes(spark):
 
 
 def test_read_messages_stream_and_batch(spark, tmp_path):
-    rows(spark, ("meshcore/YVR/aa/packets", "{}")).write.json(str(tmp_path / "m"))
+    rows(spark, (f"{messages.TOPIC_ROOT}/YVR/aa/packets", "{}")).write.json(str(tmp_path / "m"))
     assert messages.read_messages(spark, str(tmp_path / "m")).count() == 1
     q = messages.read_messages(spark, str(tmp_path / "m"), streaming=True).writeStream.format("memory").queryName("read_messages").trigger(availableNow=True).start()
     q.awaitTermination()
