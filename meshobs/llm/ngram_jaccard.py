@@ -13,8 +13,8 @@ share stand at the end and hardly ever make candidates.
 
 Equal sets are one class and compared once.  A list is never expanded into all pairs: its members are first compared with one
 of them, links are joined into components, lists of one component are finished, and the others get a second centre.  Only pairs
-of a list that are still in different components are then compared one by one, less those that sizes
-or the triangle inequality of the Jaccard distance rule out.  So every link between documents of different components would be
+of a list that are still in different components are then compared one by one.  At each step pairs are left out that sizes, the
+element's place in either order, or the triangle inequality of the Jaccard distance rule out.  So every link between documents of different components would be
 found, and the components are exact up to collisions of 64-bit hashes.
 
 Nulls: documents without words, with a null text too, have an empty set, link with nothing and are their own component; a null
@@ -25,10 +25,12 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ WORDS = 5
 PERCENT = 75
 #: Words whose hash a worker keeps.
 CACHE = 200_000
+#: The count table has ``2 ** TABLE_BITS`` classes: a megabyte for the driver and each worker at any input size.
+TABLE_BITS = 17
 BOUNDARIES = (0, 4, 8, 16, 32, 64)
 _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
@@ -57,19 +61,43 @@ class _WordHashes(dict):
 _WORDS = _WordHashes()
 
 
-def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text; A-Z are lower-cased."""
-    found = (text or b"").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
-    span = min(words, len(found))
-    count = len(found) - span + 1
+def shingle_hashes(texts: list[bytes | None], words: int = WORDS) -> list[np.ndarray]:
+    """Hashes of the shingles of each text, in order and with repetitions; A-Z are lower-cased.
+
+    A shingle of hashed words is a polynomial in a fixed odd number; texts of fewer words are one shingle of another length.
+    """
+    found = [(t or b"").lower().split() for t in texts]
+    sizes = [len(f) for f in found]
+    flat = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(found)), np.uint64, sum(sizes))
+    rolled = np.zeros(max(0, len(flat) - words + 1), np.uint64)
     with np.errstate(over="ignore"):
-        out = hashes[:count] + np.uint64(span)
-        for k in range(1, span):
-            out = mix64(out * _MULTIPLIER) + hashes[k : k + count]
-    return np.unique(mix64(out))
+        for k in range(words):
+            rolled = rolled * _MULTIPLIER + flat[k : k + len(rolled)]
+        rolled = mix64(rolled)
+        out, at = [], 0
+        for n in sizes:
+            if n >= words:
+                out.append(rolled[at : at + n - words + 1])
+            elif n:
+                short = np.uint64(n)
+                for h in flat[at : at + n]:
+                    short = short * _MULTIPLIER + h
+                out.append(mix64(np.array([~short])))
+            else:
+                out.append(np.empty(0, np.uint64))
+            at += n
+    return out
+
+
+def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes([text], words)[0])
+
+
+def _slices(batch: pa.RecordBatch, size: int = 128) -> Iterator[list[bytes | None]]:
+    texts = _texts(batch)
+    for k in range(0, len(texts), size):
+        yield texts[k : k + size]
 
 
 def _overlap(n: int) -> int:
@@ -80,15 +108,15 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def count_table(docs: DataFrame, bits: int) -> np.ndarray:
-    """How many documents hold an element of each of ``2 ** bits`` hash classes, over all documents."""
+def count_table(docs: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
+    """How often an element of each of ``2 ** bits`` hash classes occurs, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            sets = [shingle_set(t) for t in _texts(batch)]
-            if sets:
-                own += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            for texts in _slices(batch):
+                hashes = np.concatenate(shingle_hashes(texts))
+                own += np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at])], ["i", "n"])
 
@@ -102,22 +130,24 @@ def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """``rk, doc_id, n, fp1, fp2, prefix, scan_cost`` of each document."""
     bits = int(len(counts)).bit_length() - 1
     usual = int(np.median(counts))
-    held = docs.sparkSession.sparkContext.broadcast(counts)
+    # The order's main key in 16 bits, which sort fast: how far a class is above half the usual count, in fine steps.
+    step = max(1, usual // 512)
+    held = docs.sparkSession.sparkContext.broadcast((counts, np.clip((counts - usual // 2) // step, 0, 65535).astype(np.uint16)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
+        table, ranks = held.value
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
         for batch in batches:
             out: list[tuple] = []
-            for text in _texts(batch):
-                items = shingle_set(text)
-                n = len(items)
-                load = table[(items >> np.uint64(64 - bits)).astype(np.int64)]
-                order = np.lexsort((items, load))[: max(0, n - _overlap(n) + 2)]
-                cost = int(np.maximum(1, load[order[: max(0, n - _overlap(n) + 1)]] - usual).sum())
-                digest = xxhash.xxh3_128_digest(items.tobytes())
-                out.append((n, *np.frombuffer(digest, np.int64).tolist(), items[order].tobytes(), cost))
+            for texts in _slices(batch):
+                for hashes in shingle_hashes(texts):
+                    items = np.unique(hashes)
+                    n, at = len(items), (items >> np.uint64(64 - bits)).astype(np.int64)
+                    order = np.argsort(ranks[at], kind="stable")[: max(0, n - _overlap(n) + 2)]
+                    cost = int(np.maximum(1, table[at[order[: max(0, n - _overlap(n) + 1)]]] - usual).sum())
+                    digest = xxhash.xxh3_128_digest(items.tobytes())
+                    out.append((n, *np.frombuffer(digest, np.int64).tolist(), items[order].tobytes(), cost))
             columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rk"), batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["rk", "doc_id", "n", "fp1", "fp2", "prefix", "scan_cost"]
             )
@@ -137,116 +167,137 @@ def choose_boundary(classes: DataFrame) -> int:
     return min(BOUNDARIES, key=lambda b: (row[str(b)] or 0, b))
 
 
-def keys(classes: DataFrame, boundary: int) -> DataFrame:
-    """``key, rep, n``: the inverted lists' elements and the subsets' hashes of each class."""
+def keys(classes: DataFrame, boundary: int, only: np.ndarray | None = None) -> DataFrame:
+    """``key, rep, n, pos``: the inverted lists' elements and the subsets' hashes of each class; those in the filter ``only``.
+
+    ``pos`` is the place of the element, or of the subset's first, in the class's order.
+    """
+    held = classes.sparkSession.sparkContext.broadcast(only)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps, sizes = batch.column("rep").to_numpy(), batch.column("n").to_numpy()
-            found = []
+            found, places = [], []
             for n, raw in zip(sizes.tolist(), batch.column("prefix").to_pylist(), strict=True):
-                items, own = np.frombuffer(raw, np.uint64), []
+                items, own, at = np.frombuffer(raw, np.uint64), [], []
                 if 100 * n >= PERCENT * (boundary + 1):
                     own.append(items[: n - _overlap(n) + 1])
+                    at.append(np.arange(len(own[0]), dtype=np.int32))
                 if n <= boundary:
                     i, j = np.triu_indices(len(items), 1)
                     a, b = np.minimum(items[i], items[j]), np.maximum(items[i], items[j])
                     with np.errstate(over="ignore"):
                         own.append(mix64(a * _MULTIPLIER) + b)
+                    at.append(i.astype(np.int32))
                 found.append(np.concatenate(own))
+                places.append(np.concatenate(at))
             if found:
+                if held.value is not None:
+                    fit = [bloom.maybe(held.value, x) for x in found]
+                    found, places = [x[f] for x, f in zip(found, fit, strict=True)], [x[f] for x, f in zip(places, fit, strict=True)]
                 times = [len(x) for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(reps, times)), pa.array(np.repeat(sizes, times))], ["key", "rep", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(reps, times)), pa.array(np.repeat(sizes, times)), pa.array(np.concatenate(places))], ["key", "rep", "n", "pos"])
 
-    return classes.filter("n >= 3").select("rep", "n", "prefix").mapInArrow(emit, "key long, rep long, n int")
+    return classes.filter("n >= 3").select("rep", "n", "prefix").mapInArrow(emit, "key long, rep long, n int, pos int")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """``rk, items`` of the documents in ``wanted`` (``rk``)."""
-    held = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.select("rk"), n_wanted))
+def texts_of(docs: DataFrame, rks: DataFrame) -> DataFrame:
+    """``rk, words`` of the documents in ``rks`` (``rk``, distinct) and a few others: their words, compressed."""
+    held = docs.sparkSession.sparkContext.broadcast(bloom.build(rks, rks.count()))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor().compress
         for batch in batches:
             at = np.flatnonzero(bloom.maybe(held.value, batch.column("rk").to_numpy().view(np.uint64)))
             some = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([some.column("rk"), pa.array([shingle_set(t).tobytes() for t in _texts(some)], pa.binary())], ["rk", "items"])
+            packed = [pack(b" ".join((t or b"").lower().split())) for t in _texts(some)]
+            yield pa.RecordBatch.from_arrays([some.column("rk"), pa.array(packed, pa.binary())], ["rk", "words"])
 
-    return docs.select("rk", "text").mapInArrow(load, "rk long, items binary").join(wanted.select("rk"), "rk", "left_semi")
+    return docs.select("rk", "text").mapInArrow(load, "rk long, words binary")
 
 
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``a, b, common, either`` of each pair: sizes of intersection and union.  Many ``b`` may share one ``a``."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, last, p = zstandard.ZstdDecompressor().decompress, None, None
         for batch in batches:
             common, either = [], []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "x", "y")), strict=True):
+                if a != last:
+                    last, p = a, shingle_set(unpack(x))
+                q = shingle_set(unpack(y))
                 common.append(len(p) + len(q) - len(np.union1d(p, q)))
                 either.append(len(p) + len(q) - common[-1])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int32()), pa.array(either, pa.int32())], ["a", "b", "common", "either"])
 
-    centres = sets.join(pairs.select(F.col("a").alias("rk")).distinct(), "rk", "left_semi")
-    loaded = pairs.join(sets.select(F.col("rk").alias("b"), F.col("items").alias("y")), "b")
-    loaded = loaded.join(centres.select(F.col("rk").alias("a"), F.col("items").alias("x")), "a")
-    return loaded.select("a", "b", "x", "y").mapInArrow(measure, "a long, b long, common int, either int")
+    ends = [pairs.select(F.col(c).alias("rk")).distinct() for c in ("a", "b")]
+    x, y = (texts_of(docs, e).select(F.col("rk").alias(c), F.col("words").alias(t)) for e, c, t in zip(ends, ("a", "b"), ("x", "y"), strict=True))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(measure, "a long, b long, common int, either int")
 
 
 _LINKED = f"100 * common >= {PERCENT} * either"
 
 
-def _fit(n: str, m: str) -> str:
-    return f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})"
+def _fit(p: str, q: str) -> str:
+    """Whether two members of a list can be similar: by their sizes, and by how much of each order is left from the element on."""
+    n, m, i, j = (f"{p}n", f"{q}n", f"{p}pos", f"{q}pos")
+    overlap = f"ceil({PERCENT} * ({n} + {m}) / {100 + PERCENT})"
+    return f"(100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m}) AND {n} - {i} >= {overlap} AND {m} - {j} >= {overlap})"
 
 
-def _centred(lists: DataFrame, salt: int) -> DataFrame:
-    """``lists`` with one member of each as ``centre``; the same member of different lists where it can be."""
-    best = F.min(F.struct(F.xxhash64("rep", F.lit(salt)).alias("h"), "rep", "n")).alias("best")
-    heads = lists.groupBy("key").agg(best, F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return lists.join(heads.select("key", F.col("best.rep").alias("centre"), F.col("best.n").alias("centre_n")), "key")
+def _lists(classes: DataFrame, boundary: int, scratch: Scratch) -> DataFrame:
+    """``key, rep, n, pos`` and ``centre``, ``centre_n``, ``centre_pos``: the lists of several members, with the smallest as ``centre``.
+
+    Most keys are alone; a first pass counts keys, and a filter of the others spares the rows of lonely ones the second shuffle.
+    """
+    several = keys(classes, boundary).groupBy("key").count().filter("count > 1").select("key")
+    several = scratch.save(several, "several")
+    members = keys(classes, boundary, bloom.build(several, several.count())).join(several, "key", "left_semi")
+    members = scratch.save(members, "members")
+    scratch.drop()
+    heads = members.groupBy("key").agg(F.min(F.struct("rep", "n", "pos")).alias("best"), F.max("rep").alias("most")).filter("best.rep <> most")
+    return scratch.save(members.join(heads.select("key", F.col("best.rep").alias("centre"), F.col("best.n").alias("centre_n"), F.col("best.pos").alias("centre_pos")), "key"), "lists")
 
 
 def _classes_and_links(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signatures, classes, and ``rep, label`` of the classes that links join."""
-    volume = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(24, max(14, (volume // 6 // 256).bit_length()))
-    signed = scratch.save(signatures(keyed, count_table(keyed, bits)), "signed", compression="zstd")
+    """Size and fingerprint of each row, classes, and ``rep, label`` of the classes that links join."""
+    signed = scratch.save(signatures(keyed, count_table(keyed)), "signed", compression="zstd")
     one = signed.groupBy("fp1", "fp2").agg(F.min("rk").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("scan_cost").alias("scan_cost"))
-    classes = scratch.save(one, "classes", compression="zstd")
-    rows = keys(classes, choose_boundary(classes))
-    lists = scratch.save(_centred(rows, 0), "lists")
-    scratch.drop()
-    wanted = scratch.save(lists.select(F.col("rep").alias("rk")).distinct(), "wanted")
-    n_wanted = wanted.count()
-    if not n_wanted:
-        return signed, classes, lists.select("rep", F.col("rep").alias("label"))
-    sets = scratch.save(sets_of(keyed, wanted, n_wanted), "sets")
-    scratch.drop()
+    full = scratch.save(one, "classes", compression="zstd")
+    rows = scratch.save(signed.select("rk", "doc_id", "n", "fp1", "fp2"), "rows")
+    classes = scratch.save(full.select("fp1", "fp2", "rep"), "reps")
+    scratch.drop("signed")
+    lists = _lists(full, choose_boundary(full), scratch)
+    scratch.drop("classes", "several", "members")
+
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.save(pairs, f"pairs-{name}")
+        return scratch.save(compare(pairs, keyed), f"checked-{name}")
 
     # First round: every member against its list's centre.
-    pairs = lists.filter(f"rep <> centre AND {_fit('n', 'centre_n')}").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    checked = scratch.save(compare(pairs, sets), "checked-1")
+    pairs = lists.filter(f"rep <> centre AND {_fit('', 'centre_')}").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    checked = check(pairs, "1")
     labels = connect(checked.filter(_LINKED).select("a", "b"), scratch, "round-1")
     near = lists.join(checked.select(F.col("a").alias("centre"), F.col("b").alias("rep"), (1 - F.col("common") / F.col("either")).alias("far")), ["centre", "rep"], "left")
-    near = near.withColumn("far", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.col("far"))).select("key", "rep", "n", F.col("centre").alias("first"), "far")
+    near = near.withColumn("far", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.col("far"))).select("key", "rep", "n", "pos", "far")
     lists = scratch.save(_open_lists(near, labels), "lists-2")
     scratch.drop("lists")
 
     # Second round: another centre for the lists of several components.
-    pairs = _unchecked(_second(lists), checked)
-    checked = checked.unionByName(scratch.save(compare(pairs, sets), "checked-2"))
+    checked = checked.unionByName(check(_unchecked(_second(lists), checked), "2"))
     labels = connect(checked.filter(_LINKED).select("a", "b"), scratch, "round-2")
     lists = scratch.save(_open_lists(lists.drop("label"), labels), "lists-3")
     scratch.drop("lists-2")
 
     # Last: what is left of each list, between components.
     left, right = lists.alias("l"), lists.alias("r")
-    apart = F.expr(f"l.label < r.label AND {_fit('l.n', 'r.n')} AND (l.far IS NULL OR r.far IS NULL OR abs(l.far - r.far) <= {1 - PERCENT / 100 + 1e-9})")
+    apart = F.expr(f"l.label < r.label AND {_fit('l.', 'r.')} AND (l.far IS NULL OR r.far IS NULL OR abs(l.far - r.far) <= {1 - PERCENT / 100 + 1e-9})")
     pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & apart).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
-    checked = checked.unionByName(scratch.save(compare(_unchecked(pairs, checked), sets), "checked-3"))
+    checked = checked.unionByName(check(_unchecked(pairs, checked), "3"))
     labels = connect(checked.filter(_LINKED).select("a", "b"), scratch, "round-3")
-    scratch.drop("lists-3", "sets")
-    return signed, classes, labels
+    scratch.drop("lists-3")
+    return rows, classes, labels
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -257,9 +308,9 @@ def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _second(lists: DataFrame) -> DataFrame:
-    best = F.min(F.struct(F.xxhash64("rep", F.lit(1)).alias("h"), "rep", "n", "label")).alias("best")
+    best = F.min(F.struct(F.xxhash64("rep", F.lit(1)).alias("h"), "rep", "n", "pos", "label")).alias("best")
     heads = lists.groupBy("key").agg(best)
-    pairs = lists.join(heads, "key").filter(f"label <> best.label AND {_fit('n', 'best.n')}")
+    pairs = lists.join(heads, "key").filter(f"label <> best.label AND {_fit('', 'best.')}")
     return pairs.select(F.col("best.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
@@ -271,8 +322,8 @@ def _unchecked(pairs: DataFrame, checked: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame, scratch: Scratch, whole: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows with ``rk``; and ``rk, doc_id, n, label``, the label being the smallest ``rk`` of the component."""
     keyed = with_row_key(docs, ["doc_id", "text"], scratch, whole)
-    signed, classes, labels = _classes_and_links(keyed, scratch)
-    named = signed.select("rk", "doc_id", "n", "fp1", "fp2").join(classes.select("fp1", "fp2", "rep"), ["fp1", "fp2"]).join(labels, "rep", "left")
+    rows, classes, labels = _classes_and_links(keyed, scratch)
+    named = rows.join(classes, ["fp1", "fp2"]).join(labels, "rep", "left")
     label = F.when(F.col("n") == 0, F.col("rk")).otherwise(F.coalesce("label", "rep"))
     return keyed, named.select("rk", "doc_id", "n", label.alias("label"))
 
