@@ -6,8 +6,11 @@ least cost says how many bytes each old shard sends to each new one.  Documents
 is cut by a hash into blocks of about equal size, of which there are ``MAX_BLOCKS`` at most in all, so the block table that
 the driver sees has a fixed bound.  Blocks are chosen to fill each flow; only files of shards that gain or lose are rewritten.
 
-Nulls: a null text counts no bytes, so the row's size is 8.  Null and repeated ``doc_id`` are placed row by row.
-Equal texts need not share a shard.  Other columns are ignored; an empty table gives an empty result.
+A row is named by ``row_key``, a digest of all its columns.  Rows of one key are alike in every column, so they lie in one
+block and go to one shard, and any of them may take any of their slots.
+
+Nulls: a null text counts no bytes, so the row's size is 8.  Null and repeated ``doc_id`` are placed and rewritten row by row.
+Equal texts need not share a shard.  Other columns only enter ``row_key``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,8 +102,15 @@ def choose_blocks(blocks: list[tuple[int, int, int, int]], n_shards: int) -> dic
     return placed
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A digest of all columns: equal for two rows if and only if they are alike in each."""
+    whole = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)))
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return F.unhex(F.sha2(F.to_json(whole, exact), 256))
+
+
 def reshard(docs: DataFrame, old_shard: Column, n_shards: int, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """``doc_id, size, text_crc32, old_shard, shard, slot`` of every row.
+    """``doc_id, size, text_crc32, old_shard, shard, slot, row_key`` of every row.
 
     ``old_shard`` is a non-negative integer column over the columns of ``docs``, with few distinct values.
     """
@@ -111,6 +121,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_shards: int, max_blocks: int =
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         old_shard.cast("int").alias("old_shard"),
+        row_key(docs).alias("row_key"),
     )
     rows = Scratch(spark, "flow-reshard").save(rows, "rows")
     sizes = {r["old_shard"]: r["n"] for r in rows.groupBy("old_shard").agg(F.sum("size").alias("n")).collect()}
@@ -126,18 +137,32 @@ def reshard(docs: DataFrame, old_shard: Column, n_shards: int, max_blocks: int =
         plan.append((s, b, j, used[j]))
         used[j] += n
     to = F.broadcast(spark.createDataFrame(plan, "old_shard int, block long, shard int, base long"))
-    rank = F.row_number().over(Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size")) - 1
+    rank = F.row_number().over(Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size", "row_key")) - 1
     dealt = in_block.withColumn("rank", rank).join(to, ["old_shard", "block"])
-    return dealt.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("rank")).alias("slot"))
+    return dealt.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("rank")).alias("slot"), "row_key")
 
 
 def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """Write the new shards that differ from the old ones below ``path`` as ``shard=N``, and leave the others.
 
-    ``docs`` has one row per ``doc_id``; returns the numbers of the shards written.
+    ``placed`` is what ``reshard`` gave for ``docs``.  A shard that gave up all its rows loses its folder.  A ``shard`` or ``slot`` that
+    ``docs`` has from its old place is replaced.  Returns the numbers of the shards that changed.
     """
+    spark = docs.sparkSession
     moved = placed.filter(F.col("old_shard") != F.col("shard")).select(F.explode(F.array("old_shard", "shard")).alias("shard"))
     affected = sorted(r["shard"] for r in moved.distinct().collect())  # a row per shard
-    rows = docs.join(placed.filter(F.col("shard").isin(affected)).select("doc_id", "shard", "slot"), "doc_id")
+    copy = F.row_number().over(Window.partitionBy("_key").orderBy("_order"))
+    to = placed.filter(F.col("shard").isin(affected)).select(F.col("row_key").alias("_key"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    filled = {r["_shard"] for r in to.select("_shard").distinct().collect()}  # a row per shard
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(*kept, row_key(docs).alias("_key")).join(to.select("_key").distinct(), "_key", "left_semi")
+    rows = rows.withColumn("_order", F.lit(0)).withColumn("_copy", copy).drop("_order")  # rows of one key are alike: any order will do
+    to = to.withColumn("_order", F.col("_slot")).withColumn("_copy", copy).drop("_order")
+    rows = rows.join(to, ["_key", "_copy"]).select(*kept, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
     rows.repartition("shard", F.floor(F.col("slot") / 100_000)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for shard in affected:
+        if shard not in filled:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+            old.getFileSystem(conf).delete(old, True)
     return affected

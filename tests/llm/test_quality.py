@@ -297,3 +297,19 @@ def test_reshard_evens_out_and_rewrites(spark, tmp_path):
     path = str(tmp_path / "shards")
     written = flow.rewrite_affected(docs, placed, path)
     assert spark.read.parquet(path).filter(F.col("shard").isin(written)).count() == sum(1 for r in placed.collect() if r.shard in written)
+
+
+@pytest.mark.parametrize("n_shards", [5, 1, 30])
+def test_rewrite_keeps_every_row_once(spark, tmp_path, n_shards):
+    more = [(None, f"no id {k % 7}", "en", "abcdefgh"[k % 8], k % 9) for k in range(60)] + [(k % 5, f"text {k % 11}", "de", "abcdefgh"[k % 3], k % 4) for k in range(60)]
+    docs = frame(spark, REPEATED + more)
+    old = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(24))
+    path = str(tmp_path / "shards")
+    docs.withColumn("shard", old.cast("int")).withColumn("slot", F.lit(0).cast("long")).write.partitionBy("shard").parquet(path)
+    placed = flow.reshard(docs, old, n_shards)
+    flow.rewrite_affected(docs, placed, path)
+    got = spark.read.parquet(path)
+    of = lambda df: Counter(tuple(r) for r in df.select(docs.columns).collect())
+    assert of(got) == of(docs)
+    assert Counter((r.doc_id, r.shard) for r in got.collect()) == Counter((r.doc_id, r.shard) for r in placed.collect())
+    assert {r.shard for r in got.collect()} <= set(range(n_shards))
