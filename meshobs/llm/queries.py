@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .best_fit_packing import best_fit_packing
 from .bpe_transducer import encode_and_decode
-from .ctw_scoring import ctw_scores
+from .ctw_stream import stream_scores
 from .exact_dedup import exact_dedup
 from .flow_reshard import reshard
 from .mcd_quality import mcd_quality
@@ -31,7 +31,7 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw_scores(_table(spark, sf_dir, "documents"))
+    return stream_scores(_table(spark, sf_dir, "documents"))
 
 
 def op3_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
