@@ -14,7 +14,8 @@ share stand at the end and hardly ever make candidates.
 Equal sets are one class and compared once.  A list is never expanded into all pairs: its members are first compared with one
 of them, links are joined into components, lists of one component are finished, and the others get a second centre.  Only pairs
 of a list that are still in different components are then compared one by one.  At each step pairs are left out that sizes, the
-element's place in either order, or the triangle inequality of the Jaccard distance rule out.  So every link between documents of different components would be
+element's place in either order, or the triangle inequality of the Jaccard distance rule out.  Of the others, sketches of the prefixes bound how much two sets can share, and
+texts are read only where that allows a link.  So every link between documents of different components would be
 found, and the components are exact up to collisions of 64-bit hashes.
 
 Nulls: documents without words, with a null text too, have an empty set, link with nothing and are their own component; a null
@@ -25,7 +26,6 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,46 +36,65 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .bloom import mix64
-from .common import Scratch, with_row_key
+from .common import BLANKS, Scratch, with_row_key
 from .components import connect
 
 WORDS = 5
 #: Similarity of at least 75 in 100.
 PERCENT = 75
-#: Words whose hash a worker keeps.
-CACHE = 200_000
+#: Prefixes from so many elements on have four bytes an element in their sketch, others two.
+WIDE = 4096
 #: The count table has ``2 ** TABLE_BITS`` classes: a megabyte for the driver and each worker at any input size.
 TABLE_BITS = 17
 BOUNDARIES = (0, 4, 8, 16, 32, 64)
 _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+#: Bytes of text hashed together.
+SLICE = 1 << 20
+_BLANK = np.zeros(256, bool)
+_BLANK[list(BLANKS)] = True
+#: The first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-_WORDS = _WordHashes()
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the texts in order, A-Z lower-cased; and how many words each text has.
+
+    Words are read eight bytes at a time, the first eight of all, then the next eight of those that are longer, and so on.
+    """
+    joined = b" ".join([(t or b"").lower() for t in texts])
+    data = np.frombuffer(joined + b" " * 8, np.uint8)
+    blank = _BLANK[data[: len(joined) + 1]]
+    turns = np.flatnonzero(np.diff(blank, prepend=True))
+    starts, stops = turns[::2], turns[1::2]
+    eight = np.ndarray((len(joined) + 1,), "<u8", data, strides=(1,))
+    left = stops - starts
+    out = mix64(mix64(eight[starts] & _FIRST[np.minimum(left, 8)]) + left.astype(np.uint64))
+    at = np.flatnonzero(left > 8)
+    done = 8
+    while len(at):
+        out[at] = mix64(out[at] * _MULTIPLIER + (eight[starts[at] + done] & _FIRST[np.minimum(left[at] - done, 8)]))
+        done += 8
+        at = at[left[at] > done]
+    ends = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts)))
+    return out, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 def shingle_hashes(texts: list[bytes | None], words: int = WORDS) -> list[np.ndarray]:
-    """Hashes of the shingles of each text, in order and with repetitions; A-Z are lower-cased.
+    """Hashes of the shingles of each text, in order and with repetitions.
 
     A shingle of hashed words is a polynomial in a fixed odd number; texts of fewer words are one shingle of another length.
     """
-    found = [(t or b"").lower().split() for t in texts]
-    sizes = [len(f) for f in found]
-    flat = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(found)), np.uint64, sum(sizes))
+    flat, sizes = word_hashes(texts)
     rolled = np.zeros(max(0, len(flat) - words + 1), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(words):
-            rolled = rolled * _MULTIPLIER + flat[k : k + len(rolled)]
+            rolled *= _MULTIPLIER
+            rolled += flat[k : k + len(rolled)]
         rolled = mix64(rolled)
         out, at = [], 0
-        for n in sizes:
+        for n in sizes.tolist():
             if n >= words:
                 out.append(rolled[at : at + n - words + 1])
             elif n:
@@ -89,15 +108,27 @@ def shingle_hashes(texts: list[bytes | None], words: int = WORDS) -> list[np.nda
     return out
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """In order."""
+    items = np.sort(hashes)
+    return items[np.concatenate(([True], items[1:] != items[:-1]))] if len(items) else items
+
+
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    return np.unique(shingle_hashes([text], words)[0])
+    return _distinct(shingle_hashes([text], words)[0])
 
 
-def _slices(batch: pa.RecordBatch, size: int = 128) -> Iterator[list[bytes | None]]:
-    texts = _texts(batch)
-    for k in range(0, len(texts), size):
-        yield texts[k : k + size]
+def _slices(batch: pa.RecordBatch) -> Iterator[list[bytes | None]]:
+    own, size = [], 0
+    for text in _texts(batch):
+        own.append(text)
+        size += len(text or b"")
+        if size >= SLICE:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
 
 
 def _overlap(n: int) -> int:
@@ -127,26 +158,33 @@ def count_table(docs: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``rk, doc_id, n, fp1, fp2, prefix, scan_cost`` of each document."""
+    """``rk, doc_id, n, fp1, fp2, prefix, scan_cost`` of each document.
+
+    An element in ``prefix`` is the rank of its class above 48 bits of its hash, so numbers compare as the order goes.
+    """
     bits = int(len(counts)).bit_length() - 1
     usual = int(np.median(counts))
-    # The order's main key in 16 bits, which sort fast: how far a class is above half the usual count, in fine steps.
+    # The order's main key in 16 bits: how far a class is above half the usual count, in fine steps.
     step = max(1, usual // 512)
-    held = docs.sparkSession.sparkContext.broadcast((counts, np.clip((counts - usual // 2) // step, 0, 65535).astype(np.uint16)))
+    held = docs.sparkSession.sparkContext.broadcast(np.clip((counts - usual // 2) // step, 0, 65535).astype(np.uint64) << np.uint64(48))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, ranks = held.value
+        ranks, top = held.value, np.uint64(64 - bits)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
         for batch in batches:
             out: list[tuple] = []
             for texts in _slices(batch):
                 for hashes in shingle_hashes(texts):
-                    items = np.unique(hashes)
-                    n, at = len(items), (items >> np.uint64(64 - bits)).astype(np.int64)
-                    order = np.argsort(ranks[at], kind="stable")[: max(0, n - _overlap(n) + 2)]
-                    cost = int(np.maximum(1, table[at[order[: max(0, n - _overlap(n) + 1)]]] - usual).sum())
+                    items = _distinct(hashes)
+                    n = len(items)
+                    keep = max(0, n - _overlap(n) + 2)
+                    order = ranks[(items >> top).view(np.int64)] | items >> np.uint64(16)
+                    if keep < n:
+                        order.partition(keep - 1)
+                    order = np.sort(order[:keep])
+                    above = (order[: keep - 1] >> np.uint64(48)).view(np.int64) * step + (usual // 2 - usual)
                     digest = xxhash.xxh3_128_digest(items.tobytes())
-                    out.append((n, *np.frombuffer(digest, np.int64).tolist(), items[order].tobytes(), cost))
+                    out.append((n, *np.frombuffer(digest, np.int64).tolist(), order.tobytes(), int(np.maximum(1, above).sum())))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rk"), batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["rk", "doc_id", "n", "fp1", "fp2", "prefix", "scan_cost"]
@@ -216,27 +254,81 @@ def texts_of(docs: DataFrame, rks: DataFrame) -> DataFrame:
     return docs.select("rk", "text").mapInArrow(load, "rk long, words binary")
 
 
-def compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``a, b, common, either`` of each pair: sizes of intersection and union.  Many ``b`` may share one ``a``."""
+def sketches(classes: DataFrame) -> DataFrame:
+    """``rep, n, last, sketch``: two or four bytes of each element of a class's prefix, and the prefix's last element."""
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, out = [], []
+            for raw in batch.column("prefix").to_pylist():
+                items = np.frombuffer(raw, np.uint64)
+                last.append((items[-1] ^ np.uint64(1 << 63)).view(np.int64))  # in the same order as a signed number
+                out.append(items.astype("<u2" if len(items) < WIDE else "<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array(last, pa.int64()), pa.array(out, pa.binary())], ["rep", "n", "last", "sketch"])
+
+    return classes.filter("n > 0").select("rep", "n", "prefix").mapInArrow(shorten, "rep long, n int, last long, sketch binary")
+
+
+def most_common(n: int, last: int, p: np.ndarray, m: int, end: int, q: np.ndarray) -> int:
+    """At most so many elements do two sets have in common, given their sizes and their prefixes' last elements and sketches.
+
+    The prefix that ends first in the order is held against all that the other set has up to there.  Its elements that the other's sketch lacks
+    are not in the other set.  Elements of one sketch value only make the bound larger.
+    """
+    if p.itemsize != q.itemsize:
+        p, q = p.astype(np.uint16), q.astype(np.uint16)
+    if last > end:
+        n, p, m, q = m, q, n, p
+    return min(n - len(p) + int(np.isin(p, q).sum()), m)
+
+
+def bounded(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """``a, b, most, n, m`` of each pair: at most how many elements are common, and the sizes of both."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n").to_pylist(), batch.column("m").to_pylist()
+            found = []
+            for i, j, last, end, x, y in zip(n, m, *(batch.column(c).to_pylist() for c in ("last", "end", "x", "y")), strict=True):
+                p, q = (np.frombuffer(s, "<u2" if size - _overlap(size) + 2 < WIDE else "<u4") for s, size in ((x, i), (y, j)))
+                found.append(most_common(i, last, p, j, end, q))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.int32()), batch.column("n"), batch.column("m")], ["a", "b", "most", "n", "m"])
+
+    x = sketched.select(F.col("rep").alias("a"), "n", "last", F.col("sketch").alias("x"))
+    y = sketched.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("last").alias("end"), F.col("sketch").alias("y"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "n", "m", "last", "end", "x", "y").mapInArrow(bound, "a long, b long, most int, n int, m int")
+
+
+def compare(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``a, b, linked, low, high`` of each pair: whether they link, and bounds of their Jaccard distance.
+
+    Pairs whose sketches allow no link have no text read; the others' whole texts are compared.
+    """
+    found = scratch.save(bounded(pairs, sketched), f"bounded-{name}")
+    possible = F.col("most") >= F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT))
+    apart = found.filter(~possible).select("a", "b", F.lit(False).alias("linked"), (1 - F.col("most") / (F.col("n") + F.col("m") - F.col("most"))).alias("low"), F.lit(1.0).alias("high"))
+    close = found.filter(possible).select("a", "b")
+    texts = scratch.save(texts_of(docs, close.select(F.explode(F.array("a", "b")).alias("rk")).distinct()), f"texts-{name}")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, last, p = zstandard.ZstdDecompressor().decompress, None, None
         for batch in batches:
-            common, either = [], []
+            linked, far = [], []
             for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "x", "y")), strict=True):
                 if a != last:
                     last, p = a, shingle_set(unpack(x))
                 q = shingle_set(unpack(y))
-                common.append(len(p) + len(q) - len(np.union1d(p, q)))
-                either.append(len(p) + len(q) - common[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int32()), pa.array(either, pa.int32())], ["a", "b", "common", "either"])
-
-    ends = [pairs.select(F.col(c).alias("rk")).distinct() for c in ("a", "b")]
-    x, y = (texts_of(docs, e).select(F.col("rk").alias(c), F.col("words").alias(t)) for e, c, t in zip(ends, ("a", "b"), ("x", "y"), strict=True))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(measure, "a long, b long, common int, either int")
-
-
-_LINKED = f"100 * common >= {PERCENT} * either"
+                both = np.sort(np.concatenate((p, q)))
+                common = int((both[1:] == both[:-1]).sum())
+                linked.append(100 * common >= PERCENT * (len(both) - common))
+                far.append(1 - common / (len(both) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(far, pa.float64()), pa.array(far, pa.float64())], ["a", "b", "linked", "low", "high"])
+
+    x, y = (texts.select(F.col("rk").alias(c), F.col("words").alias(t)) for c, t in (("a", "x"), ("b", "y")))
+    measured = close.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(measure, "a long, b long, linked boolean, low double, high double")
+    out = scratch.save(apart.unionByName(measured), f"checked-{name}")
+    scratch.drop(f"bounded-{name}", f"texts-{name}")
+    return out
 
 
 def _fit(p: str, q: str) -> str:
@@ -257,7 +349,8 @@ def _lists(classes: DataFrame, boundary: int, scratch: Scratch) -> DataFrame:
     members = scratch.save(members, "members")
     scratch.drop()
     heads = members.groupBy("key").agg(F.min(F.struct("rep", "n", "pos")).alias("best"), F.max("rep").alias("most")).filter("best.rep <> most")
-    return scratch.save(members.join(heads.select("key", F.col("best.rep").alias("centre"), F.col("best.n").alias("centre_n"), F.col("best.pos").alias("centre_pos")), "key"), "lists")
+    heads = scratch.save(heads.select("key", F.col("best.rep").alias("centre"), F.col("best.n").alias("centre_n"), F.col("best.pos").alias("centre_pos")), "heads")
+    return scratch.save(members.join(heads, "key"), "lists")
 
 
 def _classes_and_links(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -269,47 +362,51 @@ def _classes_and_links(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, D
     classes = scratch.save(full.select("fp1", "fp2", "rep"), "reps")
     scratch.drop("signed")
     lists = _lists(full, choose_boundary(full), scratch)
-    scratch.drop("classes", "several", "members")
+    sketched = scratch.save(sketches(full.join(lists.select("rep").distinct(), "rep", "left_semi")), "sketches")
+    scratch.drop("classes", "several", "members", "heads")
 
     def check(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.save(pairs, f"pairs-{name}")
-        return scratch.save(compare(pairs, keyed), f"checked-{name}")
+        return compare(scratch.save(pairs, f"pairs-{name}"), keyed, sketched, scratch, name)
 
     # First round: every member against its list's centre.
     pairs = lists.filter(f"rep <> centre AND {_fit('', 'centre_')}").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     checked = check(pairs, "1")
-    labels = connect(checked.filter(_LINKED).select("a", "b"), scratch, "round-1")
-    near = lists.join(checked.select(F.col("a").alias("centre"), F.col("b").alias("rep"), (1 - F.col("common") / F.col("either")).alias("far")), ["centre", "rep"], "left")
-    near = near.withColumn("far", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.col("far"))).select("key", "rep", "n", "pos", "far")
-    lists = scratch.save(_open_lists(near, labels), "lists-2")
+    labels = connect(checked.filter("linked").select("a", "b"), scratch, "round-1")
+    near = lists.join(checked.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "low", "high"), ["centre", "rep"], "left")
+    own = F.col("rep") == F.col("centre")
+    near = near.select("key", "rep", "n", "pos", F.when(own, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(own, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"))
+    lists = _open_lists(near, labels, scratch, "lists-2")
     scratch.drop("lists")
 
     # Second round: another centre for the lists of several components.
-    checked = checked.unionByName(check(_unchecked(_second(lists), checked), "2"))
-    labels = connect(checked.filter(_LINKED).select("a", "b"), scratch, "round-2")
-    lists = scratch.save(_open_lists(lists.drop("label"), labels), "lists-3")
+    checked = checked.unionByName(check(_unchecked(_second(lists, scratch), checked), "2"))
+    labels = connect(checked.filter("linked").select("a", "b"), scratch, "round-2")
+    lists = _open_lists(lists.drop("label"), labels, scratch, "lists-3")
     scratch.drop("lists-2")
 
     # Last: what is left of each list, between components.
     left, right = lists.alias("l"), lists.alias("r")
-    apart = F.expr(f"l.label < r.label AND {_fit('l.', 'r.')} AND (l.far IS NULL OR r.far IS NULL OR abs(l.far - r.far) <= {1 - PERCENT / 100 + 1e-9})")
+    apart = F.expr(f"l.label < r.label AND {_fit('l.', 'r.')} AND greatest(l.low - r.high, r.low - l.high) <= {1 - PERCENT / 100 + 1e-9}")
     pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & apart).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
     checked = checked.unionByName(check(_unchecked(pairs, checked), "3"))
-    labels = connect(checked.filter(_LINKED).select("a", "b"), scratch, "round-3")
-    scratch.drop("lists-3")
+    labels = connect(checked.filter("linked").select("a", "b"), scratch, "round-3")
+    scratch.drop("lists-3", "sketches")
     return rows, classes, labels
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+def _open_lists(lists: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``lists`` with their members' ``label``, without the lists that lie in one component."""
-    named = lists.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    named = scratch.save(lists.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), f"{name}-named")
     several = named.groupBy("key").agg((F.min("label") != F.max("label")).alias("several"), F.count(F.lit(1)).alias("members"))
-    return named.join(several.filter("several AND members > 2").select("key"), "key", "left_semi")
+    several = scratch.save(several.filter("several AND members > 2").select("key"), f"{name}-keys")
+    out = scratch.save(named.join(several, "key", "left_semi"), name)
+    scratch.drop(f"{name}-named", f"{name}-keys")
+    return out
 
 
-def _second(lists: DataFrame) -> DataFrame:
+def _second(lists: DataFrame, scratch: Scratch) -> DataFrame:
     best = F.min(F.struct(F.xxhash64("rep", F.lit(1)).alias("h"), "rep", "n", "pos", "label")).alias("best")
-    heads = lists.groupBy("key").agg(best)
+    heads = scratch.save(lists.groupBy("key").agg(best), "heads-2")
     pairs = lists.join(heads, "key").filter(f"label <> best.label AND {_fit('', 'best.')}")
     return pairs.select(F.col("best.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
@@ -332,7 +429,7 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     scratch = Scratch(docs.sparkSession, "ngram-jaccard")
     rows = scratch.save(_labelled(docs, scratch)[1], "labelled")
-    smallest = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    smallest = scratch.save(rows.groupBy("label").agg(F.min("doc_id").alias("component_id")), "smallest")
     return rows.join(smallest, "label").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
