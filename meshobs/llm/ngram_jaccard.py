@@ -12,9 +12,10 @@ are ordered by a table of hashed counts over all documents, rare ones first, so
 share stand at the end and hardly ever make candidates.
 
 Equal sets are one class and compared once.  A list is never expanded into all pairs: its members are first compared with one
-of them, links are joined into components, lists of one component are finished, and the others get a second centre.  Only pairs
-of a list that are still in different components are then compared one by one.  At each step pairs are left out that sizes, the
-element's place in either order, or the triangle inequality of the Jaccard distance rule out.  Of the others, sketches of the prefixes bound how much two sets can share, and
+of them, links are joined into components, and lists of one component are finished.  The sets of the other lists are few; they are listed again with elements
+ordered by exact counts among them, where sets that share passages only, or elements by chance, no longer meet.  Members are compared with the centres of these lists, and
+only pairs of a list that are still in different components one by one.  At each step pairs are left out that sizes or the
+element's place in either order rule out.  Of the others, sketches of the prefixes bound how much two sets can share, and
 texts are read only where that allows a link.  So every link between documents of different components would be
 found, and the components are exact up to collisions of 64-bit hashes.
 
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -300,20 +301,20 @@ def bounded(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """``a, b, linked, low, high`` of each pair: whether they link, and bounds of their Jaccard distance.
+    """``a, b, linked`` of each pair: whether they link.
 
     Pairs whose sketches allow no link have no text read; the others' whole texts are compared.
     """
     found = scratch.save(bounded(pairs, sketched), f"bounded-{name}")
     possible = F.col("most") >= F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT))
-    apart = found.filter(~possible).select("a", "b", F.lit(False).alias("linked"), (1 - F.col("most") / (F.col("n") + F.col("m") - F.col("most"))).alias("low"), F.lit(1.0).alias("high"))
+    apart = found.filter(~possible).select("a", "b", F.lit(False).alias("linked"))
     close = found.filter(possible).select("a", "b")
     texts = scratch.save(texts_of(docs, close.select(F.explode(F.array("a", "b")).alias("rk")).distinct()), f"texts-{name}")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, last, p = zstandard.ZstdDecompressor().decompress, None, None
         for batch in batches:
-            linked, far = [], []
+            linked = []
             for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "x", "y")), strict=True):
                 if a != last:
                     last, p = a, shingle_set(unpack(x))
@@ -321,11 +322,10 @@ def compare(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, scratch: Scr
                 both = np.sort(np.concatenate((p, q)))
                 common = int((both[1:] == both[:-1]).sum())
                 linked.append(100 * common >= PERCENT * (len(both) - common))
-                far.append(1 - common / (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(far, pa.float64()), pa.array(far, pa.float64())], ["a", "b", "linked", "low", "high"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     x, y = (texts.select(F.col("rk").alias(c), F.col("words").alias(t)) for c, t in (("a", "x"), ("b", "y")))
-    measured = close.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(measure, "a long, b long, linked boolean, low double, high double")
+    measured = close.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(measure, "a long, b long, linked boolean")
     out = scratch.save(apart.unionByName(measured), f"checked-{name}")
     scratch.drop(f"bounded-{name}", f"texts-{name}")
     return out
@@ -372,21 +372,23 @@ def _classes_and_links(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, D
     pairs = lists.filter(f"rep <> centre AND {_fit('', 'centre_')}").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     checked = check(pairs, "1")
     labels = connect(checked.filter("linked").select("a", "b"), scratch, "round-1")
-    near = lists.join(checked.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "low", "high"), ["centre", "rep"], "left")
-    own = F.col("rep") == F.col("centre")
-    near = near.select("key", "rep", "n", "pos", F.when(own, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(own, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"))
-    lists = _open_lists(near, labels, scratch, "lists-2")
+    open_lists = _open_lists(lists.select("key", "rep"), labels, scratch, "open")
     scratch.drop("lists")
 
-    # Second round: another centre for the lists of several components.
+    # What may still link lies in lists of several components.  Their sets alone are listed anew, in exact order.
+    left = open_lists.groupBy("rep").agg(F.min("label").alias("label"))
+    lists = _exact_lists(keyed, scratch.save(left, "left"), scratch)
+    scratch.drop("open")
+
+    # Second round: members against the centre of such a list.
     checked = checked.unionByName(check(_unchecked(_second(lists, scratch), checked), "2"))
     labels = connect(checked.filter("linked").select("a", "b"), scratch, "round-2")
     lists = _open_lists(lists.drop("label"), labels, scratch, "lists-3")
-    scratch.drop("lists-2")
+    scratch.drop("exact")
 
     # Last: what is left of each list, between components.
     left, right = lists.alias("l"), lists.alias("r")
-    apart = F.expr(f"l.label < r.label AND {_fit('l.', 'r.')} AND greatest(l.low - r.high, r.low - l.high) <= {1 - PERCENT / 100 + 1e-9}")
+    apart = F.expr(f"l.label < r.label AND {_fit('l.', 'r.')}")
     pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & apart).select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct()
     checked = checked.unionByName(check(_unchecked(pairs, checked), "3"))
     labels = connect(checked.filter("linked").select("a", "b"), scratch, "round-3")
@@ -394,6 +396,51 @@ def _classes_and_links(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, D
     return rows, classes, labels
 
 
+def _exact_lists(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """``key, rep, n, pos, label``: inverted lists of the sets ``wanted`` (``rep, label``), rarest elements first by exact counts among them.
+
+    An element of one set only links nothing, so a set has lists for the rest of its prefix alone.  Sets that merely share a passage have elements enough
+    of their own to fill their prefixes, and drop out here; in the order by hashed counts chance had mixed both.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.select("rep"), wanted.count()))
+
+    def elements(batches: Iterator[pa.RecordBatch], several: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.flatnonzero(bloom.maybe(held.value, batch.column("rk").to_numpy().view(np.uint64)))
+            some = batch.take(pa.array(at))
+            rks, done = some.column("rk").to_numpy(), 0
+            for texts in _slices(some):
+                found = [_distinct(h) for h in shingle_hashes(texts)]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                own, n = np.repeat(rks[done : done + len(found)], sizes), np.repeat(sizes.astype(np.int32), sizes)
+                done += len(found)
+                items = np.concatenate(found)
+                if several is not None:
+                    # Sets with elements of their own for the whole prefix end here.
+                    fit = bloom.maybe(several, items)
+                    ends = np.cumsum(sizes)
+                    shared = np.diff(np.concatenate(([0], np.cumsum(fit)))[np.concatenate(([0], ends))])
+                    listed = sizes - shared <= sizes + (-PERCENT * sizes) // 100
+                    fit &= np.repeat(listed, sizes)
+                    items, own, n = items[fit], own[fit], n[fit]
+                for k in range(0, len(items), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(items[k : k + 100_000].view(np.int64)), pa.array(own[k : k + 100_000]), pa.array(n[k : k + 100_000])], ["key", "rep", "n"])
+
+    schema = "key long, rep long, n int"
+    counts = docs.select("rk", "text").mapInArrow(lambda b: elements(b, None), schema).groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    counts = scratch.save(counts, "counts")
+    scratch.drop()
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(counts.select("key"), counts.count()))
+    rows = docs.select("rk", "text").mapInArrow(lambda b: elements(b, shared.value), schema).join(counts, "key")
+    own = Window.partitionBy("rep")
+    ranked = rows.withColumns({"rank": F.row_number().over(own.orderBy("df", "key")), "shared": F.count(F.lit(1)).over(own)})
+    at = F.col("n") - F.col("shared") + F.col("rank") - 1
+    prefix = ranked.withColumn("pos", at.cast("int")).filter(f"pos <= n - ceil({PERCENT} * n / 100)").select("key", "rep", "n", "pos")
+    out = scratch.save(prefix.join(wanted, "rep"), "exact")
+    scratch.drop("counts", "left")
+    return out
+
+
 def _open_lists(lists: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``lists`` with their members' ``label``, without the lists that lie in one component."""
     named = scratch.save(lists.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), f"{name}-named")
