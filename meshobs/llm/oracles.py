@@ -13,27 +13,49 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 
 URL_FILTERS = r"""
 WITH u AS (
-  SELECT page_id, lower(coalesce(url, '')) AS low,
+  SELECT row_number() OVER () AS k, page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
     CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
   FROM pages),
 s AS (
-  SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT k, page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
   FROM u),
 r AS (
   SELECT * FROM (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'),
     ('net/es/', 'block'), ('net/fr/', 'block')) v(rule, rule_verdict)),
 m AS (
-  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict
+  SELECT k, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict
   FROM s JOIN r ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
     AND starts_with(path, substr(rule, strpos(rule, '/')))
-  GROUP BY page_id)
+  GROUP BY k)
 SELECT s.page_id, s.host, s.path, m.rule,
   coalesce(m.rule_verdict, CASE
-    WHEN regexp_matches(low, '://blog\.[^/]*/en/[^?]*\?utm_source=') THEN 'allow'
-    WHEN regexp_matches(low, '://([a-z0-9-]+\.)*spam-farm\.|://([a-z0-9-]+\.)*cheap-pills\.|[/.-]casino[/.-]|[?&]utm_source=feed(&|#|$)|[?&]ref=x(&|#|$).*[?&]page=|[?&]page=\d+&ref=x(&|#|$)|://m\.[^/]*/[a-z]{2}/\d+#top$')
+    WHEN regexp_matches(low, '://([a-z0-9-]+\.)*blog\..*/en/.*\?utm_source=') THEN 'allow'
+    WHEN regexp_matches(low, '://([a-z0-9-]+\.)*(spam-farm|cheap-pills)\.')
+      OR regexp_matches(low, '(^|[^a-z0-9])casino([^a-z0-9]|$)') OR regexp_matches(low, '(^|[^a-z0-9])utm_source=feed([^a-z0-9]|$)')
+      OR regexp_matches(low, '(^|[^a-z0-9])ref=x&.*page=') OR regexp_matches(low, '(^|[^a-z0-9])page=.*&ref=x([^a-z0-9]|$)')
+      OR regexp_matches(low, '://([a-z0-9-]+\.)*m\..*#top$')
       THEN 'block' ELSE 'allow' END) AS verdict
-FROM s LEFT JOIN m USING (page_id)
+FROM s LEFT JOIN m USING (k)
 """
 
-ORACLES = {"op6_exact_dedup": EXACT_DEDUP, "op10_url_filters": URL_FILTERS}
+#: Every pair of documents that shares a shingle is counted, so this suits small tables only.
+NGRAM_JACCARD = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+p AS (SELECT k, len(w) AS n, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+g AS (
+  SELECT k, n, i, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS shingle
+  FROM p WINDOW o AS (PARTITION BY k ORDER BY i)),
+h AS (SELECT DISTINCT k, shingle FROM g WHERE i <= greatest(n - 4, 1)),
+e AS (SELECT k, (SELECT count(*) FROM h WHERE h.k = d.k) AS n FROM d),
+s AS (SELECT list(k) AS ks FROM h GROUP BY shingle HAVING count(*) > 1),
+c AS (SELECT a, b, count(*) AS n FROM (SELECT a, unnest(ks) AS b FROM (SELECT ks, unnest(ks) AS a FROM s)) WHERE a <> b GROUP BY ALL),
+l AS (SELECT c.a, c.b FROM c JOIN e x ON x.k = c.a JOIN e y ON y.k = c.b WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)),
+r AS (SELECT k AS a, k AS b FROM e UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, e.n AS n_shingles, (SELECT min(o.doc_id) FROM r JOIN d o ON o.k = r.b WHERE r.a = d.k) AS component_id
+FROM d JOIN e USING (k)
+"""
+
+ORACLES = {"op5_ngram_jaccard": NGRAM_JACCARD, "op6_exact_dedup": EXACT_DEDUP, "op10_url_filters": URL_FILTERS}

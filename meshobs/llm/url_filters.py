@@ -1,18 +1,20 @@
 """URL filters: host rules by the longest suffix, then pattern rules found through their rarest literal.
 
-Each pattern rule is a regular expression with at least one literal token, a run of letters and digits
-that every matching URL must hold as a whole token.  Counting these tokens over all URLs shows which of a rule's
-literals is rarest; the rule is filed under that one.  A URL looks up its own tokens and
+A pattern rule is text with ``*`` for anything, ``^`` for a separator or an end, ``||`` first for the start of a host label and ``|`` last for the
+end of the URL.  Its literal tokens are the runs of letters and digits that have something other than a letter or digit, or an end, on either side in the pattern, so
+every URL that matches holds them as whole tokens.  Counting these tokens over all URLs shows which of a rule's
+literals is rarest; the rule is filed under that one (a rule without any is tried on every URL).  A URL looks up its own tokens and
 runs only the expressions filed there.
 
 Nulls: a null URL, or one without ``://``, has an empty host and path; no host rule fits it, and the
 pattern rules see the URL itself (null: empty).  An empty table gives an empty result.  Rows are judged
-one by one, so repeated rows and clashing columns do not matter.
+one by one, so repeated rows, null ids and clashing columns do not matter.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,11 +43,27 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """A regular expression over the lower-cased URL; ``literals`` are tokens that each match must hold."""
+    """A pattern over the URL with A-Z lower-cased."""
 
     verdict: str
     pattern: str
-    literals: tuple[str, ...]
+
+    @property
+    def regex(self) -> str:
+        text, start, end = self.pattern, "", ""
+        if text.startswith("||"):
+            text, start = text[2:], r"://(?:[a-z0-9-]+\.)*"
+        elif text.startswith("^"):
+            text, start = text[1:], "(?:^|[^a-z0-9])"
+        if text.endswith("|"):
+            text, end = text[:-1], "$"
+        return start + "".join({"*": ".*", "^": "(?:[^a-z0-9]|$)"}.get(c, re.escape(c)) for c in text) + end
+
+    @property
+    def literals(self) -> tuple[str, ...]:
+        """Whole tokens of every match: nothing that an edge of the pattern or a ``*`` may continue."""
+        bounded = self.pattern.replace("*", "\0")
+        return tuple(dict.fromkeys(m[0] for m in re.finditer(r"(?<=[^a-z0-9\0])[a-z0-9]+(?=[^a-z0-9\0])", bounded)))
 
 
 #: The host rules that the operator's query is given.
@@ -59,29 +77,36 @@ HOST_RULES = (
 
 #: Pattern rules for what no host rule judges.  Allowing rules are exceptions and win.
 PATTERN_RULES = (
-    PatternRule("block", r"://([a-z0-9-]+\.)*spam-farm\.", ("spam", "farm")),
-    PatternRule("block", r"://([a-z0-9-]+\.)*cheap-pills\.", ("cheap", "pills")),
-    PatternRule("block", r"[/.-]casino[/.-]", ("casino",)),
-    PatternRule("block", r"[?&]utm_source=feed(&|#|$)", ("utm", "source", "feed")),
-    PatternRule("block", r"[?&]ref=x(&|#|$).*[?&]page=|[?&]page=\d+&ref=x(&|#|$)", ("page", "ref", "x")),
-    PatternRule("allow", r"://blog\.[^/]*/en/[^?]*\?utm_source=", ("blog", "en", "utm", "source")),
-    PatternRule("block", r"://m\.[^/]*/[a-z]{2}/\d+#top$", ("m", "top")),
+    PatternRule("block", "||spam-farm."),
+    PatternRule("block", "||cheap-pills."),
+    PatternRule("block", "^casino^"),
+    PatternRule("block", "^utm_source=feed^"),
+    PatternRule("block", "^ref=x&*page="),
+    PatternRule("block", "^page=*&ref=x^"),
+    PatternRule("allow", "||blog.*/en/*?utm_source="),
+    PatternRule("block", "||m.*#top|"),
 )
 
 
+def lowered(url: str) -> str:
+    """With A-Z in lower case."""
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), url)
+
+
 def token_counts(urls: DataFrame, tokens: list[str]) -> dict[str, int]:
-    """How many URLs hold each of ``tokens``; the result has one row per literal of the rules."""
-    held = F.explode(F.array_distinct(F.expr("regexp_extract_all(lower(url), '[a-z0-9]+', 0)"))).alias("token")
-    rows = urls.select(held).filter(F.col("token").isin(tokens)).groupBy("token").count().collect()
+    """How many URLs hold each of ``tokens``; the result has one row per literal of the rules at most."""
+    low = F.translate("url", string.ascii_uppercase, string.ascii_lowercase)
+    held = F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))).alias("token")
+    rows = urls.select(held).join(F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in tokens], "token string")), "token").groupBy("token").count().collect()
     return {t: 0 for t in tokens} | {r["token"]: r["count"] for r in rows}
 
 
 def index_rules(rules: tuple[PatternRule, ...], counts: dict[str, int]) -> dict[str, list[tuple[str, str]]]:
-    """Rules by their rarest literal; ties go to the longer, then to the first in order."""
+    """Expressions by their rule's rarest literal, ``""`` without one; ties go to the longer, then to the first in order."""
     index: dict[str, list[tuple[str, str]]] = {}
     for rule in rules:
-        rarest = min(rule.literals, key=lambda t: (counts.get(t, 0), -len(t), t))
-        index.setdefault(rarest, []).append((rule.verdict, rule.pattern))
+        rarest = min(rule.literals, key=lambda t: (counts.get(t, 0), -len(t), t), default="")
+        index.setdefault(rarest, []).append((rule.verdict, rule.regex))
     return index
 
 
@@ -93,7 +118,7 @@ def split_url(url: str | None) -> tuple[str, str]:
     cut = re.search(r"[/?#]", rest)
     host, rest = (rest[: cut.start()], rest[cut.start() :]) if cut else (rest, "")
     cut = re.search(r"[?#]", rest)
-    return re.sub("[A-Z]+", lambda m: m[0].lower(), host), rest[: cut.start()] if cut else rest
+    return lowered(host), rest[: cut.start()] if cut else rest
 
 
 def filter_urls(
@@ -115,8 +140,8 @@ def filter_urls(
                 host, path = split_url(url)
                 labels = host.split(".")
                 fits = [r for i in range(len(labels)) for r in by_host.get(".".join(labels[i:]), ()) if host and path.startswith(r.path)]
-                low = (url or "").lower()
-                found = [f for t in sorted(set(TOKEN.findall(low))) for f in filed.get(t, ())]
+                low = lowered(url or "")
+                found = [f for t in sorted({"", *TOKEN.findall(low)}) for f in filed.get(t, ())]
                 hits = [v for v, p in found if p.search(low)]
                 best = max(fits, key=lambda r: len(r.rule), default=None)
                 own = "allow" if "allow" in hits else "block" if "block" in hits else default

@@ -40,7 +40,7 @@ def brute_counts(text):
 
 @pytest.mark.parametrize("rows", [ROWS, REPEATED, []])
 def test_counts_and_base_rules(spark, rows):
-    got = mcd.mcd_quality(frame(spark, rows), min_group=2).collect()
+    got = mcd.mcd_quality(frame(spark, rows)).collect()
     want = []
     for doc, text, *_ in rows:
         n = brute_counts(text)
@@ -49,39 +49,83 @@ def test_counts_and_base_rules(spark, rows):
     assert not any(r.kept for r in got if r.base_failed)
 
 
-def brute_distances(x, coverage=0.75, steps=6):
-    """The same estimate in numpy, for one group of grid vectors."""
+def metric(x, centre, covariance):
+    off = x / 1024 - centre
+    return np.einsum("ni,ij,nj->n", off, np.linalg.inv(covariance), off)
 
-    def far(centre, inverse):
-        off = x / mcd.GRID - centre
-        return np.einsum("ni,ij,nj->n", off, inverse, off)
 
+def brute_mcd(x, coverage):
+    """Centre and widened covariance of one group of grid vectors: three starts, steps to the end, least determinant."""
+    floor = np.array([0.06, 0.05, 0.08, 0.06, 0.2, 0.2])
     middle = np.median(x, axis=0)
-    centre, inverse = middle / mcd.GRID, np.diag(1 / ((1.4826 / mcd.GRID * np.median(abs(x - middle), axis=0)) ** 2 + np.square(mcd.FLOOR)))
-    for _ in range(steps):
-        d = np.minimum(np.floor(far(centre, inverse) * mcd.STEPS), mcd.FAR)
-        near = x[d <= np.quantile(d, coverage)]
-        centre = near.mean(axis=0) / mcd.GRID
-        inverse = np.linalg.inv(np.cov(near.T, bias=True) / mcd.GRID**2 + np.diag(np.square(mcd.FLOOR)))
-    d = far(centre, inverse)
-    scale = max(1.0, (np.median(np.minimum(np.floor(d * mcd.STEPS), mcd.FAR)) + 0.5) / mcd.STEPS / mcd.chi_square(mcd.P, 0.0))
-    return d / scale
-
-
-def test_estimate_against_numpy(spark):
+    deviation = np.median(abs(x - middle), axis=0)
+    z = (x - middle) / (1.4826 * deviation + floor * 1024)
+    length = np.linalg.norm(z, axis=1, keepdims=True)
+    scale = np.sqrt((1.4826 * deviation / 1024) ** 2 + floor**2)
+    found = []
+    for k, v in enumerate([None, np.tanh(z), np.divide(z, length, out=np.zeros_like(z), where=length > 0)]):
+        together = np.eye(6)
+        if k:
+            whole = np.floor(abs(v) * 1024 + 0.5) * np.sign(v)
+            second = whole.T @ whole
+            size = np.sqrt(np.maximum(np.diag(second), 1e-9))
+            together = 0.99 * second / np.outer(size, size) + 0.01 * np.eye(6)
+        centre, covariance, last = middle / 1024, together * np.outer(scale, scale), None
+        for _ in range(40):
+            d = np.floor(np.log1p(np.maximum(0, metric(x, centre, covariance))) * 512)
+            near = d <= np.sort(d)[math.ceil(coverage * len(x)) - 1]
+            centre = x[near].mean(axis=0) / 1024
+            covariance = np.cov(x[near].T, bias=True) / 1024**2 + np.diag(floor**2)
+            if last is not None and (near == last).all():
+                break
+            last = near
+        found.append((np.linalg.slogdet(covariance)[1], k, centre, covariance))
+    _, _, centre, covariance = min(found, key=lambda f: (round(f[0], 9), f[1]))
+    d = np.floor(np.log1p(metric(x, centre, covariance)) * 512)
+    return centre, covariance * max(1.0, np.expm1((np.median(d) + 0.5) / 512) / mcd.chi_square(6, 0.0))
+
+
+def test_estimates_against_numpy(spark):
+    """Every row of the table: its source's estimate leans on its language's, and that on the one of all rows."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r.doc_id: r for r in mcd.mcd_quality(docs, min_group=10**9).collect()}
-    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in mcd.mcd_quality(docs).collect()}
+    texts = {r.doc_id: r for r in docs.collect()}
     rows = sorted(d for d, r in got.items() if not r.base_failed)
 
     def vector(doc):
-        n_words, chars, symbols, dup, repeat, capitals, marks, lines = mcd.text_counts(texts[doc].encode())
+        n_words, chars, symbols, dup, repeat, capitals, marks, lines = mcd.text_counts(texts[doc].text.encode())
         share = lambda a, b: math.asin(math.sqrt(min(1.0, a / max(b, 1))))
         values = [math.log(chars / n_words), share(symbols, chars), share(capitals, chars), share(marks, chars), share(dup, lines), share(repeat, n_words)]
-        return [math.floor(v * mcd.GRID + 0.5) for v in values]
-
-    want = brute_distances(np.array([vector(d) for d in rows], float))
-    assert np.allclose([got[d].distance for d in rows], want, rtol=1e-6)
+        return [math.floor(v * 1024 + 0.5) for v in values]
+
+    x = np.array([vector(d) for d in rows], float)
+    levels = [lambda d: (texts[d].lang, texts[d].source), lambda d: texts[d].lang, lambda d: ""]
+    keys = [[level(d) for d in rows] for level in levels]
+    known = {key: (sum(k == key for k in own), *brute_mcd(x[[k == key for k in own]], 0.75)) for own in keys for key in set(own)}
+    for at, d in enumerate(rows):
+        _, centre, covariance = known[keys[2][at]]
+        for own in (keys[1], keys[0]):
+            n, c, v = known[own[at]]
+            centre, covariance = (n * c + 100 * centre) / (n + 100), (n * v + 100 * covariance) / (n + 100)
+        assert got[d].distance == pytest.approx(metric(x[at : at + 1], centre, covariance)[0], rel=1e-5)
+        assert got[d].kept == (got[d].distance <= mcd.chi_square(6, 4.0))
+
+
+def test_least_determinant_withstands_a_fifth_of_outliers(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 1, (400, 6)), rng.normal(6, 0.3, (100, 6))]) * 1024
+    df = spark.createDataFrame([("g", *map(int, row)) for row in np.round(x)], "key string, " + ", ".join(f"x{i} long" for i in range(6)))
+    found = mcd.estimates(df, 1, mcd.Scratch(spark, "t"), 0.75).first()
+    assert np.abs(found.centre).max() < 0.3 and found.n_rows == 500
+
+
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_estimates_broadcast_or_salted(spark, monkeypatch, limit):
+    monkeypatch.setattr(mcd, "BROADCAST_KEYS", limit)
+    got = mcd.mcd_quality(spark.read.parquet(f"{SF}/documents.parquet")).agg(F.sum("distance").alias("d"), F.count("kept").alias("n")).first()
+    monkeypatch.undo()
+    want = mcd.mcd_quality(spark.read.parquet(f"{SF}/documents.parquet")).agg(F.sum("distance").alias("d"), F.count("kept").alias("n")).first()
+    assert got.n == want.n and got.d == pytest.approx(want.d)
 
 
 def test_verdict_on_labels(spark):
@@ -95,7 +139,7 @@ def test_verdict_on_labels(spark):
 
 def test_accepted_keeps_columns(spark):
     df = frame(spark, REPEATED)
-    assert mcd.accepted(df, df.columns, min_group=2).columns == df.columns
+    assert mcd.accepted(df, df.columns).columns == df.columns
 
 
 # -- language model
@@ -255,8 +299,23 @@ def test_urls(spark):
 
 
 def test_rules_are_filed_under_the_rarest_literal():
-    rules = (urls.PatternRule("block", "a.*b", ("common", "rare")), urls.PatternRule("block", "c", ("common",)))
-    assert urls.index_rules(rules, {"common": 10, "rare": 1}) == {"rare": [("block", "a.*b")], "common": [("block", "c")]}
+    rules = (urls.PatternRule("block", "/common/*.rare."), urls.PatternRule("block", "^common^"), urls.PatternRule("block", "loose*end"))
+    assert [r.literals for r in rules] == [("common", "rare"), ("common",), ()]
+    index = urls.index_rules(rules, {"common": 10, "rare": 1})
+    assert {t: len(found) for t, found in index.items()} == {"rare": 1, "common": 1, "": 1}
+
+
+def test_thousands_of_rules_against_trying_each(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcde"), rng.integers(1, 4)))
+    shapes = ("||{0}.", "/{0}/*{1}|", "^{0}={1}^", "{0}*{1}", "^{0}^*/{1}.", "||{0}-{1}.*?{0}=", "{0}|")
+    rules = tuple(urls.PatternRule(str(rng.choice(["allow", "block"], p=[0.1, 0.9])), shapes[k % len(shapes)].format(word(), word())) for k in range(3000))
+    pages = [(k, f"http://{word()}.{word()}-{word()}.{word()}/{word()}/{word()}.{word()}?{word()}={word()}") for k in range(300)]
+    got = {r.page_id: (r.verdict, r.n_matched) for r in urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), (), rules).collect()}
+    compiled = [(r.verdict, re.compile(r.regex)) for r in rules]
+    for k, url in pages:
+        hits = [v for v, p in compiled if p.search(url)]
+        assert got[k] == ("allow" if "allow" in hits or not hits else "block", len(hits))
 
 
 # -- resharding
