@@ -165,7 +165,7 @@ def with_small(rows: DataFrame, small: DataFrame, n_keys: int, on: str, how: str
     if n_keys <= BROADCAST_KEYS:
         return rows.join(F.broadcast(small), on, how)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*(f"x{i}" for i in range(P))), F.lit(SALTS)))
-    return salted.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), [on, "salt"], how).drop("salt")
+    return salted.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [on, "salt"], how).drop("salt")
 
 
 def starts_of(vectors: DataFrame, n_keys: int, scratch: Scratch) -> DataFrame:
