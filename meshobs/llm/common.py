@@ -11,6 +11,8 @@ import gc
 import tempfile
 from uuid import uuid4
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +87,30 @@ def gapless_rank(
     shift = sizes.select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*cols)) - 1)
     return ranked.join(shift, keys).withColumn(out, F.col("_rank") + F.col("_shift")).drop("_bucket", "_rank", "_shift")
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers by planes of bytes, compressed: high planes are nearly empty."""
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def pack_sorted(grams: np.ndarray) -> bytes:
+    return pack(np.diff(grams, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+def add_up(grams: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct contexts in order, and their counts, from runs that are in order."""
+    g, c = np.concatenate(grams), np.concatenate(n)
+    order = np.argsort(g, kind="stable")
+    g = g[order]
+    first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    return g[first], np.add.reduceat(c[order], first)

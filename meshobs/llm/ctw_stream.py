@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, add_up, pack, pack_sorted, unpack, unpack_sorted
 from .ctw_scoring import DEPTH, END, Top, weigh_group
 
 #: Bytes of text in a block, and of a block's text looked at together.
@@ -36,24 +36,6 @@ PIECE = 1 << 20
 PART, PARTS = 2 << 20, (64, 8192)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers by planes of bytes, compressed: high planes are nearly empty."""
-    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
-
-
-def pack_sorted(grams: np.ndarray) -> bytes:
-    return _pack(np.diff(grams, prepend=np.uint64(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data), dtype=np.uint64)
-
-
 def stream_of(words: list[bytes]) -> bytes:
     return b" ".join([*words, bytes([END])])
 
@@ -73,15 +55,6 @@ def stream_contexts(streams: list[bytes], depth: int) -> np.ndarray:
     return grams[own]
 
 
-def add_up(grams: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct contexts in order, and their counts, from runs that are in order."""
-    g, c = np.concatenate(grams), np.concatenate(n)
-    order = np.argsort(g, kind="stable")
-    g = g[order]
-    first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-    return g[first], np.add.reduceat(c[order], first)
-
-
 def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     g = np.sort(grams)
     first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
@@ -162,7 +135,7 @@ def chunks_of(blocks: DataFrame, depth: int, parts: int) -> DataFrame:
                 for w in words:
                     by_part.setdefault(zlib.crc32(w) % parts, []).append(w)
                 for part, own in by_part.items():
-                    rows.append((block, True, part, zstandard.ZstdCompressor(level=1).compress(b" ".join(own)), _pack(np.array([words[w] for w in own]))))
+                    rows.append((block, True, part, zstandard.ZstdCompressor(level=1).compress(b" ".join(own)), pack(np.array([words[w] for w in own]))))
                 del words, by_part
                 grams, n = count_block(streams, held, depth)
                 part_of = ((grams >> np.uint64(8) & np.uint64(0xFFFF)) * np.uint64(2654435761) >> np.uint64(12) & np.uint64(0xFFFF)) % np.uint64(parts)
@@ -170,7 +143,7 @@ def chunks_of(blocks: DataFrame, depth: int, parts: int) -> DataFrame:
                 cuts = np.searchsorted(part_of[order], np.arange(parts + 1, dtype=np.uint64))
                 for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if a < b:
-                        rows.append((block, False, part, pack_sorted(grams[order[a:b]]), _pack(n[order[a:b]])))
+                        rows.append((block, False, part, pack_sorted(grams[order[a:b]]), pack(n[order[a:b]])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return blocks.select("block", "held", "data").mapInArrow(chunk, "block long, words boolean, part int, keys binary, n binary")
@@ -179,7 +152,7 @@ def chunks_of(blocks: DataFrame, depth: int, parts: int) -> DataFrame:
 def _part(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The contexts of each chunk, and those of all with their counts."""
     own = [unpack_sorted(k) for k in table["keys"].to_pylist()]
-    return own, *add_up(own, [_unpack(n).astype(np.int64) for n in table["n"].to_pylist()])
+    return own, *add_up(own, [unpack(n).astype(np.int64) for n in table["n"].to_pylist()])
 
 
 def context_scores(chunks: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
@@ -213,9 +186,9 @@ def word_counts(chunks: DataFrame) -> DataFrame:
         own = [zstandard.ZstdDecompressor().decompress(k).split(b" ") for k in table["keys"].to_pylist()]
         seen: dict[bytes, int] = {}
         for words, n in zip(own, table["n"].to_pylist(), strict=True):
-            for w, k in zip(words, _unpack(n).tolist(), strict=True):
+            for w, k in zip(words, unpack(n).tolist(), strict=True):
                 seen[w] = seen.get(w, 0) + k
-        values = [_pack(np.array([seen[w] for w in words])) for words in own]
+        values = [pack(np.array([seen[w] for w in words])) for words in own]
         rest = [0] * (len(own) - 1)
         sums = {"total": [sum(seen.values()), *rest], "distinct": [sum(k > 0 for k in seen.values()), *rest]}
         return pa.table({"block": table["block"], "words": table["words"], "keys": table["keys"], "values": pa.array(values, pa.binary()), **{k: pa.array(v, pa.int64()) for k, v in sums.items()}})
@@ -247,7 +220,7 @@ def stream_scores(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK)
         grams, lp = [], []
         for is_words, keys, values in zip(*(table[c].to_pylist() for c in ("words", "keys", "values")), strict=True):
             if is_words:
-                known.update(zip(zstandard.ZstdDecompressor().decompress(keys).split(b" "), _unpack(values).tolist(), strict=True))
+                known.update(zip(zstandard.ZstdDecompressor().decompress(keys).split(b" "), unpack(values).tolist(), strict=True))
             else:
                 grams.append(unpack_sorted(keys)), lp.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(values), "<f4"))
         grams, lp = np.concatenate(grams), np.concatenate(lp)

@@ -37,12 +37,14 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .bloom import mix64
-from .common import BLANKS, Scratch, with_row_key
+from .common import BLANKS, Scratch, add_up, pack, pack_sorted, unpack, unpack_sorted, with_row_key
 from .components import connect
 
 WORDS = 5
 #: Similarity of at least 75 in 100.
 PERCENT = 75
+#: Elements of a part of the exact counts.
+PART = 1_000_000
 #: Prefixes from so many elements on have four bytes an element in their sketch, others two.
 WIDE = 4096
 #: The count table has ``2 ** TABLE_BITS`` classes: a megabyte for the driver and each worker at any input size.
@@ -245,11 +247,11 @@ def texts_of(docs: DataFrame, rks: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bloom.build(rks, rks.count()))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor().compress
+        zipped = zstandard.ZstdCompressor().compress
         for batch in batches:
             at = np.flatnonzero(bloom.maybe(held.value, batch.column("rk").to_numpy().view(np.uint64)))
             some = batch.take(pa.array(at))
-            packed = [pack(b" ".join((t or b"").lower().split())) for t in _texts(some)]
+            packed = [zipped(b" ".join((t or b"").lower().split())) for t in _texts(some)]
             yield pa.RecordBatch.from_arrays([some.column("rk"), pa.array(packed, pa.binary())], ["rk", "words"])
 
     return docs.select("rk", "text").mapInArrow(load, "rk long, words binary")
@@ -312,13 +314,13 @@ def compare(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, scratch: Scr
     texts = scratch.save(texts_of(docs, close.select(F.explode(F.array("a", "b")).alias("rk")).distinct()), f"texts-{name}")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, last, p = zstandard.ZstdDecompressor().decompress, None, None
+        unzip, last, p = zstandard.ZstdDecompressor().decompress, None, None
         for batch in batches:
             linked = []
             for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "x", "y")), strict=True):
                 if a != last:
-                    last, p = a, shingle_set(unpack(x))
-                q = shingle_set(unpack(y))
+                    last, p = a, shingle_set(unzip(x))
+                q = shingle_set(unzip(y))
                 both = np.sort(np.concatenate((p, q)))
                 common = int((both[1:] == both[:-1]).sum())
                 linked.append(100 * common >= PERCENT * (len(both) - common))
@@ -372,11 +374,11 @@ def _classes_and_links(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, D
     pairs = lists.filter(f"rep <> centre AND {_fit('', 'centre_')}").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     checked = check(pairs, "1")
     labels = connect(checked.filter("linked").select("a", "b"), scratch, "round-1")
-    open_lists = _open_lists(lists.select("key", "rep"), labels, scratch, "open")
+    open_lists = _open_lists(lists.select("key", "rep", "n"), labels, scratch, "open")
     scratch.drop("lists")
 
     # What may still link lies in lists of several components.  Their sets alone are listed anew, in exact order.
-    left = open_lists.groupBy("rep").agg(F.min("label").alias("label"))
+    left = open_lists.groupBy("rep").agg(F.min("label").alias("label"), F.first("n").alias("n"))
     lists = _exact_lists(keyed, scratch.save(left, "left"), scratch)
     scratch.drop("open")
 
@@ -396,47 +398,80 @@ def _classes_and_links(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, D
     return rows, classes, labels
 
 
+def _wanted_sets(batch: pa.RecordBatch, held: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``rk`` and set size of some documents whose ``rk`` the filter ``held`` lets through, and 48 bits of each element, set after set."""
+    some = batch.take(pa.array(np.flatnonzero(bloom.maybe(held, batch.column("rk").to_numpy().view(np.uint64)))))
+    rks, done = some.column("rk").to_numpy(), 0
+    for texts in _slices(some):
+        found = [_distinct(h) for h in shingle_hashes(texts)]
+        yield rks[done : done + len(found)], np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found) >> np.uint64(16)
+        done += len(found)
+
+
+def exact_counts(docs: DataFrame, held: np.ndarray, n_elements: int) -> DataFrame:
+    """``key, df``: how many of the wanted sets have an element, for elements of two sets or more.
+
+    A task adds up its own elements first and sends them in order, packed, to the parts of the hashes' range; there are so many parts that each gets some
+    ``PART`` elements, however common one is.
+    """
+    sent, n_parts = docs.sparkSession.sparkContext.broadcast(held), min(max(1, n_elements // PART), 1 << 24)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate([*own, np.empty(0, np.uint64)]), return_counts=True)
+            own.clear()
+            part = (keys >> np.uint64(24)) * np.uint64(n_parts) >> np.uint64(24)
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(keys)] if len(keys) else []
+            rows = [(int(part[a]), pack_sorted(keys[a:b]), pack(n[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "keys", "n"])
+
+        for batch in batches:
+            for _, _, items in _wanted_sets(batch, sent.value):
+                own.append(items)
+                if sum(map(len, own)) > 4 * PART:
+                    yield flush()
+        yield flush()
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, n = add_up([unpack_sorted(k) for k in table["keys"].to_pylist()], [unpack(c).astype(np.int64) for c in table["n"].to_pylist()])
+        several = n > 1
+        return pa.table({"key": keys[several].astype(np.int64), "df": n[several]})
+
+    return docs.select("rk", "text").mapInArrow(count, "part int, keys binary, n binary").groupBy("part").applyInArrow(add, "key long, df long")
+
+
 def _exact_lists(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """``key, rep, n, pos, label``: inverted lists of the sets ``wanted`` (``rep, label``), rarest elements first by exact counts among them.
+    """``key, rep, n, pos, label``: inverted lists of the sets ``wanted`` (``rep, label, n``), rarest elements first by exact counts among them.
 
     An element of one set only links nothing, so a set has lists for the rest of its prefix alone.  Sets that merely share a passage have elements enough
     of their own to fill their prefixes, and drop out here; in the order by hashed counts chance had mixed both.
     """
-    held = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.select("rep"), wanted.count()))
+    spark = docs.sparkSession
+    size = wanted.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("elements")).first()
+    held = bloom.build(wanted.select("rep"), size["sets"])
+    counts = scratch.save(exact_counts(docs, held, size["elements"]), "counts")
+    scratch.drop()
+    sent, shared = spark.sparkContext.broadcast(held), spark.sparkContext.broadcast(bloom.build(counts.select("key"), counts.count()))
 
-    def elements(batches: Iterator[pa.RecordBatch], several: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.flatnonzero(bloom.maybe(held.value, batch.column("rk").to_numpy().view(np.uint64)))
-            some = batch.take(pa.array(at))
-            rks, done = some.column("rk").to_numpy(), 0
-            for texts in _slices(some):
-                found = [_distinct(h) for h in shingle_hashes(texts)]
-                sizes = np.fromiter(map(len, found), np.int64, len(found))
-                own, n = np.repeat(rks[done : done + len(found)], sizes), np.repeat(sizes.astype(np.int32), sizes)
-                done += len(found)
-                items = np.concatenate(found)
-                if several is not None:
-                    # Sets with elements of their own for the whole prefix end here.
-                    fit = bloom.maybe(several, items)
-                    ends = np.cumsum(sizes)
-                    shared = np.diff(np.concatenate(([0], np.cumsum(fit)))[np.concatenate(([0], ends))])
-                    listed = sizes - shared <= sizes + (-PERCENT * sizes) // 100
-                    fit &= np.repeat(listed, sizes)
-                    items, own, n = items[fit], own[fit], n[fit]
+            for rks, sizes, items in _wanted_sets(batch, sent.value):
+                # Sets with elements of their own for the whole prefix end here.
+                fit = bloom.maybe(shared.value, items)
+                others = np.diff(np.concatenate(([0], np.cumsum(fit)))[np.concatenate(([0], np.cumsum(sizes)))])
+                fit &= np.repeat(sizes - others <= sizes + (-PERCENT * sizes) // 100, sizes)
+                items, own = items[fit], np.repeat(rks, sizes)[fit]
                 for k in range(0, len(items), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(items[k : k + 100_000].view(np.int64)), pa.array(own[k : k + 100_000]), pa.array(n[k : k + 100_000])], ["key", "rep", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(items[k : k + 100_000].view(np.int64)), pa.array(own[k : k + 100_000])], ["key", "rep"])
 
-    schema = "key long, rep long, n int"
-    counts = docs.select("rk", "text").mapInArrow(lambda b: elements(b, None), schema).groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    counts = scratch.save(counts, "counts")
-    scratch.drop()
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.build(counts.select("key"), counts.count()))
-    rows = docs.select("rk", "text").mapInArrow(lambda b: elements(b, shared.value), schema).join(counts, "key")
+    rows = docs.select("rk", "text").mapInArrow(elements, "key long, rep long").join(counts, "key").join(wanted, "rep")
     own = Window.partitionBy("rep")
     ranked = rows.withColumns({"rank": F.row_number().over(own.orderBy("df", "key")), "shared": F.count(F.lit(1)).over(own)})
     at = F.col("n") - F.col("shared") + F.col("rank") - 1
-    prefix = ranked.withColumn("pos", at.cast("int")).filter(f"pos <= n - ceil({PERCENT} * n / 100)").select("key", "rep", "n", "pos")
-    out = scratch.save(prefix.join(wanted, "rep"), "exact")
+    out = scratch.save(ranked.withColumn("pos", at.cast("int")).filter(f"pos <= n - ceil({PERCENT} * n / 100)").select("key", "rep", "n", "pos", "label"), "exact")
     scratch.drop("counts", "left")
     return out
 
