@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +33,10 @@ def _numbered(text: Column, aliases: dict[str, int], default: int) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), F.lower(F.trim(text))), F.lit(default))
 
 
+#: A field of ``payload_json`` that a decrypted message replaces.
+_NOT_DECRYPTED = '"decrypted":null'
+
+
 # Hex and bytes
 
 
@@ -339,42 +340,57 @@ def enrich_group_text(payload: Column, sender: Column, content: Column, sent_at:
     """``decrypted`` filled from the message, where there is one and the payload is JSON."""
     message = F.to_json(F.struct(F.coalesce(sender, F.lit("")).alias("sender"), F.coalesce(content, F.lit("")).alias("content"), epoch_ms(sent_at).alias("sentAt")))
     body = F.regexp_replace(payload, r"\}\s*$", "")
-    joined = F.concat(body, F.when(body.rlike(r"\{\s*$"), "").otherwise(","), F.lit('"decrypted":'), message, F.lit("}"))
+    added = F.concat(body, F.when(body.rlike(r"\{\s*$"), "").otherwise(","), F.lit('"decrypted":'), message, F.lit("}"))
+    joined = F.when(F.contains(payload, F.lit(_NOT_DECRYPTED)), F.replace(payload, F.lit(_NOT_DECRYPTED), F.concat(F.lit('"decrypted":'), message))).otherwise(added)
     return F.when(sent_at.isNotNull() & payload.rlike(r"^\s*\{.*\}\s*$") & F.get_json_object(payload, "$.decrypted").isNull(), joined).otherwise(payload)
 
 
-def payload_json(payload_type: Column, advert: Column, channel_hash: Column, trace: Column, raw: Column) -> Column:
-    """JSON of the decoded fields by payload type; other types keep their raw bytes."""
-    flags = advert["flags"]
-    advert_json = F.to_json(
-        F.struct(
-            F.lit("ADVERT").alias("type"), advert["pubkey"].alias("publicKey"), node_type_name(advert_role(flags)).alias("role"),
-            advert_degrees(flags, advert["lat"]).alias("latitude"), advert_degrees(flags, advert["lon"]).alias("longitude"),
-            F.when(advert_has(flags, "name"), advert["name"]).alias("name"),
-        )
-    )
-    trace_json = F.to_json(
-        F.struct(
-            trace_type(trace["hashes"]).alias("type"), u32_le(trace["tag"]).alias("tag"), trace["flags"].alias("flags"),
-            trace["hashes"].alias("pathHashes"), trace_snr(trace["snr"]).alias("snr"),
-        )
-    )
-    return (
-        F.when((payload_type == PAYLOAD_ADVERT) & advert.isNotNull(), advert_json)
-        .when((payload_type == PAYLOAD_GROUP_TEXT) & channel_hash.isNotNull(), F.to_json(F.struct(F.lit("GROUP_TEXT").alias("type"), channel_hash.alias("channelHash"))))
-        .when((payload_type == PAYLOAD_TRACE) & trace.isNotNull(), trace_json)
-        .otherwise(F.to_json(F.struct(F.lit("RAW").alias("type"), raw.alias("raw"))))
-    )
+#: Columns of the decoder that ``payload_json`` reads, by payload type, with the fields they need; bytes are hex text.
+DECODED = {
+    "envelope": "struct<destination:string,source:string,mac:string,ciphertext:string>", "group": "struct<channel_hash:string,mac:string,ciphertext:string>",
+    "ack": "struct<crc:bigint>", "advert": "struct<pubkey:string,type:int,timestamp:bigint,signature:string,app_data:string,flags:int,lat:int,lon:int,feature1:int,feature2:int,name:string>",
+    "anon": "struct<destination:int,pubkey:string>", "trace": "struct<tag:bigint,auth_code:bigint,flags:int,hashes:array<string>,snr:array<int>>",
+    "multipart": "struct<remaining:int,wrapped_type:int,wrapped_payload:string>", "control": "struct<flags:int,data:string>",
+}
+# The names of kinds in the JSON.
+ENVELOPES = {0: "REQUEST", 1: "RESPONSE", 2: "TEXT_MESSAGE", 8: "PATH"}
+GROUPS = {5: "GROUP_TEXT", 6: "GROUP_DATA"}
+
 
+def _json(**fields: Column) -> Column:
+    """Fields that are unknown stay, as null."""
+    return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())), {"ignoreNullFields": "false"})
 
-def python_transport_code(key: bytes, payload_type: int, payload: bytes) -> int:
-    """X23 for one value, with the same rule; for tests and configuration checks."""
-    block = key.ljust(64, b"\0")
-    inner = hashlib.sha256(bytes(b ^ 0x36 for b in block) + bytes([payload_type]) + payload).digest()
-    digest = hashlib.sha256(bytes(b ^ 0x5C for b in block) + inner).digest()
-    return {0: 1, 0xFFFF: 0xFFFE}.get(code := int.from_bytes(digest[:2], "little"), code)
 
+def payload_json(payload_type: Column, raw: Column, decoded: dict[str, Column]) -> Column:
+    """JSON of the decoded fields by payload type; null where the decoder could not read the payload, raw bytes for types without fields.
 
-def any_of(conditions: list[Column]) -> Column:
-    """The disjunction of conditions; true if there are none."""
-    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(True)
+    ``decoded`` has a struct column for each name of ``DECODED``; names left out count as not read.
+    """
+    d = {n: decoded.get(n, F.lit(None).cast(kind)) for n, kind in DECODED.items()}
+    n_bytes = lambda c: F.floor(F.length(c) / 2).cast("int")
+    a, e, g, t, m = d["advert"], d["envelope"], d["group"], d["trace"], d["multipart"]
+    flags = a["flags"]
+    shown = {"hasLocation": "location", "hasName": "name", "hasFeature1": "feature1", "hasFeature2": "feature2"}
+    flag_fields = F.struct(
+        F.lpad(F.lower(F.hex(flags.cast("long"))), 2, "0").alias("raw"), advert_role(flags).alias("deviceRole"), node_type_name(advert_role(flags)).alias("deviceRoleName"), *(advert_has(flags, what).alias(n) for n, what in shown.items())
+    )
+    app_data = F.struct(
+        a["app_data"].alias("raw"), flag_fields.alias("flags"), advert_degrees(flags, a["lat"]).alias("latitude"), advert_degrees(flags, a["lon"]).alias("longitude"),
+        *(F.when(advert_has(flags, f), a[f]).alias(f) for f in ("feature1", "feature2")), F.when(advert_has(flags, "name"), a["name"]).alias("name"),
+    )
+    sealed = lambda s: {"cipherMac": s["mac"], "ciphertext": s["ciphertext"], "ciphertextLength": n_bytes(s["ciphertext"]), "decrypted": F.lit(None).cast("string")}
+    kinds = {k: ("envelope", _json(raw=raw, type=F.lit(n), destinationHash=e["destination"], sourceHash=e["source"], **sealed(e))) for k, n in ENVELOPES.items()}
+    kinds |= {k: ("group", _json(raw=raw, type=F.lit(n), channelHash=g["channel_hash"], **sealed(g))) for k, n in GROUPS.items()}
+    kinds |= {
+        3: ("ack", _json(raw=raw, type=F.lit("ACK"), checksum=u32_le(d["ack"]["crc"]))),
+        PAYLOAD_ADVERT: ("advert", _json(type=F.lit("ADVERT"), raw=raw, publicKey=a["pubkey"], timestamp=a["timestamp"], signature=a["signature"], appData=app_data)),
+        7: ("anon", _json(raw=raw, type=F.lit("ANON_REQUEST"), destination=d["anon"]["destination"], ephemeralPubKey=d["anon"]["pubkey"])),
+        PAYLOAD_TRACE: ("trace", _json(raw=raw, type=trace_type(t["hashes"]), traceTag=u32_le(t["tag"]), authCode=t["auth_code"], flags=t["flags"], pathHashes=t["hashes"], snrValues=trace_snr(t["snr"]))),
+        10: ("multipart", _json(raw=raw, type=F.lit("MULTIPART"), remaining=m["remaining"], wrappedType=m["wrapped_type"], wrappedPayload=m["wrapped_payload"])),
+        11: ("control", _json(raw=raw, type=F.lit("CONTROL"), flags=d["control"]["flags"], data=d["control"]["data"])),
+    }
+    out = F.when(~payload_type.isin(*kinds), _json(type=F.lit("RAW"), raw=raw))
+    for kind, (name, text) in kinds.items():
+        out = out.when((payload_type == kind) & d[name].isNotNull(), text)
+    return out

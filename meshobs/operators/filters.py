@@ -11,7 +11,7 @@ from ..functions import expr as X
 
 
 def parse_iatas(iatas: str | None, iata: str | None = None) -> list[str] | None:
-    """a comma list of places in upper case; the plural argument wins; None if nothing is named."""
+    """a comma list of places in upper case; the plural argument wins; None if nothing is named.  ``parse_iatas_col`` does it to a column."""
     found = [p.strip().upper() for p in (iatas or iata or "").split(",")]
     return [p for p in found if p] or None
 

@@ -25,13 +25,13 @@ def neighbor_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("node_id").agg(F.count(F.lit(1)).alias("neighbor_count"))
 
 
-def node_neighbors_merged(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row per node and neighbour over all places, with the place of the newest edge."""
+def node_neighbors_merged(edges: DataFrame, nodes: DataFrame, *, ordered: bool = True) -> DataFrame:
+    """One row per node and neighbour over all places, with the place of the newest edge; newest first if ``ordered``."""
     merged = edges.groupBy("node_id", "neighbor_id").agg(
         F.sum("observation_count").alias("observation_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max_by("iata", F.struct("last_seen", "iata")).alias("iata")
     )
     named = merged.join(nodes.select(F.col("node_id").alias("neighbor_id"), F.col("name").alias("neighbor_name"), F.col("node_type").alias("neighbor_type")), "neighbor_id", "left")
-    return named.orderBy("node_id", F.desc("last_seen"), "neighbor_id")
+    return named.orderBy("node_id", F.desc("last_seen"), "neighbor_id") if ordered else named
 
 
 def reconfirm_neighbors(edges: DataFrame, short_ids: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from .filters import equals, heard_in, merge_by_key, name_like, page_desc, tristate
+from .filters import equals, heard_in, limited, merge_by_key, name_like, page_desc, tristate
 from .neighbors import neighbor_counts, node_neighbors_merged
 
 
@@ -70,6 +70,7 @@ def with_observer_link(nodes: DataFrame, observers: DataFrame) -> DataFrame:
 def list_nodes(
     nodes: DataFrame, node_iatas: DataFrame, observers: DataFrame, edges: DataFrame, scopes: DataFrame, *, node_type: int | None = None, iatas: Sequence[str] | None = None,
     multibyte_paths: bool | None = None, multibyte_traces: bool | None = None, public_key: str | None = None, name: str | None = None, scope: str | None = None, cursor=None, limit: int | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """Nodes with type name, places, observer link, neighbour count and default scope, newest first where ``last_seen`` is known."""
     kept = heard_in(name_like(equals(nodes, node_type=node_type, public_key=public_key), "name", name), node_iatas, "node_id", iatas)
@@ -81,16 +82,18 @@ def list_nodes(
     found = found.withColumns(
         {"node_type_name": X.node_type_name(F.col("node_type")), "neighbor_count": F.coalesce("neighbor_count", F.lit(0)), "places": F.coalesce("places", F.array().cast("array<struct<last_heard_ms:bigint,iata:string>>"))}
     )
+    if not ordered:
+        return found
     if "last_seen" in found.columns:
         return page_desc(found, "last_seen", cursor=cursor, limit=limit, ties=["node_id"])
-    return found.orderBy("node_id")
+    return limited(found.orderBy("node_id"), limit)
 
 
 def node_profile(nodes: DataFrame, node_iatas: DataFrame, observers: DataFrame, edges: DataFrame, scopes: DataFrame) -> DataFrame:
     """The list's columns, the least firmware and the merged neighbours, newest first."""
     each = F.struct(X.epoch_ms(F.col("last_seen")).alias("last_seen_ms"), "neighbor_id", "neighbor_name", "observation_count", "iata")
-    merged = node_neighbors_merged(edges, nodes).groupBy("node_id").agg(F.sort_array(F.collect_list(each), asc=False).alias("neighbors"))
-    found = list_nodes(nodes, node_iatas, observers, edges, scopes).join(merged, "node_id", "left")
+    merged = node_neighbors_merged(edges, nodes, ordered=False).groupBy("node_id").agg(F.sort_array(F.collect_list(each), asc=False).alias("neighbors"))
+    found = list_nodes(nodes, node_iatas, observers, edges, scopes, ordered=False).join(merged, "node_id", "left")
     if {"multibyte_paths", "multibyte_traces"} <= set(nodes.columns):
         found = found.withColumn("min_firmware_version", X.min_firmware_version(F.col("multibyte_paths"), F.col("multibyte_traces")))
     return found

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from .filters import between, equals, heard_in, merge_by_key, name_like, page_by_id, page_desc, with_status
+from .filters import between, equals, merge_by_key, name_like, page_by_id, page_desc, with_status
 
 TELEMETRY_HOURS = {"1h": 1, "6h": 6, "24h": 24}
 
@@ -18,8 +18,9 @@ def observer_last_iata(obs: DataFrame) -> DataFrame:
     return obs.groupBy("observer_id").agg(F.max_by("iata", F.struct("heard_at", "id")).alias("iata"))
 
 
-def attach_radio(obs: DataFrame, status: DataFrame) -> DataFrame:
-    """Each observation with its observer's last radio values (``freq, bw, sf, cr``) in arrival order; 0 if none came.
+def attach_radio(obs: DataFrame, status: DataFrame, *, stored: DataFrame | None = None) -> DataFrame:
+    """Each observation with its observer's last radio values (``freq, bw, sf, cr``) in arrival order; before the first of ``status`` those
+    of ``stored`` (one row per observer, from earlier batches), and 0 if there are none.
 
     Both are cut into days by ``arrival_ts``.  Within a day a window carries values on; what stands at the start of a day comes from a
     table of one row per observer and day, so no task has to sort all rows of a busy observer.
@@ -36,6 +37,8 @@ def attach_radio(obs: DataFrame, status: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("observer_id", "_day").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     filled = both.withColumn("_now", F.last("_radio", ignorenulls=True).over(so_far)).filter("_row IS NOT NULL")
     found = filled.join(days, ["observer_id", "_day"]).withColumn("_use", F.coalesce("_now", "_carried"))
+    if stored is not None:
+        found = found.join(stored.select("observer_id", radio.alias("_stored")), "observer_id", "left").withColumn("_use", F.coalesce("_use", "_stored"))
     zero = F.lit(0)
     return found.select("_row.*", *(F.coalesce(F.col(f"_use.{c}"), zero).alias(n) for c, n in (("freq", "radio_freq_mhz"), ("bw", "bandwidth_khz"), ("sf", "spread_factor"), ("cr", "coding_rate"))))
 
@@ -112,10 +115,11 @@ def fold_observer_scopes(inserted: DataFrame, *, existing: DataFrame | None = No
     return merge_by_key(existing, new, ["observer_id", "scope_id"], {"first_seen": "min", "last_seen": "max"})
 
 
-def telemetry_snapshots(status: DataFrame, *, resolution_s: int = 3600) -> DataFrame:
-    """T4 in batch: the first status of each observer and window."""
+def telemetry_snapshots(status: DataFrame, *, resolution_s: int = 3600, existing: DataFrame | None = None) -> DataFrame:
+    """T4 in batch: the first status of each observer and window; windows that ``existing`` has are not taken again."""
     at = X.truncate_ts(F.col("arrival_ts"), resolution_s)
-    return status.groupBy("pubkey", at.alias("reported_at")).agg(F.min_by("stats", "seq").alias("stats"))
+    new = status.groupBy("pubkey", at.alias("reported_at")).agg(F.min_by("stats", "seq").alias("stats"))
+    return new if existing is None else new.join(existing.select("pubkey", "reported_at"), ["pubkey", "reported_at"], "left_anti")
 
 
 def _details(observers: DataFrame, observer_scopes: DataFrame, scopes: DataFrame, obs: DataFrame, as_of) -> DataFrame:
@@ -154,7 +158,3 @@ def observer_adverts(obs: DataFrame, packets: DataFrame, nodes: DataFrame, *, cu
     heard = obs.join(adverts, "packet_hash").join(nodes.select(F.col("public_key").alias("origin_pubkey"), F.col("name").alias("node_name")), "origin_pubkey", "left")
     return page_by_id(heard.select("id", "observer_id", "packet_hash", "iata", "heard_at", "origin_pubkey", "node_name"), cursor=cursor, limit=limit, desc=False)
 
-
-def heard_by(observers: DataFrame, obs: DataFrame, iatas: Sequence[str] | None) -> DataFrame:
-    """observers with observations in the places."""
-    return heard_in(observers, obs, "observer_id", iatas)

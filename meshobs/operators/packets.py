@@ -51,7 +51,10 @@ def list_packets(
     """Packets newest first, with count and latest observer over all places; places choose packets only."""
     kept = between(equals(packets, payload_type=payload_type, route_type=route_type), "first_heard_at", since=since, until=until)
     kept = heard_in(kept, obs, "packet_hash", iatas).join(scopes.select("scope_id", F.col("name").alias("scope")), "scope_id", "left")
-    page = page_desc(equals(kept, scope=scope), "first_heard_at", cursor=cursor, limit=limit, ties=["packet_hash"])
+    kept = equals(kept, scope=scope)
+    kept = kept if cursor is None else kept.filter(F.col("first_heard_at") < F.lit(cursor))
+    # Without a limit nothing is cut, so only the result is sorted.
+    page = kept if limit is None else page_desc(kept, "first_heard_at", limit=limit, ties=["packet_hash"])
     wanted = obs if limit is None else obs.join(page.select("packet_hash"), "packet_hash", "left_semi")
     found = page.join(latest_observation(wanted), "packet_hash", "left").join(observers.select("observer_id", F.col("display_name").alias("observer_name")), "observer_id", "left")
     return found.select(
@@ -73,16 +76,24 @@ def packets_after(packets: DataFrame, obs: DataFrame, observers: DataFrame, scop
 def packet_detail(packets: DataFrame, obs: DataFrame, observers: DataFrame, scopes: DataFrame, messages: DataFrame, short_ids: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each packet with its spread, its JSON filled from a decrypted message, and its observations with resolved paths.
 
-    A packet without observations has an empty array.
+    An observation carries what ``obs`` has of the path's width, RSSI, radio and broker.  For a trace with ``trace_hashes``, ``route`` holds its
+    resolved hops merged over places, else it is null.  A packet without observations has an empty array.
     """
     paths = resolve_paths(obs, short_ids, nodes).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "hop", "confidence", "node_ids"))).alias("path"))
     rows = propagation_ms(obs).join(paths, "id", "left").join(observers.select("observer_id", F.col("display_name").alias("observer_name")), "observer_id", "left")
-    each = F.struct("heard_at", "id", "observer_id", "observer_name", "iata", "propagation_ms", "hop_count", "snr", "path")
+    optional = [c for c in ("path_length_byte", "hash_size", "rssi", "radio_freq_mhz", "bandwidth_khz", "spread_factor", "coding_rate", "source_broker") if c in obs.columns]
+    each = F.struct("heard_at", "id", "observer_id", "observer_name", "iata", "propagation_ms", "hop_count", *optional, "snr", "path")
     heard = rows.groupBy("packet_hash").agg(F.sort_array(F.collect_list(each)).alias("observations"), F.max("propagation_ms").alias("spread_ms"))
     text = messages.select("packet_hash", "sender_name", "content", "sent_at").dropDuplicates(["packet_hash"])
     found = packets.join(scopes.select("scope_id", F.col("name").alias("scope")), "scope_id", "left").join(heard, "packet_hash", "left").join(text, "packet_hash", "left")
     if "parsed_payload" in packets.columns:
         found = found.withColumn("parsed_payload", X.enrich_group_text(F.col("parsed_payload"), F.col("sender_name"), F.col("content"), F.col("sent_at")))
+    if {"trace_hashes", "trace_flags", "trace_tag"} <= set(packets.columns):
+        from .traces import trace_detail
+
+        hop = F.struct("pos", "hop", "confidence", "node_ids", "iata", "snr")
+        route = trace_detail(packets, obs, short_ids, nodes).groupBy("packet_hash").agg(F.sort_array(F.collect_list(hop)).alias("route"))
+        found = found.join(route, "packet_hash", "left")
     empty = F.array().cast(heard.schema["observations"].dataType)
     return found.withColumns({"observations": F.coalesce("observations", empty), "spread_ms": F.coalesce("spread_ms", F.lit(0))}).drop("sender_name", "content", "sent_at")
 

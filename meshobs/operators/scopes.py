@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from .filters import filter_iatas
 
+#: A scope's row has under a kilobyte, so what is broadcast stays under 10 MB.
+MAX_SCOPES = 10_000
+
 
 def _counted(scopes: DataFrame, *branches: tuple[DataFrame, str]) -> DataFrame:
     """Scopes with a count per branch, 0 where it has none; each branch is counted by itself, never in a joint product."""
@@ -64,12 +67,15 @@ def match_scope(packets: DataFrame, scopes: DataFrame) -> DataFrame:
     """The first scope by name whose transport code is the packet's; only for transport routes.
 
     ``packets`` has one row per ``packet_hash`` with ``route_type, payload_type, raw_payload, transport_code_1``.  Scopes are a configured
-    list; each carries its two HMAC blocks, so a code costs two hashes.
+    list, of which ``MAX_SCOPES`` at most are accepted; each carries its two HMAC blocks, so a code costs two hashes.  The list is tried against every
+    packet where the packet lies, which takes neither a shuffle of packets nor a row per packet and scope between tasks.
     """
+    if scopes.limit(MAX_SCOPES + 1).count() > MAX_SCOPES:
+        raise ValueError(f"more than {MAX_SCOPES} scopes")
     inner, outer = X.hmac_pads(F.col("transport_key"))
-    keyed = scopes.select("scope_id", F.col("name").alias("scope"), inner.alias("_inner"), outer.alias("_outer"))
+    keyed = F.broadcast(scopes.select("scope_id", F.col("name").alias("scope"), inner.alias("_inner"), outer.alias("_outer")))
     routed = packets.filter(F.col("route_type").isin(X.TRANSPORT_FLOOD, X.TRANSPORT_DIRECT) & F.col("transport_code_1").isNotNull())
     code = X.transport_code(F.col("_inner"), F.col("_outer"), F.col("payload_type"), F.col("raw_payload"))
-    tried = routed.select("packet_hash", "payload_type", "raw_payload", "transport_code_1").join(keyed, how="cross").filter(code == F.col("transport_code_1"))
+    tried = routed.select("packet_hash", "payload_type", "raw_payload", "transport_code_1").join(keyed, code == F.col("transport_code_1"))
     first = tried.groupBy("packet_hash").agg(F.min_by("scope_id", "scope").alias("scope_id"), F.min("scope").alias("scope"))
     return packets.join(first, "packet_hash", "left")

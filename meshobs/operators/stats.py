@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +19,20 @@ Places = Sequence[str] | None
 def hourly_stats(obs: DataFrame, *, as_of, iatas: Places = None, window: str = "7 days") -> DataFrame:
     """A1: per place and hour the observations, distinct packets and distinct observers of the last days.
 
-    Two exact distinct counts would copy each row three times; here (place, hour, packet, observer) is made distinct once with its
-    count, then (place, hour, packet), so that each step shrinks the rows of the next.
+    Two exact distinct counts in one aggregate would copy each row three times before the shuffle.  Here packets are counted per (place, hour,
+    packet) and observers per (place, hour, observer), each combined before its shuffle; the two small results join on (place, hour).
     """
     recent = trailing(filter_iatas(obs, iatas), "heard_at", as_of=as_of, window=window)
     rows = recent.select("iata", F.date_trunc("hour", "heard_at").alias("hour"), "packet_hash", "observer_id")
-    return rows.groupBy("iata", "hour").agg(
-        F.count(F.lit(1)).alias("observations"), F.countDistinct("packet_hash").alias("packets"), F.countDistinct("observer_id").alias("observers")
-    )
+    return distinct_counts(rows, ["iata", "hour"])
+
+
+def distinct_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows, distinct ``packet_hash`` and distinct ``observer_id`` per ``keys``."""
+    by_packet = rows.groupBy(*keys, "packet_hash").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("observations"), F.count("packet_hash").alias("packets")).alias("p")
+    by_observer = rows.select(*keys, "observer_id").distinct().groupBy(*keys).agg(F.count("observer_id").alias("observers")).alias("o")
+    same = reduce(and_, (F.col(f"p.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys))
+    return by_packet.join(by_observer, same).select(*(F.col(f"p.{k}").alias(k) for k in keys), "observations", "packets", "observers")
 
 
 def hourly_series(stats: DataFrame, *, as_of, hours: int, iatas: Places = None) -> DataFrame:
@@ -34,11 +42,16 @@ def hourly_series(stats: DataFrame, *, as_of, hours: int, iatas: Places = None)
 
 def stats_overview(obs: DataFrame, *, as_of, iatas: Places = None, approximate: bool = False) -> DataFrame:
     """A2: the last 24 hours in one row."""
-    distinct = F.approx_count_distinct if approximate else F.countDistinct
     recent = trailing(filter_iatas(obs, iatas), "heard_at", as_of=as_of, window="24 hours")
-    return recent.agg(
-        distinct("packet_hash").alias("packets"), F.count(F.lit(1)).alias("observations"), distinct("observer_id").alias("observers"), distinct("iata").alias("places")
-    )
+    if approximate:
+        distinct = F.approx_count_distinct
+        return recent.agg(
+            distinct("packet_hash").alias("packets"), F.count(F.lit(1)).alias("observations"), distinct("observer_id").alias("observers"), distinct("iata").alias("places")
+        )
+    # Each exact distinct count combines before its own shuffle; one aggregate of three would copy every row four times.
+    packets = recent.groupBy("packet_hash").agg(F.count(F.lit(1)).alias("n")).agg(F.count("packet_hash").alias("packets"), F.coalesce(F.sum("n"), F.lit(0)).alias("observations"))
+    others = [recent.select(c).distinct().agg(F.count(c).alias(n)) for c, n in (("observer_id", "observers"), ("iata", "places"))]
+    return packets.crossJoin(F.broadcast(others[0])).crossJoin(F.broadcast(others[1]))  # one row each
 
 
 def payload_breakdown(obs: DataFrame, packets: DataFrame, *, since, iatas: Places = None) -> DataFrame:

@@ -17,7 +17,10 @@ def best_trace_payload(packets: DataFrame) -> DataFrame:
     hops = X.json_length(F.col("parsed_payload"), "pathHashes")
     ranked = packets.filter("trace_tag IS NOT NULL").withColumn("hops", F.coalesce(hops, F.lit(-1)))
     best = F.min(F.struct((-F.col("hops")).alias("fewest"), "packet_hash", "parsed_payload")).alias("b")
-    return ranked.groupBy("trace_tag").agg(best).select("trace_tag", F.col("b.parsed_payload").alias("best_payload"), F.greatest(-F.col("b.fewest"), F.lit(0)).alias("hops"))
+    found = ranked.groupBy("trace_tag").agg(best).select("trace_tag", F.col("b.parsed_payload").alias("best_payload"), F.greatest(-F.col("b.fewest"), F.lit(0)).alias("hops"))
+    # The hashes and signal strengths of that payload; nothing can be read from another's.
+    parts = F.from_json("best_payload", "pathHashes array<string>, snrValues array<float>")
+    return found.withColumns({"path_hashes": parts["pathHashes"], "snr_values": parts["snrValues"]})
 
 
 def trace_tags(
@@ -44,20 +47,22 @@ def trace_tags(
 
 
 def trace_detail(packets: DataFrame, obs: DataFrame, short_ids: DataFrame, nodes: DataFrame, *, tag: str | None = None) -> DataFrame:
-    """``packet_hash, pos, hop, confidence, node_ids, iata`` of each traced hop, merged over the places that heard the packet.
+    """``packet_hash, pos, hop, confidence, node_ids, iata, snr`` of each traced hop, merged over the places that heard the packet.
 
-    Per hop the highest confidence wins (high, then ambiguous, then none), on ties the place that heard the packet first.  ``packets``
+    ``snr`` is the hop's of ``trace_snr``, quarter decibels of signed bytes, where ``packets`` has that column and so many values.  Per hop the highest confidence wins (high, then ambiguous, then none), on ties the place that heard the packet first.  ``packets``
     has ``trace_hashes``, an array of hop hashes; a hash that is not as wide as ``trace_flags`` says resolves to nothing.
     """
     kept = equals(packets.filter("trace_tag IS NOT NULL"), trace_tag=tag)
-    hops = kept.select("packet_hash", "trace_flags", F.posexplode("trace_hashes").alias("pos", "raw_hop"))
+    strengths = X.trace_snr(F.col("trace_snr")) if "trace_snr" in packets.columns else F.lit(None).cast("array<double>")
+    hops = kept.select("packet_hash", "trace_flags", strengths.alias("snrs"), F.posexplode("trace_hashes").alias("pos", "raw_hop"))
+    hops = hops.withColumn("snr", F.get("snrs", F.col("pos"))).drop("snrs")
     width = X.trace_hash_width(F.col("trace_flags"))
     hops = hops.withColumn("hop", F.when(F.length("raw_hop") == 2 * width, F.col("raw_hop")))
     places = obs.groupBy("packet_hash", "iata").agg(F.min(F.struct("heard_at", "id")).alias("heard"))
     resolved = resolve_hops(hops.join(places, "packet_hash", "left"), short_ids, nodes)
     rank = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "ambiguous", 1).otherwise(2)
     best = F.min_by(F.struct("confidence", "node_ids", "iata"), F.struct(rank.alias("rank"), "heard", "iata")).alias("b")
-    return resolved.groupBy("packet_hash", "pos", F.col("raw_hop").alias("hop")).agg(best).select("packet_hash", "pos", "hop", "b.*")
+    return resolved.groupBy("packet_hash", "pos", F.col("raw_hop").alias("hop")).agg(best, F.first("snr").alias("snr")).select("packet_hash", "pos", "hop", "b.*", "snr")
 
 
 def retag_pings(packets: DataFrame) -> DataFrame:

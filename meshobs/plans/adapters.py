@@ -19,23 +19,23 @@ VIEWS = {
 FROM events""",
     "packets": """SELECT packet_hash, packet_no, CAST(packet_no % 12 AS INT) AS payload_type, CAST(packet_no % 4 AS INT) AS route_type,
   CASE WHEN packet_no % 4 IN (0,3) AND packet_no % 5 <> 0 THEN CAST(1 + packet_no % 3 AS INT) END AS scope_id,
-  packet_no % 144 AS origin_node, md5('n' || CAST(packet_no % 144 AS STRING)) AS origin_pubkey,
+  packet_no % n AS origin_node, md5('n' || CAST(packet_no % n AS STRING)) AS origin_pubkey,
   CASE WHEN packet_no % 12 = 5 THEN substr(md5('c' || CAST(packet_no % 7 AS STRING)),1,2) END AS channel_hash,
   CASE WHEN packet_no % 12 = 9 THEN substr(md5('t' || CAST(CAST(floor(packet_no/36) AS BIGINT) AS STRING)),1,8) END AS trace_tag,
   CASE WHEN packet_no % 12 = 9 THEN CAST(1 + CAST(floor(packet_no/12) AS BIGINT) % 4 AS INT) END AS trace_hops,
-  min(heard_at) AS first_heard_at, max(heard_at) AS last_heard_at
-FROM obs GROUP BY packet_hash, packet_no""",
+  first_heard_at, last_heard_at
+FROM (SELECT packet_hash, packet_no, min(heard_at) AS first_heard_at, max(heard_at) AS last_heard_at FROM obs GROUP BY packet_hash, packet_no) p CROSS JOIN (SELECT count(*) AS n FROM customer) c""",
     "nodes": """SELECT c_custkey AS node_id, md5('n' || CAST(c_custkey AS STRING)) AS public_key,
   substr('YVRYYJYYCYEGYOWYYZSEALHR', CAST(1 + 3*(c_custkey % 8) AS INT), 3) AS home_iata, c_name AS name,
   CASE WHEN CAST(floor(c_custkey/8) AS BIGINT) % 6 = 0 THEN 1 WHEN CAST(floor(c_custkey/8) AS BIGINT) % 6 = 5 THEN 4
        WHEN CAST(floor(c_custkey/8) AS BIGINT) % 2 = 0 THEN 2 ELSE 3 END AS node_type,
   CASE WHEN c_custkey % 3 = 0 THEN CAST(1 + c_custkey % 3 AS INT) END AS default_scope_id
-FROM customer WHERE c_custkey < 144""",
+FROM customer""",
     "short_ids": "SELECT node_id, home_iata AS iata, substr(public_key,1,8) AS prefix_4 FROM nodes",
     "hops": """SELECT o.id, o.packet_hash, o.iata, h.pos,
-  substr(md5('n' || CAST(8*((o.packet_no*31 + h.pos*17) % 18) + (o.observer_id % 8) AS STRING)),1,2*o.hash_size) AS hop
-FROM obs o JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) h ON h.pos < o.hop_count""",
-    "observers": """SELECT observer_id, md5('o' || CAST(observer_id AS STRING)) AS public_key, 'obs-' || CAST(observer_id AS STRING) AS display_name,
+  substr(md5('n' || CAST(8*((o.packet_no*31 + h.pos*17) % c.n) + (o.observer_id % 8) AS STRING)),1,2*o.hash_size) AS hop
+FROM obs o CROSS JOIN (SELECT CAST(floor(count(*)/8) AS BIGINT) AS n FROM customer) c JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) h ON h.pos < o.hop_count""",
+    "observers": """SELECT observer_id, CASE WHEN observer_id % 4 = 0 THEN md5('n' || CAST(observer_id AS STRING)) ELSE md5('o' || CAST(observer_id AS STRING)) END AS public_key, 'obs-' || CAST(observer_id AS STRING) AS display_name,
   CASE WHEN observer_id % 3 = 0 THEN 'unknown' WHEN observer_id % 3 = 1 THEN 'bridge' ELSE 'ha' END AS observer_type,
   CASE WHEN observer_id % 10 = 0 THEN NULL ELSE CASE WHEN observer_id % 2 = 0 THEN '910.525,62.5,7' ELSE '915,250,10' END END AS preset,
   max(heard_at) AS last_status_at, max(heard_at) AS last_seen, count(*) - 1 AS observation_count
@@ -45,11 +45,12 @@ FROM obs GROUP BY observer_id""",
 FROM obs o JOIN packets p ON p.packet_hash = o.packet_hash WHERE p.scope_id IS NOT NULL GROUP BY o.observer_id, p.scope_id""",
     "node_iatas": """SELECT p.origin_node AS node_id, o.iata, min(o.heard_at) AS first_heard, max(o.heard_at) AS last_heard, count(*) AS observation_count
 FROM obs o JOIN packets p ON p.packet_hash = o.packet_hash WHERE p.payload_type = 4 GROUP BY p.origin_node, o.iata""",
+    "known_ids": "SELECT * FROM short_ids WHERE node_id IN (SELECT node_id FROM node_iatas)",
     "telemetry": """SELECT event_id AS id, user_id AS observer_id, date_trunc('hour', ts) AS reported_at, CAST(3000 + event_id % 1200 AS INT) AS battery_mv,
   value AS airtime_tx, value * 2 AS airtime_rx, -120 + value / 10 AS noise_floor, event_id * 60 AS uptime_s, CAST(event_id % 9 AS INT) AS queue_len,
   CAST(event_id % 50 AS INT) AS recv_errors FROM events""",
-    "messages": """SELECT c.conv_id AS id, CAST(1 + p.packet_no % 7 AS INT) AS channel_id, p.packet_hash, p.channel_hash, c.role AS sender_name, c.text AS content, p.first_heard_at AS sent_at
-FROM conversations c JOIN packets p ON p.packet_no = 12*c.conv_id + 5 WHERE c.turn = 0""",
+    "messages": """SELECT c.conv_id*1000 + c.turn AS id, CAST(1 + p.packet_no % 7 AS INT) AS channel_id, p.packet_hash, p.channel_hash, c.role AS sender_name, c.text AS content, p.first_heard_at AS sent_at
+FROM conversations c CROSS JOIN (SELECT count(*) AS n FROM packets WHERE payload_type = 5) g JOIN packets p ON p.packet_no = 12*((c.conv_id*8 + c.turn) % g.n) + 5""",
     "regions": "SELECT r_regionkey AS region_id, lower(r_name) AS slug, r_name AS name FROM region",
     "region_iatas": """SELECT CAST(i % 5 AS INT) AS region_id, substr('YVRYYJYYCYEGYOWYYZSEALHR', 1 + 3*i, 3) AS iata
 FROM (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) t""",
@@ -59,8 +60,8 @@ FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey""",
 }
 #: The views and tables that each view reads.
 NEEDS = {
-    "obs": ["events"], "packets": ["obs"], "nodes": ["customer"], "short_ids": ["nodes"], "hops": ["obs"], "observers": ["obs"], "scopes": [], "observer_scopes": ["obs", "packets"],
-    "node_iatas": ["obs", "packets"], "telemetry": ["events"], "messages": ["conversations", "packets"], "regions": ["region"], "region_iatas": [], "star_obs": ["lineitem", "supplier"], "star_packets": ["orders"],
+    "obs": ["events"], "packets": ["obs", "customer"], "nodes": ["customer"], "short_ids": ["nodes"], "hops": ["obs", "customer"], "observers": ["obs"], "scopes": [], "observer_scopes": ["obs", "packets"],
+    "node_iatas": ["obs", "packets"], "telemetry": ["events"], "messages": ["conversations", "packets"], "known_ids": ["short_ids", "node_iatas"], "regions": ["region"], "region_iatas": [], "star_obs": ["lineitem", "supplier"], "star_packets": ["orders"],
 }
 
 

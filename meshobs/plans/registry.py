@@ -148,7 +148,8 @@ def a10_scope_detail(t):
     return found.withColumn("iatas", F.array_join("iatas", ","))
 
 
-TRACED_SQL = """traced AS (SELECT *, CASE WHEN trace_tag IS NOT NULL THEN '{"type":"' || CASE WHEN trace_hops = 1 THEN 'PING' ELSE 'TRACE' END || '","pathHashes":[' || substr(repeat('"aa",', trace_hops), 1, 5 * trace_hops - 1) || ']}' END AS parsed_payload FROM packets)"""
+TRACED_SQL = """traced AS (SELECT *, CASE WHEN trace_tag IS NOT NULL THEN '{"type":"' || CASE WHEN trace_hops = 1 THEN 'PING' ELSE 'TRACE' END || '","pathHashes":["' || replace(hashes, ',', '","') || '"],"snrValues":[' || snrs || ']}' END AS parsed_payload
+ FROM (SELECT *, substr('aa,bb,cc,dd', 1, 3 * trace_hops - 1) AS hashes, substr('1.5,-0.25,-32.0,2.0', 1, CAST(substr('03091519', 2 * trace_hops - 1, 2) AS INT)) AS snrs FROM packets) q)"""
 
 
 def traced(t: Tables) -> DataFrame:
@@ -156,21 +157,26 @@ def traced(t: Tables) -> DataFrame:
     return t.spark.sql(TRACED_SQL.removeprefix("traced AS (")[:-1].replace("FROM packets", "FROM {packets}").replace("'{\"type\"", "'{{\"type\"").replace("']}'", "']}}'"), packets=t.packets)
 
 
+def _tags(df: DataFrame) -> DataFrame:
+    """With the best payload's hashes and signal strengths as text."""
+    return df.withColumns({"hashes": F.array_join("path_hashes", ","), "snrs": F.array_join(F.transform("snr_values", lambda x: x.cast("string")), ",")}).drop("best_payload", "path_hashes", "snr_values")
+
+
 def _trace_tags(where: str) -> str:
     return f"""WITH {TRACED_SQL} SELECT k.trace_tag, min(k.first_heard_at) AS first_heard_at, max(k.last_heard_at) AS last_heard_at, count(DISTINCT k.packet_hash) AS packets,
- max(CASE WHEN k.trace_hops = 1 THEN 'PING' ELSE 'TRACE' END) AS type, count(DISTINCT o.iata) AS places, any_value(b.hops) AS hops
- FROM traced k LEFT JOIN obs o ON o.packet_hash = k.packet_hash JOIN (SELECT trace_tag, CAST(max(trace_hops) AS INT) AS hops FROM traced WHERE trace_tag IS NOT NULL GROUP BY trace_tag) b ON b.trace_tag = k.trace_tag
+ max(CASE WHEN k.trace_hops = 1 THEN 'PING' ELSE 'TRACE' END) AS type, count(DISTINCT o.iata) AS places, any_value(b.hops) AS hops, any_value(b.hashes) AS hashes, any_value(b.snrs) AS snrs
+ FROM traced k LEFT JOIN obs o ON o.packet_hash = k.packet_hash JOIN (SELECT trace_tag, CAST(max(trace_hops) AS INT) AS hops, arg_min(hashes, (-trace_hops, packet_hash)) AS hashes, arg_min(snrs, (-trace_hops, packet_hash)) AS snrs FROM traced WHERE trace_tag IS NOT NULL GROUP BY trace_tag) b ON b.trace_tag = k.trace_tag
  WHERE k.trace_tag IS NOT NULL {where} GROUP BY k.trace_tag"""
 
 
 @query(_trace_tags(""), "packets", "obs")
 def a11_trace_tags(t):
-    return traces.trace_tags(traced(t), t.obs, t.scopes).drop("best_payload")
+    return _tags(traces.trace_tags(traced(t), t.obs, t.scopes))
 
 
 @query(_trace_tags(f"AND k.trace_hops > 1 AND k.first_heard_at >= TIMESTAMP '2024-01-10' AND o.iata IN {IN_PLACES}"), "packets", "obs")
 def r10_list_traces(t):
-    return traces.trace_tags(traced(t), t.obs, t.scopes, iatas=PLACES, trace_type="trace", since=day("2024-01-10 00:00:00")).drop("best_payload")
+    return _tags(traces.trace_tags(traced(t), t.obs, t.scopes, iatas=PLACES, trace_type="trace", since=day("2024-01-10 00:00:00")))
 
 
 @query("SELECT packet_hash, count(*) AS observation_count FROM obs GROUP BY packet_hash", "obs")
@@ -250,10 +256,10 @@ def r1_list_packets(t):
     return packets.list_packets(t.packets, t.obs, t.observers, t.scopes)
 
 
-@query(_list_packets(f"p.payload_type = 3 AND p.route_type = 3 AND s.name = '#west' AND p.first_heard_at >= TIMESTAMP '2024-01-05' AND p.first_heard_at < TIMESTAMP '2024-01-28' AND p.packet_hash IN (SELECT packet_hash FROM obs WHERE iata IN {IN_PLACES})", "ORDER BY p.first_heard_at DESC, p.packet_hash LIMIT 21"), "packets", "obs", "observers", "scopes")
+@query(_list_packets(f"p.payload_type = 3 AND p.route_type = 3 AND s.name = '#bc' AND p.first_heard_at >= TIMESTAMP '2024-01-05' AND p.first_heard_at < TIMESTAMP '2024-01-28' AND p.packet_hash IN (SELECT packet_hash FROM obs WHERE iata IN {IN_PLACES})", "ORDER BY p.first_heard_at DESC, p.packet_hash LIMIT 21"), "packets", "obs", "observers", "scopes")
 def r1_list_packets_page(t):
     return packets.list_packets(
-        t.packets, t.obs, t.observers, t.scopes, payload_type=3, route_type=3, iatas=PLACES, scope="#west", since=day("2024-01-05 00:00:00"), cursor=day("2024-01-28 00:00:00"), limit=20
+        t.packets, t.obs, t.observers, t.scopes, payload_type=3, route_type=3, iatas=PLACES, scope="#bc", since=day("2024-01-05 00:00:00"), cursor=day("2024-01-28 00:00:00"), limit=20
     )
 
 
@@ -350,25 +356,26 @@ def a27_short_ids(t):
     return nodes.fold_short_ids(adverts(t))
 
 
-SOME_IDS = "some_ids AS (SELECT * FROM short_ids WHERE node_id % 7 <> 0)"
+#: Nodes that have not advertised count as lost.
+SOME_IDS = "some_ids AS (SELECT * FROM known_ids)"
 
 
 @query(f"""WITH {ROUTES_SQL}, {SOME_IDS}, h AS (SELECT node_ids AS k, iata, unnest(node_ids) AS node_id, unnest(hash_prefix) AS hop FROM routes),
  w AS (SELECT iata, substr(prefix_4, 1, 2*n) AS hop FROM some_ids, (VALUES (1),(2),(3),(4)) v(n) GROUP BY ALL HAVING count(*) > 1),
  bad AS (SELECT k, h.iata FROM h LEFT JOIN some_ids s ON s.node_id = h.node_id AND s.iata = h.iata WHERE s.node_id IS NULL UNION SELECT k, h.iata FROM h JOIN w ON w.iata = h.iata AND w.hop = h.hop)
- SELECT {FLAT} FROM routes r WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.k = r.node_ids AND b.iata = r.iata)""", *PATH_VIEWS)
+ SELECT {FLAT} FROM routes r WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.k = r.node_ids AND b.iata = r.iata)""", *PATH_VIEWS, "known_ids")
 def j11_reconfirm_routes(t):
-    return flat(routes.reconfirm_routes(known_routes(t), t.short_ids.filter("node_id % 7 <> 0"), by_width=True))
+    return flat(routes.reconfirm_routes(known_routes(t), t.known_ids, by_width=True))
 
 
-@query(f"WITH {EDGES_SQL}, {SOME_IDS} SELECT e.* FROM edges e JOIN some_ids s ON s.node_id = e.neighbor_id AND s.iata = e.iata WHERE (SELECT count(*) FROM some_ids x WHERE x.iata = s.iata AND x.prefix_4 = s.prefix_4) = 1", *PATH_VIEWS)
+@query(f"WITH {EDGES_SQL}, {SOME_IDS} SELECT e.* FROM edges e JOIN some_ids s ON s.node_id = e.neighbor_id AND s.iata = e.iata WHERE (SELECT count(*) FROM some_ids x WHERE x.iata = s.iata AND x.prefix_4 = s.prefix_4) = 1", *PATH_VIEWS, "known_ids")
 def j12_reconfirm_neighbors(t):
-    return neighbors.reconfirm_neighbors(edges(t), t.short_ids.filter("node_id % 7 <> 0"))
+    return neighbors.reconfirm_neighbors(edges(t), t.known_ids)
 
 
-@query(f"WITH {EDGES_SQL}, k AS (SELECT node_id, CASE WHEN node_id % 5 = 0 THEN 1 ELSE node_type END AS node_type FROM nodes WHERE node_id % 11 <> 0) SELECT e.* FROM edges e WHERE node_id NOT IN (SELECT node_id FROM k WHERE node_type NOT IN (2,3)) AND neighbor_id NOT IN (SELECT node_id FROM k WHERE node_type NOT IN (2,3))", *PATH_VIEWS)
+@query(f"WITH {EDGES_SQL}, k AS (SELECT node_id, CASE WHEN node_id % 5 = 0 THEN 1 ELSE node_type END AS node_type FROM nodes WHERE node_id IN (SELECT node_id FROM known_ids)) SELECT e.* FROM edges e WHERE node_id NOT IN (SELECT node_id FROM k WHERE node_type NOT IN (2,3)) AND neighbor_id NOT IN (SELECT node_id FROM k WHERE node_type NOT IN (2,3))", *PATH_VIEWS, "known_ids")
 def j13_clean_neighbors(t):
-    some = t.nodes.filter("node_id % 11 <> 0").withColumn("node_type", F.when(F.col("node_id") % 5 == 0, 1).otherwise(F.col("node_type")))
+    some = t.nodes.join(t.known_ids.select("node_id"), "node_id", "left_semi").withColumn("node_type", F.when(F.col("node_id") % 5 == 0, 1).otherwise(F.col("node_type")))
     return neighbors.clean_neighbors(edges(t), some)
 
 
@@ -398,13 +405,15 @@ def r13_list_routes(t):
 
 
 P = "substr(md5('n' || '{}'), 1, 4)"
+#: Two nodes that follow each other on paths of the adapters' hops.
+SEARCH = (87, 223)
 
 
-@query(f"WITH {ROUTES_SQL} SELECT iata, full_hop_count, CAST(len(node_ids) AS INT) AS hop_count, array_to_string(node_ids, ',') AS node_ids, last_seen FROM (SELECT iata, hop_count AS full_hop_count, last_seen, node_ids[list_position(hash_prefix, f):list_position(hash_prefix, g)] AS node_ids FROM (SELECT *, {P.format(39)} AS f, {P.format(15)} AS g FROM routes) WHERE iata = 'LHR' AND list_position(hash_prefix, f) > 0 AND list_position(hash_prefix, f) < list_position(hash_prefix, g))", *PATH_VIEWS)
+@query(f"WITH {ROUTES_SQL} SELECT iata, full_hop_count, CAST(len(node_ids) AS INT) AS hop_count, array_to_string(node_ids, ',') AS node_ids, last_seen FROM (SELECT iata, hop_count AS full_hop_count, last_seen, node_ids[list_position(hash_prefix, f):list_position(hash_prefix, g)] AS node_ids FROM (SELECT *, {P.format(SEARCH[0])} AS f, {P.format(SEARCH[1])} AS g FROM routes) WHERE iata = 'LHR' AND list_position(hash_prefix, f) > 0 AND list_position(hash_prefix, f) < list_position(hash_prefix, g))", *PATH_VIEWS)
 def r14_search_routes(t):
     import hashlib
 
-    f, g = (hashlib.md5(f"n{k}".encode()).hexdigest()[:4] for k in (39, 15))
+    f, g = (hashlib.md5(f"n{k}".encode()).hexdigest()[:4] for k in SEARCH)
     found = routes.search_routes(known_routes(t), t.nodes, iata="LHR", from_hash=f, to_hash=g)
     return found.select("iata", "full_hop_count", "hop_count", joined("node_ids"), "last_seen")
 
@@ -443,12 +452,19 @@ TRACE_HASHES = "substr(md5('n' || CAST(8*((packet_no*31 + {i}*17) % 18) + packet
  pl AS (SELECT packet_hash, iata, min((heard_at, id)) AS heard FROM obs GROUP BY ALL),
  m AS (SELECT h.packet_hash, h.pos, h.hop, pl.iata, pl.heard, coalesce(c.n, 0) AS candidates, c.node_id FROM h LEFT JOIN pl USING (packet_hash) LEFT JOIN cand c ON c.iata = pl.iata AND c.hop = h.hop),
  k AS (SELECT *, row_number() OVER (PARTITION BY packet_hash, pos ORDER BY CASE candidates WHEN 1 THEN 0 WHEN 0 THEN 2 ELSE 1 END, heard, iata) AS rn FROM m)
- SELECT packet_hash, pos, hop, {CONFIDENCE} AS confidence, iata, CASE WHEN candidates > 0 THEN node_id END AS first_node FROM k WHERE rn = 1""", "packets", "obs", "short_ids", "nodes")
+ SELECT packet_hash, pos, hop, {CONFIDENCE} AS confidence, iata, CASE WHEN candidates > 0 THEN node_id END AS first_node,
+ CASE WHEN pos + 1 < hops THEN (CASE WHEN b > 127 THEN b - 256 ELSE b END) / 4.0 END::DOUBLE AS snr FROM (SELECT k.*, p.trace_hops AS hops, (p.packet_no + 7 * k.pos) % 256 AS b FROM k JOIN packets p USING (packet_hash)) WHERE rn = 1""", "packets", "obs", "short_ids", "nodes")
 def r12_trace_detail(t):
+    found = traces.trace_detail(_traced_hashes(t), t.obs, t.short_ids, t.nodes)
+    return found.select("packet_hash", "pos", "hop", "confidence", "iata", F.get("node_ids", F.lit(0)).alias("first_node"), "snr")
+
+
+def _traced_hashes(t: Tables) -> DataFrame:
+    """Packets with the hashes and signal bytes of traces, the last hop without a signal."""
     hashes = F.slice(F.array(*(F.expr(TRACE_HASHES.format(i=i)) for i in range(4))), 1, F.col("trace_hops"))
-    rows = t.packets.withColumn("trace_hashes", F.when(F.col("trace_tag").isNotNull(), hashes)).withColumn("trace_flags", F.lit(0))
-    found = traces.trace_detail(rows, t.obs, t.short_ids, t.nodes)
-    return found.select("packet_hash", "pos", "hop", "confidence", "iata", F.get("node_ids", F.lit(0)).alias("first_node"))
+    signals = F.slice(F.array(*(((F.col("packet_no") + 7 * i) % 256).cast("int") for i in range(4))), 1, F.col("trace_hops") - 1)
+    traced_row = F.col("trace_tag").isNotNull()
+    return t.packets.withColumns({"trace_hashes": F.when(traced_row, hashes), "trace_flags": F.lit(0), "trace_snr": F.when(traced_row, signals)})
 
 
 # -- devices, channels, messages, dimensions ---------------------------------------------------------------------------
@@ -460,6 +476,19 @@ def r5_list_nodes(t):
     return found.select("node_id", "name", "node_type_name", "default_scope", "neighbor_count", F.size("places").cast("long").alias("n_places"), "is_observer")
 
 
+CAPABLE = "SELECT node_id, bool_or(t <> 9 AND s IN (2,3)) AS multibyte_paths, bool_or(t = 9 AND s IN (2,4)) AS multibyte_traces FROM (SELECT c.node_id, p.payload_type AS t, o.hash_size AS s FROM hops h JOIN obs o USING (id) JOIN packets p ON p.packet_hash = o.packet_hash JOIN (SELECT s.iata, substr(s.prefix_4, 1, 2*w.n) AS hop, s.node_id FROM short_ids s JOIN nodes USING (node_id), (VALUES (1),(2),(3),(4)) w(n) WHERE node_type IN (2,3)) c ON c.iata = h.iata AND c.hop = h.hop) WHERE (t <> 9 AND s IN (2,3)) OR (t = 9 AND s IN (2,4)) GROUP BY node_id"
+
+
+@query(f"WITH cap AS ({CAPABLE}) SELECT n.node_id, n.name, s.name AS default_scope, multibyte_paths, multibyte_traces FROM nodes n JOIN cap USING (node_id) JOIN scopes s ON s.scope_id = n.default_scope_id WHERE node_type = 2 AND n.node_id IN (SELECT node_id FROM node_iatas WHERE iata IN {IN_PLACES}) AND n.name ILIKE '%customer%' AND multibyte_paths AND NOT multibyte_traces AND s.name = '#bc'", *PATH_VIEWS, "node_iatas", "scopes")
+def r5_filtered_nodes(t):
+    """Type, places, name, both capability flags and default scope."""
+    able = resolve.node_capabilities(resolved(t), t.obs, t.packets)
+    found = nodes.list_nodes(
+        t.nodes.join(able, "node_id", "left"), t.node_iatas, t.observers, t.obs.limit(0).select(F.lit(0).alias("node_id")), t.scopes, node_type=2, iatas=PLACES, name="customer", multibyte_paths=True, multibyte_traces=False, scope="#bc"
+    )
+    return found.select("node_id", "name", "default_scope", "multibyte_paths", "multibyte_traces")
+
+
 @query(f"WITH {EDGES_SQL}, m AS (SELECT node_id, neighbor_id, sum(observation_count) AS n, max(last_seen) AS last_seen FROM edges GROUP BY ALL) SELECT n.node_id, (SELECT string_agg(m.neighbor_id || ':' || CAST(m.n AS BIGINT), ',' ORDER BY (epoch_us(m.last_seen) // 1000) DESC, m.neighbor_id DESC) FROM m WHERE m.node_id = n.node_id) AS neighbors FROM nodes n", *PATH_VIEWS)
 def r5_node_profile(t):
     found = nodes.node_profile(t.nodes, t.node_iatas, t.observers, edges(t), t.scopes)
@@ -539,9 +568,9 @@ def a31_fold_channels(t):
     return found.select("channel_hash", "key_fingerprint", "first_seen", "last_seen", "key_known", "message_count")
 
 
-@query("SELECT packet_hash, channel_hash, sender_name, content, sent_at FROM messages", "messages")
+@query("SELECT packet_hash, any_value(channel_hash) AS channel_hash, arg_min(sender_name, id) AS sender_name, arg_min(content, id) AS content, any_value(sent_at) AS sent_at FROM messages GROUP BY packet_hash", "messages")
 def a32_channel_messages(t):
-    twice = t.messages.withColumn("seq", F.col("id")).unionByName(t.messages.withColumns({"seq": F.col("id") + 1_000_000, "content": F.lit("second")}))
+    twice = t.messages.withColumn("seq", F.col("id")).unionByName(t.messages.withColumns({"seq": F.col("id") + 1_000_000_000_000, "content": F.lit("second")}))
     return channels.fold_channel_messages(twice)
 
 
@@ -580,6 +609,21 @@ def r17_region_members(t):
     return dims.region_members(t.regions, t.region_iatas)
 
 
+@query("SELECT region_id, slug, name FROM regions", "regions")
+def r17_list_regions(t):
+    return dims.list_regions(t.regions)
+
+
+@query("SELECT scope_id, name FROM scopes", "scopes")
+def r17_list_scopes(t):
+    return scopes.list_scopes(t.scopes)
+
+
+@query("SELECT iata, min(heard_at) AS since FROM obs GROUP BY iata", "obs")
+def r17_list_iatas(t):
+    return dims.list_iatas(t.obs.groupBy("iata").agg(F.min("heard_at").alias("since")))
+
+
 @query("SELECT iata, count(*) AS n FROM obs WHERE iata IN (SELECT iata FROM region_iatas JOIN regions USING (region_id) WHERE slug = 'asia') GROUP BY iata", "obs", "region_iatas", "regions")
 def f3_region_observations(t):
     places = filters.region_iatas(t.regions, t.region_iatas, slug="asia")
@@ -632,7 +676,7 @@ def t8_match_subscriptions(t):
 
 @query("SELECT place_id, count(*) AS observations, count(DISTINCT packet_id) AS packets, count(DISTINCT observer_id) AS observers FROM star_obs GROUP BY place_id", "star_obs")
 def star_place_stats(t):
-    return t.star_obs.groupBy("place_id").agg(F.count(F.lit(1)).alias("observations"), F.countDistinct("packet_id").alias("packets"), F.countDistinct("observer_id").alias("observers"))
+    return stats.distinct_counts(t.star_obs.select("place_id", F.col("packet_id").alias("packet_hash"), "observer_id"), ["place_id"])
 
 
 @query("SELECT payload_type, count(*) AS observations, p.name FROM (SELECT packet_id, o.payload_type, n.name FROM star_packets o JOIN " + NAMES.replace("AS names", "AS n") + " USING (payload_type)) p JOIN star_obs USING (packet_id) GROUP BY ALL", "star_obs", "star_packets")
@@ -650,34 +694,19 @@ def star_latest_observation(t):
 @query(None)
 def r3_packet_detail(t):
     """One row per observation of the nested detail."""
-    found = packets.packet_detail(t.packets, t.paths, t.observers, t.scopes, t.messages, t.short_ids, t.nodes)
-    rows = found.select("packet_hash", "scope", "spread_ms", F.explode("observations").alias("o"))
-    return rows.select("packet_hash", "scope", "spread_ms", "o.id", "o.observer_name", "o.iata", "o.propagation_ms", F.array_join(F.transform("o.path", lambda x: x["confidence"]), ",").alias("path"))
+    heard = t.paths.withColumn("rssi", (F.col("id") % 90).cast("int"))
+    traced_packets = _traced_hashes(t)
+    found = packets.packet_detail(traced_packets, heard, t.observers, t.scopes, t.messages, t.short_ids, t.nodes)
+    rows = found.select("packet_hash", "scope", "spread_ms", F.size("route").alias("route_hops"), F.explode("observations").alias("o"))
+    return rows.select("packet_hash", "scope", "spread_ms", F.when(F.col("route_hops") > 0, F.col("route_hops")).alias("route_hops"), "o.id", "o.observer_name", "o.iata", "o.rssi", "o.source_broker", "o.hash_size", "o.propagation_ms", F.array_join(F.transform("o.path", lambda x: x["confidence"]), ",").alias("path"))
 
 
 ORACLES["r3_packet_detail"] = with_views(
     f"""WITH {RESOLVED}, pt AS (SELECT id, string_agg({CONFIDENCE}, ',' ORDER BY pos) AS path FROM resolved GROUP BY id)
- SELECT o.packet_hash, s.name AS scope, epoch_us(max(o.heard_at) OVER w) // 1000 - epoch_us(min(o.heard_at) OVER w) // 1000 AS spread_ms, o.id, v.display_name AS observer_name, o.iata, epoch_us(o.heard_at) // 1000 - epoch_us(min(o.heard_at) OVER w) // 1000 AS propagation_ms, pt.path
+ SELECT o.packet_hash, s.name AS scope, epoch_us(max(o.heard_at) OVER w) // 1000 - epoch_us(min(o.heard_at) OVER w) // 1000 AS spread_ms, p.trace_hops AS route_hops, o.id, v.display_name AS observer_name, o.iata, CAST(o.id % 90 AS INT) AS rssi, o.source_broker, o.hash_size, epoch_us(o.heard_at) // 1000 - epoch_us(min(o.heard_at) OVER w) // 1000 AS propagation_ms, pt.path
  FROM obs o JOIN packets p USING (packet_hash) LEFT JOIN scopes s ON s.scope_id = p.scope_id LEFT JOIN observers v ON v.observer_id = o.observer_id LEFT JOIN pt ON pt.id = o.id WINDOW w AS (PARTITION BY o.packet_hash)""",
     *PATH_VIEWS, "scopes", "observers",
 )
 
 
-@query("SELECT 'packets' AS kind, count(DISTINCT packet_hash) AS n FROM obs UNION ALL SELECT 'observations', count(*) FROM (SELECT DISTINCT packet_hash, observer_id, heard_at FROM obs) UNION ALL SELECT 'observers', count(DISTINCT observer_id) FROM obs UNION ALL SELECT 'nodes', count(DISTINCT origin_node) FROM packets WHERE payload_type = 4", "obs", "packets")
-def r18_ingest_batch(t):
-    """The whole batch job over packets as a decoder would hand them on, each copied through two brokers; sizes of its tables."""
-    null = F.lit(None)
-    rows = t.paths.join(t.packets.select("packet_hash", "payload_type", "route_type", "origin_pubkey", "channel_hash"), "packet_hash")
-    advert = F.when(F.col("payload_type") == 4, F.struct(F.col("origin_pubkey").alias("pubkey"), F.lit(2).alias("type"), F.lit(0x92).alias("flags"), F.lit(49_000_000).alias("lat"), F.lit(-123_000_000).alias("lon"), F.lit("n").alias("name")))
-    text = F.when(F.col("payload_type") == 5, F.struct(F.lit(True).alias("ok"), F.lit("s").alias("sender"), F.lit("hello").alias("text"), F.lit(1_704_067_200).cast("long").alias("ts")))
-    decoded = rows.select(
-        F.col("id").alias("seq"), F.col("heard_at").cast("timestamp").alias("arrival_ts"), F.col("source_broker").alias("broker"), "iata", F.col("observer_id").cast("string").alias("observer_pubkey"), "packet_hash",
-        F.lit(0x11).alias("header"), "route_type", "payload_type", F.lit(0).alias("payload_version"), null.cast("int").alias("transport_code_1"), null.cast("int").alias("transport_code_2"), "hash_size", "hop_count", "path_bytes",
-        F.lit("aa").alias("raw_payload"), F.date_format("heard_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp_text"), F.lit("-100").alias("rssi_text"), F.lit("1.5").alias("snr_text"), advert.alias("advert"), "channel_hash", text.alias("message"),
-        null.cast("struct<tag:bigint,flags:int,hashes:array<string>,snr:array<int>>").alias("trace"),
-    )
-    twice = decoded.unionByName(decoded.withColumns({"seq": F.col("seq") + 1_000_000_000, "broker": F.lit("other")}))
-    status = t.spark.createDataFrame([], "seq long, arrival_ts timestamp, broker string, iata string, pubkey string, source string, client_version string, model string, firmware_version string, origin string, radio string, stats struct<uptime_secs:bigint,battery_mv:int,noise_floor:float,queue_len:int,debug_flags:int,tx_air_secs:double,rx_air_secs:double,recv_errors:int>")
-    tables = ingest.ingest_batch(twice, status, dims.scope_dim(t.spark, ["bc", "west"]), dims.key_dim(t.spark, ["meshtalk"]))
-    sizes = [tables[k].agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n")) for k in ("packets", "observations", "observers", "nodes")]
-    return sizes[0].unionByName(sizes[1]).unionByName(sizes[2]).unionByName(sizes[3])
+from . import ingested, scalars  # noqa: E402, F401  their queries register themselves

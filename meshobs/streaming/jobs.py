@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import expr as X
-from ..operators.filters import merge_by_key
+from ..operators.ingest import APPENDED, UPSERTED, State, ingest_batch, split_messages
+from ..operators.observers import telemetry_snapshots
+from .store import Store
+
+#: Tables of ``ingest_batch`` that a micro-batch writes whole: they hold a row per device, place or route and not per message.
+WHOLE = ["nodes", "node_short_ids", "node_iatas", "default_scopes", "node_neighbors", "known_routes", "capabilities", "observers", "observer_status", "observer_brokers", "observer_scopes", "channels"]
+#: Clients that may subscribe to everything; their ids are broadcast.
+MAX_OPEN = 100_000
 
 KEY = ["packet_hash", "observer_id", "heard_at"]
 
@@ -39,81 +48,107 @@ def telemetry_stream(stream: DataFrame, *, resolution_s: int = 3600, watermark:
     return snapped.withWatermark("reported_at", watermark).dropDuplicatesWithinWatermark(["pubkey", "reported_at"])
 
 
-def fold_stream(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], keys: list[str], rules: dict[str, str], path: str, checkpoint: str) -> StreamingQuery:
-    """T5: a folded table kept under ``path``; each micro-batch is folded and merged.
-
-    The table's versions lie in ``path/v=N``; a batch reads version N and writes N+1, so a batch that is run again writes the same version again.
-    """
-    spark = stream.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{path}/v={number}") if number else None
-        merge_by_key(old, fold(batch), keys, rules).write.mode("overwrite").parquet(f"{path}/v={number + 1}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def telemetry_fold_stream(stream: DataFrame, path: str, checkpoint: str, *, resolution_s: int = 3600) -> StreamingQuery:
+    """T4: as ``telemetry_stream``, kept under ``path``; a window that an earlier run has stored is never taken again, however late a status comes."""
+    store = Store(stream.sparkSession, path)
 
+    def snap(batch: DataFrame, number: int) -> None:
+        store.append("telemetry", telemetry_snapshots(batch, resolution_s=resolution_s, existing=store.appended("telemetry", number)), number)
 
-def running_events(batch: DataFrame, counts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """A micro-batch's observations with first flag and running count, given the packets' counts so far; and the new counts."""
-    so_far = Window.partitionBy("packet_hash").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = batch.withColumn("in_batch", F.count(F.lit(1)).over(so_far))
-    new = batch.groupBy("packet_hash").agg(F.count(F.lit(1)).alias("n"))
-    if counts is None:
-        counts = new.limit(0)
-    events = rows.join(counts, "packet_hash", "left").withColumn("observation_count", F.col("in_batch") + F.coalesce("n", F.lit(0))).drop("in_batch", "n")
-    return events.withColumn("is_first", F.col("observation_count") == 1), merge_by_key(counts, new, ["packet_hash"], {"n": "sum"})
+    return stream.writeStream.foreachBatch(snap).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _event(df: DataFrame, kind: str, payload: dict, iata: str | None, payload_type=None, channel_hash=None) -> DataFrame:
-    body = F.to_json(F.struct(*(c.alias(n) for n, c in payload.items())))
-    null = F.lit(None)
-    return df.select(
-        F.lit(kind).alias("type"), body.alias("payload"), (F.col(iata) if iata else null.cast("string")).alias("iata"),
-        (null.cast("int") if payload_type is None else payload_type.cast("int")).alias("payload_type"), (null.cast("string") if channel_hash is None else channel_hash).alias("channel_hash"),
-    )
+def fold_stream(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], keys: list[str], rules: dict[str, str], path: str, checkpoint: str, *, compact_every: int = 16) -> StreamingQuery:
+    """T5: a folded table kept under ``path``; ``read_folded`` reads it.
 
+    A micro-batch is folded and written as a delta of its own, ``delta=N``, whose size follows the batch and not the table.  Reading merges the last base with the
+    deltas since; every ``compact_every`` batches the merge is written as the next base, and what it replaces goes one compaction later.  A batch that is run again
+    writes the same folders again.
+    """
+    store = Store(stream.sparkSession, path)
 
-def observation_event_rows(events: DataFrame) -> DataFrame:
-    """Rows of the event table."""
-    payload = {"packetHash": F.col("packet_hash"), "observerId": F.col("observer_id"), "iata": F.col("iata"), "heardAt": X.epoch_ms(F.col("heard_at")), "isFirstObservation": F.col("is_first"), "observationCount": F.col("observation_count")}
-    return _event(events, "packetObservation", payload, "iata", F.col("payload_type"), F.col("channel_hash"))
+    def merge(batch: DataFrame, number: int) -> None:
+        store.write_delta(fold(batch), number)
+        if (number + 1) % compact_every == 0:
+            store.compact(keys, rules, number)
 
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def node_event_rows(adverts: DataFrame) -> DataFrame:
-    """T7."""
-    payload = {"publicKey": F.col("advert.pubkey"), "name": F.col("advert.name"), "nodeType": X.node_type_name(F.col("advert.type")), "iata": F.col("iata")}
-    return _event(adverts, "nodeUpdate", payload, "iata", F.lit(X.PAYLOAD_ADVERT))
 
+def read_folded(spark: SparkSession, path: str, keys: list[str], rules: dict[str, str]) -> DataFrame:
+    """T5: the table that ``fold_stream`` keeps under ``path``."""
+    return Store(spark, path).folded(keys, rules)
 
-def message_event_rows(messages: DataFrame) -> DataFrame:
-    """T7."""
-    payload = {"channelHash": F.col("channel_hash"), "sender": F.coalesce("sender_name", F.lit("")), "content": F.coalesce("content", F.lit("")), "sentAt": X.epoch_ms(F.col("sent_at"))}
-    return _event(messages, "channelMessage", payload, "iata", F.lit(X.PAYLOAD_GROUP_TEXT), F.col("channel_hash"))
 
+def run_ingest_stream(
+    messages: DataFrame, decode: Callable[[DataFrame], DataFrame], scopes: DataFrame, keys: DataFrame, state_dir: str, checkpoint: str, *, airports: DataFrame | None = None, countries=(), continents=(),
+) -> StreamingQuery:
+    """W-A, T5, T6: the ingest batch over a stream of messages, with all its tables kept under ``state_dir``; ``read_ingested`` reads them.
 
-def status_event_rows(status: DataFrame) -> DataFrame:
-    """T7."""
-    radio = X.parse_radio(F.col("radio"))
-    payload = {"publicKey": F.col("pubkey"), "name": F.col("origin"), "radio": X.radio_text(radio["freq"], radio["bw"], radio["sf"]), "batteryVolts": X.battery_volts(F.col("stats.battery_mv"))}
-    return _event(status, "observerStatus", payload, "iata")
+    ``decode`` turns ``packets`` rows of S3 into decoded packets.  New observations, telemetry and events are appended; of packets, messages and counts only
+    the rows that a batch touched are written, the newest of a key counts; small tables are written anew and their older versions removed.  A micro-batch reads what the
+    batches before it left, and one that is run again overwrites its own folders, so nothing counts twice.
+    """
+    spark = messages.sparkSession
+    store = Store(spark, state_dir)
+
+    def ingest(batch: DataFrame, number: int) -> None:
+        work = f"{state_dir}/work"
+
+        def save(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{work}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+        parts = split_messages(save(batch, "messages"), airports, countries=countries, continents=continents)
+        decoded = save(decode(parts["packets"]), "decoded")
+        # Times are kept within half an hour of arrival, so older observations cannot be the same.
+        span = decoded.agg(F.min("arrival_ts").alias("t")).first()["t"]
+        tables = {n: store.appended(n, number) for n in APPENDED if n != "events"} | {n: store.upserted(n, UPSERTED[n], number) for n in UPSERTED}
+        if tables["observations"] is not None and span is not None:
+            tables["observations"] = tables["observations"].filter(F.col("heard_at") >= F.lit(span) - F.expr("INTERVAL 31 MINUTES"))
+        tables |= {n: store.latest(n, number) for n in WHOLE}
+        found = ingest_batch(decoded, parts["status"], scopes, keys, State({n: t for n, t in tables.items() if t is not None}), save=save, touched_only=True)
+        for name, df in found.items():
+            store.append(name, df, number)
+        store.append("rejects", parts["rejects"], number)
+        for name in WHOLE:
+            store.forget(name, number - 2)
+
+    return messages.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_ingested(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
+    """The table ``name`` of ``ingest_batch`` as ``run_ingest_stream`` keeps it."""
+    store = Store(spark, state_dir)
+    if name in UPSERTED:
+        return store.upserted(name, UPSERTED[name], None)
+    return store.appended(name, None) if name in APPENDED or name == "rejects" else store.latest(name, None)
 
 
 def match_subscriptions(events: DataFrame, subs: DataFrame) -> DataFrame:
     """``event_id, client_id`` of deliveries; events have ``event_id, type, iata, payload_type, channel_hash``.
 
-    A subscription matches if each of its lists that is not empty holds the event's value.  Subscriptions with places join on the place;
-    those without are a list of their own.  A client gets an event once.
+    A subscription matches if each of its lists that is not empty holds the event's value.  Each is joined by equality on the most selective list that it
+    has (channel hashes, places, payload types, event types) and checked for the others.  Only those without any list meet every event, of
+    which ``MAX_OPEN`` at most are accepted.  A client gets an event once.
     """
+    lists = [("channel_hashes", "channel_hash"), ("iatas", "iata"), ("payload_types", "payload_type"), ("events", "type")]
 
-    def holds(names: str, value: str):
-        return (F.coalesce(F.size(names), F.lit(0)) <= 0) | F.coalesce(F.array_contains(names, F.col(value)), F.lit(False))
+    def some(name: str) -> Column:
+        return F.coalesce(F.size(name), F.lit(0)) > 0
 
-    rest = holds("events", "type") & holds("payload_types", "payload_type") & holds("channel_hashes", "channel_hash")
-    placed = subs.filter(F.coalesce(F.size("iatas"), F.lit(0)) > 0).withColumn("iata", F.explode("iatas")).select("client_id", "iata", "events", "payload_types", "channel_hashes")
-    anywhere = subs.filter(F.coalesce(F.size("iatas"), F.lit(0)) <= 0).select("client_id", "events", "payload_types", "channel_hashes")
     rows = events.select("event_id", "type", "iata", "payload_type", "channel_hash")
-    hits = rows.join(placed, "iata").filter(rest).select("event_id", "client_id")
-    return hits.union(rows.join(anywhere, how="cross").filter(rest).select("event_id", "client_id")).distinct()
+    hits, left = [], subs.select("client_id", *(n for n, _ in lists))
+    for name, value in lists:
+        own = left.filter(some(name)).withColumn("_value", F.explode(F.array_distinct(name)))
+        fit = [~some(n) | F.coalesce(F.array_contains(n, F.col(v)), F.lit(False)) for n, v in lists if n != name]
+        hits.append(rows.join(own, F.col(value) == F.col("_value")).filter(reduce(and_, fit)).select("event_id", "client_id"))
+        left = left.filter(~some(name))
+    anywhere = left.select("client_id").distinct()
+    if anywhere.limit(MAX_OPEN + 1).count() > MAX_OPEN:
+        raise ValueError(f"more than {MAX_OPEN} clients subscribe to everything")
+    hits.append(rows.select("event_id").join(F.broadcast(anywhere), how="cross"))
+    return reduce(DataFrame.union, hits).distinct()
 
 
 def expand_subscription_places(subs: DataFrame, regions: DataFrame, members: DataFrame) -> DataFrame:

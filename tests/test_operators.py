@@ -4,9 +4,10 @@ import datetime as dt
 
 
 from meshobs.operators import channels, filters, nodes, observers, resolve, routes, scopes, traces
-from meshobs.functions import expr as X
 from meshobs.sources import dims
 
+from conftest import python_transport_code
+
 T = lambda m: dt.datetime(2024, 1, 1, 0, m)
 
 
@@ -40,7 +41,7 @@ def test_fold_nodes(spark):
 def test_match_scope(spark):
     dim = dims.scope_dim(spark, ["bc", "west"])
     key = bytes.fromhex("84509cfe73d94f7f6a8299e6bcdb8a3c")
-    code = X.python_transport_code(key, 4, b"\x01\x02")
+    code = python_transport_code(key, 4, b"\x01\x02")
     rows = [("a", 0, 4, "0102", code), ("b", 1, 4, "0102", code), ("c", 3, 4, "0102", code + 1), ("d", 3, 4, "0102", None)]
     got = {r.packet_hash: r.scope for r in scopes.match_scope(spark.createDataFrame(rows, "packet_hash string, route_type int, payload_type int, raw_payload string, transport_code_1 int"), dim).collect()}
     assert got == {"a": "#bc", "b": None, "c": None, "d": None}
@@ -100,3 +101,20 @@ def test_merge_rules(spark):
     new = spark.createDataFrame([(1, 2, "b", "z"), (3, 9, "c", None)], "id int, n long, s string, t string")
     got = {r.id: (r.n, r.s, r.t) for r in filters.merge_by_key(old, new, ["id"], {"n": "sum", "s": "first", "t": "last_known"}).collect()}
     assert got == {1: (7, "a", "z"), 2: (1, "x", "k"), 3: (9, "c", None)}
+
+
+def test_scope_list_is_bounded(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(scopes, "MAX_SCOPES", 1)
+    rows = spark.createDataFrame([("a", 0, 4, "0102", 1)], "packet_hash string, route_type int, payload_type int, raw_payload string, transport_code_1 int")
+    with pytest.raises(ValueError):
+        scopes.match_scope(rows, dims.scope_dim(spark, ["bc", "west"]))
+
+
+def test_radio_goes_on_from_stored_values(spark):
+    obs = spark.createDataFrame([(1, "o", T(1), 10), (3, "o", T(3), 11), (4, "p", T(4), 12)], "seq long, observer_id string, arrival_ts timestamp, id long")
+    status = spark.createDataFrame([(2, "o", T(2), 910.5, 62.5, 7, 5)], "seq long, observer_id string, arrival_ts timestamp, freq double, bw double, sf int, cr int")
+    stored = spark.createDataFrame([("o", 915.0, 250.0, 10, 6)], "observer_id string, freq double, bw double, sf int, cr int")
+    got = {r.id: r.spread_factor for r in observers.attach_radio(obs, status, stored=stored).collect()}
+    assert got == {10: 10, 11: 7, 12: 0}

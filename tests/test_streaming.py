@@ -2,10 +2,14 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from meshobs.operators import filters, packets
+from meshobs.operators import events, filters, ingest, maintenance, observers, packets
+from meshobs.plans import ingested
 from meshobs.plans.adapters import Tables
+from meshobs.sources import dims, messages
+from meshobs.sources.messages import TOPIC_ROOT
 from meshobs.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -25,37 +29,108 @@ def test_dedup_and_hours(spark, tmp_path):
     stream = spark.readStream.schema(both.schema).parquet(str(tmp_path / "obs"))
     once = run(jobs.dedup_stream(stream, watermark="60 days"), "deduped")
     assert once.count() == packets.dedup_observations(both).count() == rows.count()
-    hours = run(jobs.hourly_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "obs")), watermark="60 days"), "hours")
-    assert hours.count() == 0  # the watermark has not passed them yet
+    hours = run(jobs.hourly_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "obs"))), "hours")
+    # Windows that the watermark has passed, an hour before the last time, are out; each counts both copies.
+    passed = both.agg(F.max("heard_at")).first()[0] - dt.timedelta(hours=1)
+    want = both.groupBy("iata", F.window("heard_at", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("packet_hash").alias("p")).collect()
+    want = {(r.iata, r.w.start): (r.n, r.p) for r in want if r.w.end <= passed}
+    got = {(r.iata, r.hour): (r.observations, r.packets) for r in hours.collect()}
+    assert len(want) > 100 and got == want
     batch = jobs.hourly_stream(both)
     assert batch.agg(F.sum("observations")).first()[0] == 2 * rows.count()
 
 
-def test_fold_stream(spark, tmp_path):
+@pytest.mark.parametrize("compact_every", [2, 16])
+def test_fold_stream(spark, tmp_path, compact_every):
     rows = Tables(spark, SF).obs.select("observer_id", "heard_at")
-    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    rows.repartition(5).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     fold = lambda b: b.groupBy("observer_id").agg(F.count(F.lit(1)).alias("n"), F.max("heard_at").alias("last"))
-    jobs.fold_stream(stream, fold, ["observer_id"], {"n": "sum", "last": "max"}, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    newest = max(int(p.name[2:]) for p in (tmp_path / "out").iterdir() if p.name.startswith("v="))
-    got = spark.read.parquet(str(tmp_path / "out" / f"v={newest}"))
-    assert newest == 3 and sorted(map(tuple, got.select("observer_id", "n", "last").collect())) == sorted(map(tuple, fold(rows).collect()))
+    rules, path = {"n": "sum", "last": "max"}, str(tmp_path / "out")
+    jobs.fold_stream(stream, fold, ["observer_id"], rules, path, str(tmp_path / "cp"), compact_every=compact_every).awaitTermination()
+    got = jobs.read_folded(spark, path, ["observer_id"], rules)
+    assert sorted(map(tuple, got.select("observer_id", "n", "last").collect())) == sorted(map(tuple, fold(rows).collect()))
+    assert {f.name for f in (tmp_path / "out").iterdir()} == ({"base=1", "base=3", "delta=2", "delta=3", "delta=4"} if compact_every == 2 else {f"delta={k}" for k in range(5)})
+
+
+def test_telemetry_streams(spark, tmp_path):
+    status = ingested.decoded_statuses(Tables(spark, SF)).select("pubkey", "seq", "arrival_ts", "stats")
+    for k in range(3):  # in order of arrival, with windows across files
+        status.orderBy("seq").filter(F.col("stats.uptime_secs").between(k * 340, k * 340 + 339)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(status.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.telemetry_fold_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    want = sorted(map(tuple, observers.telemetry_snapshots(status).select("pubkey", "reported_at").collect()))
+    got = jobs.Store(spark, str(tmp_path / "out")).appended("telemetry", None)
+    assert sorted(map(tuple, got.select("pubkey", "reported_at").collect())) == want
+    once = run(jobs.telemetry_stream(spark.readStream.schema(status.schema).parquet(str(tmp_path / "in")), watermark="60 days"), "telemetry_once")
+    assert sorted(map(tuple, once.select("pubkey", "reported_at").collect())) == want
+
+
+def test_clamped_times(spark):
+    at = dt.datetime(2024, 1, 1, 12)
+    rows = spark.createDataFrame([("2024-01-01T11:59:00", at), ("2024-01-01T11:00:00", at), (None, at)], "timestamp_text string, arrival_ts timestamp")
+    assert [r.heard_at.minute for r in jobs.clamp_times(rows).collect()] == [59, 0, 0]
+
+
+def test_ingest_stream_equals_one_batch(spark, tmp_path):
+    """Three micro-batches of messages leave the tables that one batch of all messages gives."""
+    t = Tables(spark, SF)
+    decoded, status = ingested.decoded_packets(t), ingested.decoded_statuses(t)
+    key = lambda c: F.lpad(c, 4, "0")
+    raw = F.to_json(F.struct(F.hex("seq").alias("raw"), F.col("timestamp_text").alias("timestamp"), F.lit("1").alias("len"), F.col("snr_text").alias("SNR"), F.col("rssi_text").alias("RSSI")))
+    packets_in = decoded.select(F.concat_ws("/", F.lit(TOPIC_ROOT), "iata", key("observer_pubkey"), F.lit("packets")).alias("topic"), F.regexp_replace(raw, '"raw":"([0-9A-F])"', '"raw":"0$1"').alias("payload"), "broker", "arrival_ts", "seq")
+    told = F.to_json(F.struct("source", "client_version", "model", "firmware_version", "origin", "radio", "stats"))
+    status_in = status.select(F.concat_ws("/", F.lit(TOPIC_ROOT), "iata", key("pubkey"), F.lit("status")).alias("topic"), told.alias("payload"), "broker", "arrival_ts", "seq")
+    everything = packets_in.unionByName(status_in).withColumn("payload", F.regexp_replace("payload", '"raw":"([0-9A-F]([0-9A-F]{2})*)"', '"raw":"0$1"'))
+    everything.write.parquet(str(tmp_path / "all"))
+    everything = spark.read.parquet(str(tmp_path / "all"))
+    for k, part in enumerate(("arrival_ts < TIMESTAMP '2024-01-11'", "arrival_ts >= TIMESTAMP '2024-01-11' AND arrival_ts < TIMESTAMP '2024-01-16'", "arrival_ts >= TIMESTAMP '2024-01-16'")):
+        everything.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    decoded.drop("arrival_ts", "broker", "iata", "observer_pubkey", "timestamp_text", "rssi_text", "snr_text").write.parquet(str(tmp_path / "decoded"))
+    known = spark.read.parquet(str(tmp_path / "decoded"))
+    decode = lambda p: p.drop("raw").join(known, "seq")
+    scopes, keys = dims.scope_dim(spark, ingested.SCOPES), ingested.channel_keys(t)
+    stream = messages.read_messages(spark, str(tmp_path / "in"), streaming=True, fmt="parquet", maxFilesPerTrigger="1")
+    jobs.run_ingest_stream(stream, decode, scopes, keys, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
+    parts = ingest.split_messages(everything)
+    want = ingest.ingest_batch(decode(parts["packets"]), parts["status"], scopes, keys, save=ingested.saver(spark, "t"))
+    got = {name: jobs.read_ingested(spark, str(tmp_path / "state"), name) for name in want}
+    show = lambda tables: {r.kind: (r.n, r.checksum) for r in ingested.digests(tables).collect()}
+    assert parts["rejects"].count() == 0 and show(got) == show(want)
+
+
+def test_published_versions_and_upkeep(spark, tmp_path):
+    t, as_of = Tables(spark, SF), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    preset = F.when(F.col("node_type") != 1, "915,250,10")
+    tables = {"observations": t.obs, "node_iatas": t.node_iatas, "nodes": t.nodes.withColumn("preset", preset), "observers": t.observers}
+    path = str(tmp_path / "p")
+    for _ in range(3):
+        maintenance.refresh_published(tables, path, as_of=as_of)
+    for name in ("hourly_stats", "top_nodes", "radio_presets"):
+        assert {f.name for f in (tmp_path / "p" / name).iterdir() if not f.name.startswith(".")} == {"v=2", "v=3"}
+    hours = maintenance.read_published(spark, f"{path}/hourly_stats")
+    assert hours.agg(F.sum("observations")).first()[0] == t.obs.filter(F.col("heard_at") > as_of - F.expr("INTERVAL 7 DAYS")).count()
+    edges = spark.createDataFrame([(1, 2, "YVR")], "node_id long, neighbor_id long, iata string")
+    routes = spark.createDataFrame([([1, 2], ["aa", "bb"], "YVR", 1)], "node_ids array<long>, hash_prefix array<string>, iata string, id long")
+    kept = maintenance.hourly_upkeep(tables | {"packets": t.packets, "telemetry": t.telemetry, "known_routes": routes, "node_neighbors": edges, "node_short_ids": t.short_ids}, path, as_of=as_of, packet_retention="20 days")
+    cutoff = dt.datetime(2024, 1, 11)
+    assert kept["packets"].agg(F.min("last_heard_at")).first()[0] >= cutoff and kept["known_routes"].count() == 0 and kept["node_neighbors"].count() == 0
 
 
 def test_running_events(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("a", 4)], "packet_hash string, seq long")
-    first, counts = jobs.running_events(rows.filter("seq <= 2"), None)
-    second, counts = jobs.running_events(rows.filter("seq > 2"), counts)
+    first, counts = events.running_counts(rows.filter("seq <= 2"), None)
+    second, counts = events.running_counts(rows.filter("seq > 2"), counts)
     got = {r.seq: (r.observation_count, r.is_first) for r in [*first.collect(), *second.collect()]}
     assert got == {1: (1, True), 2: (2, False), 3: (1, True), 4: (3, False)}
     assert {r.packet_hash: r.n for r in counts.collect()} == {"a": 3, "b": 1}
 
 
 def test_subscriptions(spark):
-    events = spark.createDataFrame([(1, "packetObservation", "YVR", 5, "ef"), (2, "nodeUpdate", "SEA", 4, None)], "event_id long, type string, iata string, payload_type int, channel_hash string")
+    rows = spark.createDataFrame([(1, "packetObservation", "YVR", 5, "ef"), (2, "nodeUpdate", "SEA", 4, None)], "event_id long, type string, iata string, payload_type int, channel_hash string")
     subs = [("all", [], [], [], []), ("place", ["YVR"], [], [], []), ("type", [], [4], [], []), ("hash", [], [], ["ef"], []), ("kind", [], [], [], ["nodeUpdate"]), ("both", ["SEA"], [5], [], []), ("all", ["YVR"], [], [], [])]
     table = spark.createDataFrame(subs, "client_id string, iatas array<string>, payload_types array<int>, channel_hashes array<string>, events array<string>")
-    got = sorted(map(tuple, jobs.match_subscriptions(events, table).collect()))
+    got = sorted(map(tuple, jobs.match_subscriptions(rows, table).collect()))
     assert got == [(1, "all"), (1, "hash"), (1, "place"), (2, "all"), (2, "kind"), (2, "type")]
 
 
