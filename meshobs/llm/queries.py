@@ -14,7 +14,7 @@ from .flow_reshard import reshard
 from .mcd_quality import mcd_quality
 from .ngram_jaccard import ngram_jaccard
 from .quote_linking import link_quotes
-from .training_order import training_order
+from .training_order import materialise
 from .url_filters import filter_urls
 
 JSON_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,7 +27,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order(_table(spark, sf_dir, "documents"), JSON_VOCABULARY, key="training order, epoch 1")
+    """The index of the shard files that it writes, with a checksum of each record as read back."""
+    return materialise(_table(spark, sf_dir, "documents"), JSON_VOCABULARY, key="training order, epoch 1")
 
 
 def op2_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

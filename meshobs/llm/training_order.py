@@ -1,15 +1,15 @@
 """Training-order materialisation: every sequence gets a global slot by a keyed permutation.
 
-Texts become token ids; each input partition's ids, with an end token after every document, form one stream
-that is cut into sequences of fixed length (a partition's last one is filled up with the end token).  Sequences are
-numbered through all partitions.  A Feistel network with a secret key permutes the numbers: it is a bijection of
-the smallest even-bit range that holds them, and numbers it throws beyond the end are permuted again until
+Texts become token ids.  Documents are dealt to streams by a hash of their id, and lie in order of their ids in each; a stream's ids, with an end token after
+every document, are cut into sequences of fixed length (a stream's last one is filled up with the end token).  Sequences are
+numbered through all streams, so the numbers depend on the documents and the number of streams alone, not on how files or tasks split them.  A Feistel network with
+a secret key permutes the numbers: it is a bijection of the smallest even-bit range that holds them, and numbers it throws beyond the end are permuted again until
 they fall inside (cycle-walking).  No sort, no random numbers to store: a slot can be computed from a number alone
-and a number from a slot.  Rows are then range-partitioned by shard and lie in slot order, as records of a
+and a number from a slot.  Rows are then partitioned by ranges of slots, some shards to a partition, and written in slot order as records of a
 fixed stride, so a reader seeks to ``slot * stride`` and goes on sequentially.
 
 Nulls: a null text is empty; an empty text adds only its end token.  A null ``doc_id`` stays null.  Repeated rows count
-one by one; other columns are ignored; an empty table gives an empty result.
+one by one, and copies of one row are dealt to streams singly; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,10 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import mix64
@@ -31,6 +30,8 @@ from .bpe_ids import json_coder
 from .common import Scratch
 
 ROUNDS = 6
+#: Bytes of text in a stream, and the most streams and partitions.
+STREAM, STREAMS, PARTITIONS = 16 << 20, 65_536, 20_000
 RECORD = "slot long, shard int, byte_offset long, seq long, doc_id long, start long, n_tokens int, record_crc32 long, record binary"
 
 
@@ -64,104 +65,169 @@ def permute(x: np.ndarray, n: int, key: str, back: bool = False) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def cut_sequences(docs: DataFrame, tokenizer: str, length: int, end_id: int) -> DataFrame:
-    """Fixed-length sequences with their partition and place in it, and where they start."""
+def dealt_documents(docs: DataFrame, streams: int | None) -> tuple[DataFrame, int]:
+    """``stream, doc_id, tie, text`` and the number of streams; ``tie`` orders rows of one id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.countDistinct("doc_id").alias("ids"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    if streams is None:
+        streams = min(max(1, seen["size"] // STREAM), STREAMS)
+    if seen["n"] == seen["known"] == seen["ids"]:
+        rows = rows.withColumn("tie", F.lit(""))
+    else:  # copies of one row are alike: each gets its number, so that many of them do not meet in one stream
+        same = rows.groupBy("doc_id", F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+        rows = same.select("doc_id", "text", "sha", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).withColumn("tie", F.format_string("%s-%012d", "sha", "copy"))
+    return rows.select(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(streams)).cast("int").alias("stream"), "doc_id", "tie", "text"), streams
+
+
+def token_rows(dealt: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """``stream, doc_id, tie, ids``: 16-bit ids of each document and its end."""
+    if end_id >= 1 << 16:
+        raise ValueError("records hold 16-bit ids")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, end = json_coder(tokenizer), np.array([end_id], "<u2").tobytes()
+        for batch in batches:
+            texts = batch.column("text")
+            for at in range(0, batch.num_rows, 500):
+                ids = [np.frombuffer(coder(t.as_py()), "<u4").astype("<u2").tobytes() + end for t in texts[at : at + 500]]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[at : at + 500] for c in ("stream", "doc_id", "tie")), pa.array(ids, pa.binary())], ["stream", "doc_id", "tie", "ids"])
+
+    return dealt.mapInArrow(encode, "stream int, doc_id long, tie string, ids binary")
+
+
+def cut_sequences(docs: DataFrame, tokenizer: str, length: int, end_id: int, streams: int | None) -> DataFrame:
+    """Fixed-length sequences with their stream and place in it, and where they start."""
+    dealt, streams = dealt_documents(docs, streams)
+    # A task takes whole streams, one after the other; it holds one sequence and one document at a time.
+    ordered = token_rows(dealt, tokenizer, end_id).repartition(streams, "stream").sortWithinPartitions("stream", "doc_id", "tie")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, local = json_coder(tokenizer), TaskContext.get().partitionId(), 0
-        end, rest, at = np.array([end_id], "<u4"), np.empty(0, "<u2"), (None, 0)
-        names = ["part", "local", "doc_id", "start", "n_tokens", "record"]
+        names = ["stream", "local", "doc_id", "start", "n_tokens", "record"]
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         out: list[tuple] = []
+        stream, local, rest, at = None, 0, np.empty(0, "<u2"), (None, 0)
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            found = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            out.clear()
+            return found
+
+        def finish() -> None:
+            if len(rest):
+                out.append((stream, local, *at, len(rest), np.concatenate((rest, np.full(length - len(rest), end_id, "<u2"))).tobytes()))
+
         for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "").to_pylist()
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = np.concatenate((np.frombuffer(coder(text), "<u4"), end)).astype("<u2")
+            for s, doc, raw in zip(*(batch.column(c) for c in ("stream", "doc_id", "ids")), strict=True):
+                if (s := s.as_py()) != stream:
+                    finish()
+                    stream, local, rest = s, 0, np.empty(0, "<u2")
+                doc, ids = doc.as_py(), np.frombuffer(raw.as_buffer(), "<u2")
                 if not len(rest):
                     at = (doc, 0)
                 taken = length - len(rest)
-                stream = np.concatenate((rest, ids))
-                whole = len(stream) // length
+                tokens = np.concatenate((rest, ids))
+                whole = len(tokens) // length
                 for k in range(whole):
-                    out.append((part, local, *at, length, stream[k * length : (k + 1) * length].tobytes()))
+                    out.append((stream, local, *at, length, tokens[k * length : (k + 1) * length].tobytes()))
                     at, local = (doc, taken + k * length), local + 1
-                rest = stream[whole * length :]
-            if len(out) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                out.clear()
-        if len(rest):
-            full = np.concatenate((rest, np.full(length - len(rest), end_id, "<u2")))
-            out.append((part, local, *at, len(rest), full.tobytes()))
-        columns = zip(*out, strict=True) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                rest = tokens[whole * length :]
+                if len(out) >= 500:
+                    yield batch_of()
+        finish()
+        yield batch_of()
 
-    if end_id >= 1 << 16:
-        raise ValueError("records hold 16-bit ids")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "part int, local long, doc_id long, start long, n_tokens int, record binary")
+    return ordered.select("stream", "doc_id", "ids").mapInArrow(cut, "stream int, local long, doc_id long, start long, n_tokens int, record binary")
 
 
-def training_order(docs: DataFrame, tokenizer: str, key: str, length: int = 1024, end_id: int = 50256, shard_records: int = 4096) -> DataFrame:
-    """One record per sequence, range-partitioned by shard and sorted by slot.
+def training_order(docs: DataFrame, tokenizer: str, key: str, length: int = 1024, end_id: int = 50256, shard_records: int = 4096, streams: int | None = None) -> DataFrame:
+    """One record per sequence, partitioned by ranges of slots and sorted by slot.
 
     ``seq`` is the sequence's number, ``slot`` its place in training order; ``byte_offset`` is the place in its
     shard, ``doc_id`` and ``start`` name its first token, ``n_tokens`` counts those that are not filling.
     """
     spark = docs.sparkSession
-    sequences = Scratch(spark, "training-order").save(cut_sequences(docs, tokenizer, length, end_id), "sequences", compression="zstd")
+    scratch = Scratch(spark, "training-order")
+    sequences = scratch.save(cut_sequences(docs, tokenizer, length, end_id, streams), "sequences", compression="zstd")
+    scratch.drop()
     base, n = {}, 0
-    for r in sequences.groupBy("part").count().orderBy("part").collect():  # a row per input partition
-        base[r["part"]], n = n, n + r["count"]
+    for r in sequences.groupBy("stream").count().orderBy("stream").collect():  # STREAMS rows at most
+        base[r["stream"]], n = n, n + r["count"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                part, local = batch.column("part").to_numpy(), batch.column("local").to_numpy()
-                seq = np.fromiter((base[p] for p in part.tolist()), np.int64, len(part)) + local
+                stream, local = batch.column("stream").to_numpy(), batch.column("local").to_numpy()
+                seq = np.fromiter((base[p] for p in stream.tolist()), np.int64, len(stream)) + local
                 slot = permute(seq, n, key)
-                crc = [zlib.crc32(r) for r in batch.column("record").to_pylist()]
+                crc = [zlib.crc32(r.as_buffer()) for r in batch.column("record")]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(slot), pa.array((slot // shard_records).astype(np.int32)), pa.array(slot % shard_records * 2 * length), pa.array(seq), *(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64()), batch.column("record")],
                     ["slot", "shard", "byte_offset", "seq", "doc_id", "start", "n_tokens", "record_crc32", "record"],
                 )
 
+    # Slots are evenly spread by the permutation, so ranges of shards are even partitions without a look at the data.
     n_shards = max(1, -(-n // shard_records))
-    placed = sequences.mapInArrow(place, RECORD)
-    return placed.repartitionByRange(n_shards, "shard").sortWithinPartitions("slot")
+    n_parts = min(n_shards, PARTITIONS)
+    part = F.floor(F.col("shard").cast("long") * n_parts / n_shards).cast("int")
+    return sequences.mapInArrow(place, RECORD).repartitionById(n_parts, part).sortWithinPartitions("slot")
+
+
+INDEX = "slot long, shard int, byte_offset long, seq long, doc_id long, start long, n_tokens int, record_crc32 long"
 
 
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Write the records as ``shard-NNNNNN.bin`` files below ``folder``, a path or URI that every executor reaches.
 
     A file appears under its name only when whole, so a task that is run again replaces it with the same bytes.
-    Returns ``shard, first_slot, n_records, n_bytes``; running it writes the files.
+    Returns the rows without their records; running it writes the files.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        file, shard, done = None, None, []
+        file, shard = None, None
 
         def close() -> None:
             file.close()
             fs.move(f"{root}/.{attempt}-{shard:06d}", f"{root}/shard-{shard:06d}.bin")
 
         for batch in batches:
-            for s, slot, record in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "record")), strict=True):
+            for s, record in zip(batch.column("shard").to_pylist(), batch.column("record"), strict=True):
                 if s != shard:
                     if file:
                         close()
                     shard, file = s, fs.open_output_stream(f"{root}/.{attempt}-{s:06d}")
-                    done.append([s, slot, 0, 0])
-                file.write(record)
-                done[-1][2] += 1
-                done[-1][3] += len(record)
+                file.write(record.as_buffer())
+            yield batch.select([f.split()[0] for f in INDEX.split(", ")])
         if file:
             close()
-        columns = list(zip(*done, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["shard", "first_slot", "n_records", "n_bytes"])
 
-    return ordered.select("shard", "slot", "record").mapInArrow(write, "shard int, first_slot long, n_records long, n_bytes long")
+    return ordered.mapInArrow(write, INDEX)
+
+
+def read_back(spark: SparkSession, folder: str, n_records: int, length: int = 1024, shard_records: int = 4096) -> DataFrame:
+    """``slot, stored_crc32`` of every record in the files, each shard read from its start to its end."""
+    n_shards = -(-n_records // shard_records)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column("id").to_pylist():
+                first = shard * shard_records
+                found = read_from(folder, first, min(shard_records, n_records - first), length, shard_records)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(found))), pa.array([zlib.crc32(r.tobytes()) for r in found], pa.int64())], ["slot", "stored_crc32"])
+
+    return spark.range(0, n_shards, 1, max(1, min(n_shards, PARTITIONS))).mapInArrow(read, "slot long, stored_crc32 long")
+
+
+def materialise(docs: DataFrame, tokenizer: str, key: str, folder: str | None = None, length: int = 1024, shard_records: int = 4096, **options) -> DataFrame:
+    """Write the shards of ``training_order`` below ``folder`` and return their index, with ``stored_crc32`` as read from the files again."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "training-shards")
+    folder = folder or f"{scratch.path if '://' in scratch.path else 'file://' + scratch.path}/shards"
+    index = scratch.save(write_shards(training_order(docs, tokenizer, key, length=length, shard_records=shard_records, **options), folder), "index")
+    return index.join(read_back(spark, folder, index.count(), length, shard_records), "slot", "left")
 
 
 def read_from(folder: str, slot: int, count: int, length: int = 1024, shard_records: int = 4096) -> np.ndarray:

@@ -36,6 +36,11 @@ def test_json_coder_gives_the_library_s_ids():
     tokenizer, coder = Tokenizer.from_file(JSON), json_coder(JSON)
     for text in ["", " a  b\n\n c", "x <|endoftext|> y", "é日本😀 don't we'll", LONG[:3000], "\x1c\x85\xa0 tab\tnl\r\n"]:
         assert np.frombuffer(coder(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    rng = random.Random(11)
+    pieces = [" ", "\n\n", "<|endoftext|>", "<|endof", "é", "日本", "😀", "'ll", "12345", "word", " the", "\t", "ß", "=" * 40, "\u3000", "A1b2"]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
+        assert np.frombuffer(coder(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     ranks, special = read_json(JSON)
     assert ranks == read_ranks(RANKS) and special == {"<|endoftext|>": 50256}
 
@@ -157,20 +162,43 @@ def test_permutation(n, key):
 
 @pytest.mark.parametrize("rows", [ROWS, REPEATED])
 def test_training_order(spark, tmp_path, rows, engine):
-    df = order.training_order(frame(spark, rows).coalesce(2), JSON, "k", length=64, shard_records=50).cache()
+    df = order.training_order(frame(spark, rows), JSON, "k", length=64, shard_records=50, streams=3).cache()
     got = df.orderBy("slot").collect()
     n = len(got)
     assert [r.slot for r in got] == list(range(n)) and [r.shard for r in got] == [k // 50 for k in range(n)] and [r.byte_offset for r in got] == [k % 50 * 128 for k in range(n)]
     assert (order.permute(np.array([r.seq for r in got]), n, "k") == np.arange(n)).all()
-    tokens = sum(len(engine.encode_ordinary(t or "")) + 1 for _, t, *_ in rows)
-    assert sum(r.n_tokens for r in got) == tokens
+    # Streams hold each document once, whole, in order of ids; only a stream's last sequence is filled up.
+    dealt = order.dealt_documents(frame(spark, rows), 3)[0].collect()
+    assert sorted((repr(r.doc_id), r.text) for r in dealt) == sorted((repr(d), t or "") for d, t, *_ in rows)
+    want = []
+    for stream in range(3):
+        own = sorted((r for r in dealt if r.stream == stream), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie))
+        ids = [(i, r.doc_id, k) for r in own for k, i in enumerate([*engine.encode_ordinary(r.text), 50256])]
+        for at in range(0, len(ids), 64):
+            cut = ids[at : at + 64]
+            want.append((cut[0][1], cut[0][2], len(cut), np.array([*(i for i, *_ in cut), *[50256] * (64 - len(cut))], "<u2").tobytes()))
+    by_number = sorted(got, key=lambda r: r.seq)
+    assert [(r.doc_id, r.start, r.n_tokens, bytes(r.record)) for r in by_number] == want
+    assert all(r.record_crc32 == zlib.crc32(bytes(r.record)) for r in got)
     folder = f"file://{tmp_path}/shards"
-    manifest = order.write_shards(df, folder).collect()
-    assert sum(m.n_records for m in manifest) == n and not [p for p in (tmp_path / "shards").iterdir() if p.name.startswith(".")]
+    index = order.write_shards(df, folder).collect()
+    assert len(index) == n and not [p for p in (tmp_path / "shards").iterdir() if p.name.startswith(".")]
     everything = order.read_from(folder, 0, n, 64, 50)
     assert everything.tobytes() == b"".join(bytes(r.record) for r in got)
     assert (order.read_from(folder, 37, 60, 64, 50) == everything[37:97]).all()
 
 
+def test_order_does_not_depend_on_the_split(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(frame(spark, REPEATED, extra=False))
+    found = [sorted(map(tuple, order.training_order(docs.repartition(k), JSON, "k", length=256, streams=4).select("slot", "seq", "record_crc32").collect())) for k in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
+@pytest.mark.parametrize("rows", [REPEATED, []])
+def test_materialised_shards_hold_the_records(spark, rows):
+    got = order.materialise(frame(spark, rows), JSON, "k", length=64, shard_records=50, streams=2).collect()
+    assert all(r.stored_crc32 == r.record_crc32 for r in got) and bool(got) == bool(rows)
+
+
 def test_training_order_of_nothing(spark):
     assert order.training_order(frame(spark, []), JSON, "k").count() == 0
