@@ -98,3 +98,14 @@ def link_quotes(messages: DataFrame, min_line: int = MIN_LINE) -> DataFrame:
         "conv_id", "turn", "role", F.coalesce("reply", F.lit("")).alias("reply"), F.coalesce("n_quotes", zero).alias("n_quotes"), F.coalesce("n_linked", zero).alias("n_linked"),
         "parent_turn", F.coalesce("thread_root", "turn").alias("thread_root"), F.coalesce("depth", zero).alias("depth"),
     )
+
+
+def conversations(linked: DataFrame, span: int = 256) -> DataFrame:
+    """Conversations without quotations, from the rows of ``link_quotes``: ``conv_id, thread_root, part, messages`` with messages in reply order.
+
+    A message comes after the one it answers.  A part holds ``span`` turns, so that a very long thread is several rows and no task gathers all of it; parts in
+    order are the thread.  A thread without a turn is one part.
+    """
+    message = F.struct("turn", "depth", "parent_turn", "role", "reply")
+    part = F.coalesce(F.floor((F.col("turn") - F.col("thread_root")) / span), F.lit(0)).cast("int")
+    return linked.groupBy("conv_id", "thread_root", part.alias("part")).agg(F.sort_array(F.collect_list(message)).alias("messages"))

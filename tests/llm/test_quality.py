@@ -15,7 +15,7 @@ from meshobs.llm import flow_reshard as flow
 from meshobs.llm import mcd_quality as mcd
 from meshobs.llm import url_filters as urls
 from meshobs.llm.oracles import URL_FILTERS
-from meshobs.llm.quote_linking import link_quotes
+from meshobs.llm.quote_linking import conversations, link_quotes
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -278,6 +278,77 @@ def test_a_long_chain_and_derived_quotes(spark):
     assert link_quotes(talk.limit(0)).count() == 0
 
 
+def brute_quotes(rows):
+    """``(conv, turn, reply, n_quotes, n_linked, parent, root, depth)`` of each message, one at a time."""
+    units, replies = [], []
+    for conv, turn, text in rows:
+        lines = []
+        for line in re.split(r"\r?\n", text or ""):
+            prefix = re.match(r"(?:[ \t]*>)*", line)[0]
+            lines.append((prefix.count(">"), line[len(prefix) :]))
+        own, block, paragraph, last, reply = {}, 0, 0, None, []
+        for pos, (level, body) in enumerate(lines):
+            norm = re.sub(r"[ \t\n\x0b\f\r]+", " ", body).lower().strip(" ")
+            block += level != last
+            paragraph += level != last or norm == ""
+            last = level
+            if level == 0 and re.search(r"^(on|am|le|el)\b.*\b(wrote|schrieb)\b.*:$", body.strip(), re.I) and pos + 1 < len(lines) and lines[pos + 1][0] > 0:
+                continue
+            if level == 0:
+                reply.append(body.rstrip(" "))
+            if norm:
+                for unit in [("b", block), ("p", paragraph), ("l", pos), *([("m", 0)] if level == 0 else [])]:
+                    own.setdefault((level, *unit), []).append(norm)
+        units.append({k: " ".join(v) for k, v in own.items()})
+        replies.append("\n".join(reply).strip())
+    first = {}
+    for (conv, turn, _), own in zip(rows, units, strict=True):
+        for (level, *_), text in own.items():
+            if level == 0:
+                first[conv, text] = min(turn, first.get((conv, text), turn))
+    parent = {}
+    out = []
+    for (conv, turn, _), own, reply in zip(rows, units, replies, strict=True):
+        hits = [(-level, len(text), first[conv, text]) for (level, kind, _), text in own.items() if level and (kind != "l" or len(text) >= 20) and first.get((conv, text), turn) < turn]
+        parent[conv, turn] = max(hits)[2] if hits else None
+        out.append([conv, turn, reply, sum(1 for level, kind, _ in own if level and kind == "p"), len({h[2] for h in hits}), parent[conv, turn]])
+    for row in out:
+        root, depth = row[1], 0
+        while parent[row[0], root] is not None:
+            root, depth = parent[row[0], root], depth + 1
+        row += [root, depth]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quotes_against_brute_force(spark, seed):
+    """Messages that quote one another, whole or in part, nested, with attributions, changed case and blanks."""
+    rng = np.random.default_rng(seed)
+    words = [f"word{k}" for k in range(40)]
+    rows = []
+    for conv in range(12):
+        texts = []
+        for turn in range(int(rng.integers(1, 12))):
+            lines = []
+            for _ in range(int(rng.integers(0, 3))):
+                if texts and rng.random() < 0.8:
+                    source = texts[int(rng.integers(len(texts)))].split("\n")
+                    at = int(rng.integers(len(source)))
+                    cut = source[at : at + int(rng.integers(1, 5))]
+                    lines += ["On Monday, somebody wrote:"] * int(rng.random() < 0.4) + [f"{rng.choice(['>', '> ', ' >', '>> '])}{x.upper() if rng.random() < 0.2 else x}" for x in cut]
+                lines += [" ".join(rng.choice(words, int(rng.integers(1, 9)))) + "  " * int(rng.random() < 0.2) for _ in range(int(rng.integers(0, 3)))] + [""] * int(rng.random() < 0.5)
+            texts.append("\n".join(lines))
+            rows.append((conv, turn, texts[-1]))
+    df = spark.createDataFrame([(c, k, "user", t) for c, k, t in rows], "conv_id long, turn int, role string, text string")
+    linked = link_quotes(df)
+    got = sorted((r.conv_id, r.turn, r.reply, r.n_quotes, r.n_linked, r.parent_turn, r.thread_root, r.depth) for r in linked.collect())
+    want = sorted(map(tuple, brute_quotes(rows)))
+    assert got == want and sum(w[5] is not None for w in want) > 5
+    threads = {(r.conv_id, r.thread_root): [m.turn for m in r.messages] for r in conversations(linked).collect()}
+    assert sorted((c, k) for (c, _), turns in threads.items() for k in turns) == sorted((c, k) for c, k, _ in rows) and all(t == sorted(t) for t in threads.values())
+    assert {r.part for r in conversations(linked, span=3).collect()} >= {0, 1}
+
+
 # -- URLs
 
 
