@@ -85,12 +85,10 @@ def brute_mcd(x, coverage):
     return centre, covariance * max(1.0, np.expm1((np.median(d) + 0.5) / 512) / mcd.chi_square(6, 0.0))
 
 
-def test_estimates_against_numpy(spark):
-    """Every row of the table: its source's estimate leans on its language's, and that on the one of all rows."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r.doc_id: r for r in mcd.mcd_quality(docs).collect()}
-    texts = {r.doc_id: r for r in docs.collect()}
-    rows = sorted(d for d, r in got.items() if not r.base_failed)
+def brute_verdicts(rows):
+    """``(distance, kept)`` by ``doc_id`` of the rows that pass the base rules: a source's estimate leans on its language's, and that on the one of all rows."""
+    texts = {r.doc_id: r for r in rows}
+    ids = [d for d, r in sorted(texts.items()) if (n := brute_counts(r.text))[0] >= 50 and 100 * n[4] <= 50 * n[0]]
 
     def vector(doc):
         n_words, chars, symbols, dup, repeat, capitals, marks, lines = mcd.text_counts(texts[doc].text.encode())
@@ -98,17 +96,28 @@ def test_estimates_against_numpy(spark):
         values = [math.log(chars / n_words), share(symbols, chars), share(capitals, chars), share(marks, chars), share(dup, lines), share(repeat, n_words)]
         return [math.floor(v * 1024 + 0.5) for v in values]
 
-    x = np.array([vector(d) for d in rows], float)
+    x = np.array([vector(d) for d in ids], float)
     levels = [lambda d: (texts[d].lang, texts[d].source), lambda d: texts[d].lang, lambda d: ""]
-    keys = [[level(d) for d in rows] for level in levels]
+    keys = [[level(d) for d in ids] for level in levels]
     known = {key: (sum(k == key for k in own), *brute_mcd(x[[k == key for k in own]], 0.75)) for own in keys for key in set(own)}
-    for at, d in enumerate(rows):
+    found = {}
+    for at, d in enumerate(ids):
         _, centre, covariance = known[keys[2][at]]
         for own in (keys[1], keys[0]):
             n, c, v = known[own[at]]
             centre, covariance = (n * c + 100 * centre) / (n + 100), (n * v + 100 * covariance) / (n + 100)
-        assert got[d].distance == pytest.approx(metric(x[at : at + 1], centre, covariance)[0], rel=1e-5)
-        assert got[d].kept == (got[d].distance <= mcd.chi_square(6, 4.0))
+        distance = metric(x[at : at + 1], centre, covariance)[0]
+        found[d] = distance, distance <= mcd.chi_square(6, 4.0)
+    return found
+
+
+def test_estimates_against_numpy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = brute_verdicts(docs.collect())
+    got = {r.doc_id: r for r in mcd.mcd_quality(docs).collect()}
+    assert {d for d, r in got.items() if not r.base_failed} == set(want)
+    for d, (distance, kept) in want.items():
+        assert got[d].distance == pytest.approx(distance, rel=1e-5) and got[d].kept == kept
 
 
 def test_least_determinant_withstands_a_fifth_of_outliers(spark):
