@@ -1,4 +1,9 @@
-"""From raw documents to packed token sequences, in four stages."""
+"""From raw documents to packed token sequences, in four stages.
+
+Nulls: a null text counts as empty and fails the quality rules; a null language or source is a value of its own; rows with a null or repeated ``doc_id`` are judged,
+kept and packed one by one.  Texts equal but for blanks leave one row, near copies one row; ties go to the smallest ``doc_id``.  Other columns, whatever their
+names, stay until the last stage.  An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
