@@ -45,7 +45,7 @@ FROM obs GROUP BY observer_id""",
 FROM obs o JOIN packets p ON p.packet_hash = o.packet_hash WHERE p.scope_id IS NOT NULL GROUP BY o.observer_id, p.scope_id""",
     "node_iatas": """SELECT p.origin_node AS node_id, o.iata, min(o.heard_at) AS first_heard, max(o.heard_at) AS last_heard, count(*) AS observation_count
 FROM obs o JOIN packets p ON p.packet_hash = o.packet_hash WHERE p.payload_type = 4 GROUP BY p.origin_node, o.iata""",
-    "known_ids": "SELECT * FROM short_ids WHERE node_id IN (SELECT node_id FROM node_iatas)",
+    "known_ids": "SELECT s.node_id, s.iata, s.prefix_4 FROM short_ids s JOIN customer c ON c.c_custkey = s.node_id WHERE c.c_acctbal >= 0",
     "telemetry": """SELECT event_id AS id, user_id AS observer_id, date_trunc('hour', ts) AS reported_at, CAST(3000 + event_id % 1200 AS INT) AS battery_mv,
   value AS airtime_tx, value * 2 AS airtime_rx, -120 + value / 10 AS noise_floor, event_id * 60 AS uptime_s, CAST(event_id % 9 AS INT) AS queue_len,
   CAST(event_id % 50 AS INT) AS recv_errors FROM events""",
@@ -61,7 +61,7 @@ FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey""",
 #: The views and tables that each view reads.
 NEEDS = {
     "obs": ["events"], "packets": ["obs", "customer"], "nodes": ["customer"], "short_ids": ["nodes"], "hops": ["obs", "customer"], "observers": ["obs"], "scopes": [], "observer_scopes": ["obs", "packets"],
-    "node_iatas": ["obs", "packets"], "telemetry": ["events"], "messages": ["conversations", "packets"], "known_ids": ["short_ids", "node_iatas"], "regions": ["region"], "region_iatas": [], "star_obs": ["lineitem", "supplier"], "star_packets": ["orders"],
+    "node_iatas": ["obs", "packets"], "telemetry": ["events"], "messages": ["conversations", "packets"], "known_ids": ["short_ids", "customer"], "regions": ["region"], "region_iatas": [], "star_obs": ["lineitem", "supplier"], "star_packets": ["orders"],
 }
 
 

@@ -356,7 +356,7 @@ def a27_short_ids(t):
     return nodes.fold_short_ids(adverts(t))
 
 
-#: Nodes that have not advertised count as lost.
+#: Nodes with a negative balance count as lost.
 SOME_IDS = "some_ids AS (SELECT * FROM known_ids)"
 
 
@@ -424,7 +424,7 @@ def r15_routes_by_node(t):
     return found.select("iata", "hop_count", "last_seen", "observation_count", _hops_text(found))
 
 
-CROSS_FROM, CROSS_TO = 16, 81
+CROSS_FROM, CROSS_TO = 32, 593
 
 
 @query(f"""WITH {ROUTES_SQL}, {EDGES_SQL.removeprefix(RESOLVED + ', ')},
@@ -479,12 +479,12 @@ def r5_list_nodes(t):
 CAPABLE = "SELECT node_id, bool_or(t <> 9 AND s IN (2,3)) AS multibyte_paths, bool_or(t = 9 AND s IN (2,4)) AS multibyte_traces FROM (SELECT c.node_id, p.payload_type AS t, o.hash_size AS s FROM hops h JOIN obs o USING (id) JOIN packets p ON p.packet_hash = o.packet_hash JOIN (SELECT s.iata, substr(s.prefix_4, 1, 2*w.n) AS hop, s.node_id FROM short_ids s JOIN nodes USING (node_id), (VALUES (1),(2),(3),(4)) w(n) WHERE node_type IN (2,3)) c ON c.iata = h.iata AND c.hop = h.hop) WHERE (t <> 9 AND s IN (2,3)) OR (t = 9 AND s IN (2,4)) GROUP BY node_id"
 
 
-@query(f"WITH cap AS ({CAPABLE}) SELECT n.node_id, n.name, s.name AS default_scope, multibyte_paths, multibyte_traces FROM nodes n JOIN cap USING (node_id) JOIN scopes s ON s.scope_id = n.default_scope_id WHERE node_type = 2 AND n.node_id IN (SELECT node_id FROM node_iatas WHERE iata IN {IN_PLACES}) AND n.name ILIKE '%customer%' AND multibyte_paths AND NOT multibyte_traces AND s.name = '#bc'", *PATH_VIEWS, "node_iatas", "scopes")
+@query(f"WITH cap AS ({CAPABLE}) SELECT n.node_id, n.name, s.name AS default_scope, multibyte_paths, multibyte_traces FROM nodes n JOIN cap USING (node_id) LEFT JOIN scopes s ON s.scope_id = n.default_scope_id WHERE node_type = 2 AND n.node_id IN (SELECT node_id FROM node_iatas WHERE iata IN {IN_PLACES}) AND n.name ILIKE '%customer%' AND multibyte_paths AND NOT multibyte_traces", *PATH_VIEWS, "node_iatas", "scopes")
 def r5_filtered_nodes(t):
-    """Type, places, name, both capability flags and default scope."""
+    """Type, places, name and both capability flags."""
     able = resolve.node_capabilities(resolved(t), t.obs, t.packets)
     found = nodes.list_nodes(
-        t.nodes.join(able, "node_id", "left"), t.node_iatas, t.observers, t.obs.limit(0).select(F.lit(0).alias("node_id")), t.scopes, node_type=2, iatas=PLACES, name="customer", multibyte_paths=True, multibyte_traces=False, scope="#bc"
+        t.nodes.join(able, "node_id", "left"), t.node_iatas, t.observers, t.obs.limit(0).select(F.lit(0).alias("node_id")), t.scopes, node_type=2, iatas=PLACES, name="customer", multibyte_paths=True, multibyte_traces=False
     )
     return found.select("node_id", "name", "default_scope", "multibyte_paths", "multibyte_traces")
 
