@@ -4,7 +4,7 @@ Each text gets counts, and these a vector of transformed statistics (logarithm o
 arcsine of the root of shares of symbols, capitals, exclamation marks, repeated lines and repeated word windows).  A minimum-covariance-determinant
 estimate is sought for each language and source, each language, and all rows.  Three starts from medians (median
 deviations alone, and with correlations of squashed values or of directions) are followed by concentration steps: the ``coverage`` share of rows nearest to the
-centre gives the next centre and covariance, until the rows chosen stay the same.  The start of least determinant is taken, and its covariance is widened so that
+centre gives the next centre and covariance.  After two steps the start of least determinant goes on until its determinant settles, and its covariance is widened so that
 the median distance is a chi-square median.  Every step covers all rows: the vectors are whole numbers on a fine grid, so distances have exact
 quantiles by counting and sums are exact in any order.  Rows whose squared Mahalanobis distance is beyond a chi-square quantile are rejected.
 
@@ -41,8 +41,8 @@ PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 STEPS = 512
 #: The share of rows that an estimate rests on.
 COVERAGE = 0.75
-#: Starts of the search, most steps of each, and the rows whose weight the estimate above has.
-STARTS, MAX_STEPS, SHRINK = 3, 40, 100
+#: Starts of the search, most steps of the best, the rows whose weight the estimate above has, and what a step must gain.
+STARTS, MAX_STEPS, SHRINK, SETTLED = 3, 40, 100, 1e-4
 #: Keys up to which their estimates are broadcast: some 20 MB.  More are joined over a salt, so that no key's rows meet in one task.
 BROADCAST_KEYS, SALTS = 20_000, 32
 
@@ -187,22 +187,38 @@ def starts_of(vectors: DataFrame, n_keys: int, scratch: Scratch) -> DataFrame:
     return scratch.save(ready.mapInPandas(_started, ESTIMATE), "starts")
 
 
+def concentrated(vectors: DataFrame, found: DataFrame, n_keys: int, coverage: float) -> DataFrame:
+    """One concentration step of each estimate of ``found``."""
+    far = with_small(vectors, found.select("key", "start", "centre", "inverse"), n_keys, "key").withColumn("d", _steps())
+    # Sums by distance, of which a key has some thousands at most; then those of the nearest rows.
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{k}") for k, (i, j) in enumerate(PAIRS)]
+    rings = far.groupBy("key", "start", "d").agg(F.count(F.lit(1)).alias("n"), *sums)
+    own = Window.partitionBy("key", "start")
+    inside = F.sum("n").over(own.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    near = rings.withColumns({"inside": inside, "all": F.sum("n").over(own)}).filter(F.col("inside") < coverage * F.col("all"))
+    names = ["n", *(f"s{i}" for i in range(P)), *(f"p{k}" for k in range(len(PAIRS)))]
+    return near.groupBy("key", "start").agg(*(F.sum(c).alias(c) for c in names)).mapInPandas(_concentrated, ESTIMATE)
+
+
 def estimates(vectors: DataFrame, n_keys: int, scratch: Scratch, coverage: float) -> DataFrame:
-    """``key, n_rows, centre, covariance`` per value of ``key`` in ``vectors`` (``key, x0 ...``)."""
+    """``key, n_rows, centre, covariance`` per value of ``key`` in ``vectors`` (``key, x0 ...``).
+
+    Every start gets two steps; that of least determinant goes on while a step lowers the logarithm of its determinant by more than ``SETTLED``.
+    """
     found = starts_of(vectors, n_keys, scratch)
+    for step in range(2):
+        found = scratch.save(concentrated(vectors, found, n_keys, coverage), f"first-{step}")
+    names = [c.split()[0] for c in ESTIMATE.split(", ")]
+    best = found.groupBy("key").agg(F.min_by(F.struct(*names[1:]), F.struct("logdet", "start")).alias("e")).select("key", "e.*")
+    best = going = scratch.save(best, "best")
+    small = F.broadcast if n_keys <= BROADCAST_KEYS else (lambda df: df)
     for step in range(MAX_STEPS):
-        far = with_small(vectors, found.select("key", "start", "centre", "inverse"), n_keys, "key").withColumn("d", _steps())
-        # Sums by distance, of which a key has some thousands at most; then those of the nearest rows.
-        sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{k}") for k, (i, j) in enumerate(PAIRS)]
-        rings = far.groupBy("key", "start", "d").agg(F.count(F.lit(1)).alias("n"), *sums)
-        own = Window.partitionBy("key", "start")
-        inside = F.sum("n").over(own.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-        near = rings.withColumns({"inside": inside, "all": F.sum("n").over(own)}).filter(F.col("inside") < coverage * F.col("all"))
-        names = ["n", *(f"s{i}" for i in range(P)), *(f"p{k}" for k in range(len(PAIRS)))]
-        last, found = found, scratch.save(near.groupBy("key", "start").agg(*(F.sum(c).alias(c) for c in names)).mapInPandas(_concentrated, ESTIMATE), f"step-{step}")
-        if found.join(last.select("key", "start", F.col("n").alias("n_last"), F.col("sums").alias("sums_last")), ["key", "start"]).filter("n <> n_last OR sums <> sums_last").isEmpty():
+        last = going.select("key", F.col("logdet").alias("last"))
+        further = concentrated(vectors, going, n_keys, coverage).join(small(last), "key").filter(F.col("last") - F.col("logdet") > SETTLED)
+        going = scratch.save(further.select(*names), f"step-{step}")
+        if going.isEmpty():
             break
-    best = scratch.save(found.groupBy("key").agg(F.min_by(F.struct("centre", "covariance", "inverse"), F.struct("logdet", "start")).alias("e")).select("key", "e.*"), "best")
+        best = scratch.save(best.join(small(going.select("key")), "key", "left_anti").select(*names).unionByName(going), f"best-{step}")
     # The nearest rows are less spread than all.
     half = with_small(vectors, best.select("key", "centre", "inverse"), n_keys, "key").groupBy("key").agg(F.percentile(_steps(), 0.5).alias("median"), F.count(F.lit(1)).alias("n_rows"))
     wider = F.greatest(F.lit(1.0), F.expm1((F.col("median") + 0.5) / STEPS) / chi_square(P, 0.0))

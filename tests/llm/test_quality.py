@@ -55,13 +55,19 @@ def metric(x, centre, covariance):
 
 
 def brute_mcd(x, coverage):
-    """Centre and widened covariance of one group of grid vectors: three starts, steps to the end, least determinant."""
+    """Centre and widened covariance of one group of grid vectors: three starts, two steps each, then the best until it settles."""
     floor = np.array([0.06, 0.05, 0.08, 0.06, 0.2, 0.2])
     middle = np.median(x, axis=0)
     deviation = np.median(abs(x - middle), axis=0)
     z = (x - middle) / (1.4826 * deviation + floor * 1024)
     length = np.linalg.norm(z, axis=1, keepdims=True)
     scale = np.sqrt((1.4826 * deviation / 1024) ** 2 + floor**2)
+
+    def step(centre, covariance):
+        d = np.floor(np.log1p(np.maximum(0, metric(x, centre, covariance))) * 512)
+        near = x[d <= np.sort(d)[math.ceil(coverage * len(x)) - 1]]
+        return near.mean(axis=0) / 1024, np.cov(near.T, bias=True) / 1024**2 + np.diag(floor**2)
+
     found = []
     for k, v in enumerate([None, np.tanh(z), np.divide(z, length, out=np.zeros_like(z), where=length > 0)]):
         together = np.eye(6)
@@ -70,17 +76,16 @@ def brute_mcd(x, coverage):
             second = whole.T @ whole
             size = np.sqrt(np.maximum(np.diag(second), 1e-9))
             together = 0.99 * second / np.outer(size, size) + 0.01 * np.eye(6)
-        centre, covariance, last = middle / 1024, together * np.outer(scale, scale), None
-        for _ in range(40):
-            d = np.floor(np.log1p(np.maximum(0, metric(x, centre, covariance))) * 512)
-            near = d <= np.sort(d)[math.ceil(coverage * len(x)) - 1]
-            centre = x[near].mean(axis=0) / 1024
-            covariance = np.cov(x[near].T, bias=True) / 1024**2 + np.diag(floor**2)
-            if last is not None and (near == last).all():
-                break
-            last = near
+        centre, covariance = middle / 1024, together * np.outer(scale, scale)
+        for _ in range(2):
+            centre, covariance = step(centre, covariance)
         found.append((np.linalg.slogdet(covariance)[1], k, centre, covariance))
     _, _, centre, covariance = min(found, key=lambda f: (round(f[0], 9), f[1]))
+    for _ in range(40):
+        further = step(centre, covariance)
+        if not np.linalg.slogdet(covariance)[1] - np.linalg.slogdet(further[1])[1] > 1e-4:
+            break
+        centre, covariance = further
     d = np.floor(np.log1p(metric(x, centre, covariance)) * 512)
     return centre, covariance * max(1.0, np.expm1((np.median(d) + 0.5) / 512) / mcd.chi_square(6, 0.0))
 
