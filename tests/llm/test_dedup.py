@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from edge import REPEATED, ROWS, SCHEMA, frame
 
@@ -128,3 +129,31 @@ def test_components(spark):
         lo, hi = sorted((find(a), find(b)))
         parent[hi] = lo
     assert got == {x: find(x) for x in parent}
+
+
+def test_sketches_never_bound_too_low():
+    """Sets of all sizes that share much, little, or only their first elements."""
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        n, m = rng.integers(1, 60, 2)
+        pool = rng.integers(0, 1 << 63, 120, dtype=np.uint64) >> np.uint64(int(rng.integers(0, 2)) * 20)
+        x, y = (np.unique(rng.choice(pool, k, replace=False)) for k in (n, m))
+        if rng.random() < 0.5:
+            y = np.unique(np.concatenate((x[: int(rng.integers(0, len(x) + 1))], y)))
+        keep = lambda s: s[: len(s) - -(-75 * len(s) // 100) + 2]
+        p, q = keep(x), keep(y)
+        most = ngram_jaccard.most_common(len(x), int(p[-1]), p.astype("<u2"), len(y), int(q[-1]), q.astype("<u2"))
+        assert most >= len(np.intersect1d(x, y))
+
+
+def test_words_and_shingles_are_told_apart_by_hashes():
+    rng = random.Random(9)
+    blanks, letters = " \t\n\x0b\x0c\r", "ab\x00\x0e\x1cé日Z"
+    texts = ["".join(rng.choice(letters if rng.random() < 0.9 else blanks) for _ in range(rng.randint(0, 80))) for _ in range(300)] + ["", " ", "a" * 8, "a" * 9, "a" * 16, "a" * 17, "x" * 8 + "\x00", "x" * 8, None]
+    data = [None if t is None else t.encode() for t in texts]
+    hashes, sizes = ngram_jaccard.word_hashes(data)
+    words = [w for t in data for w in (t or b"").lower().split()]
+    assert sizes.tolist() == [len((t or b"").lower().split()) for t in data] and len(words) == len(hashes)
+    assert len(dict.fromkeys(words)) == len(set(hashes.tolist())) == len(set(zip(words, hashes.tolist(), strict=True)))
+    for text, found in zip(texts, ngram_jaccard.shingle_hashes(data), strict=True):
+        assert len(set(found.tolist())) == len(shingles(text))
