@@ -15,7 +15,8 @@ def load_airports(spark: SparkSession, csv: str) -> DataFrame:
     raw = spark.read.csv(csv, header=True)
     cols = {c.lower(): c for c in raw.columns}
     named = raw.select(*(F.trim(F.col(f"`{cols[c]}`")).alias(n) for c, n in (("iata_code", "iata"), ("iso_country", "country"), ("continent", "continent"))))
-    return named.filter("length(iata) = 3 AND country <> '' AND continent <> ''").groupBy(F.upper("iata").alias("iata")).agg(F.min("country").alias("country"), F.min("continent").alias("continent"))
+    one = named.filter("length(iata) = 3 AND country <> '' AND continent <> ''").groupBy(F.upper("iata").alias("iata")).agg(F.min(F.struct("country", "continent")).alias("p"))
+    return one.select("iata", "p.country", "p.continent")  # of a place listed twice, one row whole
 
 
 def iata_dim(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
