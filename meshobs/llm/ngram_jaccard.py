@@ -376,6 +376,8 @@ def _classes_and_links(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, D
     labels = connect(checked.filter("linked").select("a", "b"), scratch, "round-1")
     open_lists = _open_lists(lists.select("key", "rep", "n"), labels, scratch, "open")
     scratch.drop("lists")
+    if open_lists.isEmpty():
+        return rows, classes, labels
 
     # What may still link lies in lists of several components.  Their sets alone are listed anew, in exact order.
     left = open_lists.groupBy("rep").agg(F.min("label").alias("label"), F.first("n").alias("n"))
@@ -387,6 +389,8 @@ def _classes_and_links(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, D
     labels = connect(checked.filter("linked").select("a", "b"), scratch, "round-2")
     lists = _open_lists(lists.drop("label"), labels, scratch, "lists-3")
     scratch.drop("exact")
+    if lists.isEmpty():
+        return rows, classes, labels
 
     # Last: what is left of each list, between components.
     left, right = lists.alias("l"), lists.alias("r")
