@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Whether shuffle files go when a query ends, and not when the driver happens to collect its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ASCII blanks that separate words: ``[\x20\x09-\x0D]``.  ``bytes.split()`` splits at exactly these.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -39,8 +41,15 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/{label}-{uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        """Write ``df`` and read it back, which cuts its lineage."""
-        df.write.options(**options).parquet(f"{self.path}/{name}")
+        """Write ``df`` and read it back, which cuts its lineage; shuffles of the write are deleted with its end."""
+        conf, kept = self.spark.conf, self.spark.conf.get(CLEAN, None)
+        if kept is not None:
+            conf.set(CLEAN, "true")
+        try:
+            df.write.options(**options).parquet(f"{self.path}/{name}")
+        finally:
+            if kept is not None:
+                conf.set(CLEAN, kept)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,11 +141,12 @@ def cut_sequences(docs: DataFrame, tokenizer: str, length: int, end_id: int, str
     return ordered.select("stream", "doc_id", "ids").mapInArrow(cut, "stream int, local long, doc_id long, start long, n_tokens int, record binary")
 
 
-def training_order(docs: DataFrame, tokenizer: str, key: str, length: int = 1024, end_id: int = 50256, shard_records: int = 4096, streams: int | None = None) -> DataFrame:
+def training_order(docs: DataFrame, tokenizer: str, key: str, length: int = 1024, end_id: int = 50256, shard_records: int = 4096, streams: int | None = None, zipped: bool = False) -> DataFrame:
     """One record per sequence, partitioned by ranges of slots and sorted by slot.
 
     ``seq`` is the sequence's number, ``slot`` its place in training order; ``byte_offset`` is the place in its
     shard, ``doc_id`` and ``start`` name its first token, ``n_tokens`` counts those that are not filling.
+    If ``zipped``, records are compressed one by one, as ``write_shards`` can take them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "training-order")
@@ -160,9 +162,13 @@ def training_order(docs: DataFrame, tokenizer: str, key: str, length: int = 1024
                 stream, local = batch.column("stream").to_numpy(), batch.column("local").to_numpy()
                 seq = np.fromiter((base[p] for p in stream.tolist()), np.int64, len(stream)) + local
                 slot = permute(seq, n, key)
-                crc = [zlib.crc32(r.as_buffer()) for r in batch.column("record")]
+                records = batch.column("record")
+                crc = [zlib.crc32(r.as_buffer()) for r in records]
+                if zipped:
+                    zip_one = zstandard.ZstdCompressor(level=1).compress
+                    records = pa.array([zip_one(r.as_buffer()) for r in records], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array((slot // shard_records).astype(np.int32)), pa.array(slot % shard_records * 2 * length), pa.array(seq), *(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64()), batch.column("record")],
+                    [pa.array(slot), pa.array((slot // shard_records).astype(np.int32)), pa.array(slot % shard_records * 2 * length), pa.array(seq), *(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64()), records],
                     ["slot", "shard", "byte_offset", "seq", "doc_id", "start", "n_tokens", "record_crc32", "record"],
                 )
 
@@ -176,7 +182,7 @@ def training_order(docs: DataFrame, tokenizer: str, key: str, length: int = 1024
 INDEX = "slot long, shard int, byte_offset long, seq long, doc_id long, start long, n_tokens int, record_crc32 long"
 
 
-def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
+def write_shards(ordered: DataFrame, folder: str, zipped: bool = False) -> DataFrame:
     """Write the records as ``shard-NNNNNN.bin`` files below ``folder``, a path or URI that every executor reaches.
 
     A file appears under its name only when whole, so a task that is run again replaces it with the same bytes.
@@ -187,7 +193,7 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
         fs, root = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        file, shard = None, None
+        file, shard, unzip = None, None, zstandard.ZstdDecompressor().decompress
 
         def close() -> None:
             file.close()
@@ -199,7 +205,7 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
                     if file:
                         close()
                     shard, file = s, fs.open_output_stream(f"{root}/.{attempt}-{s:06d}")
-                file.write(record.as_buffer())
+                file.write(unzip(record.as_buffer()) if zipped else record.as_buffer())
             yield batch.select([f.split()[0] for f in INDEX.split(", ")])
         if file:
             close()
@@ -226,7 +232,7 @@ def materialise(docs: DataFrame, tokenizer: str, key: str, folder: str | None =
     spark = docs.sparkSession
     scratch = Scratch(spark, "training-shards")
     folder = folder or f"{scratch.path if '://' in scratch.path else 'file://' + scratch.path}/shards"
-    index = scratch.save(write_shards(training_order(docs, tokenizer, key, length=length, shard_records=shard_records, **options), folder), "index")
+    index = scratch.save(write_shards(training_order(docs, tokenizer, key, length=length, shard_records=shard_records, zipped=True, **options), folder, zipped=True), "index")
     return index.join(read_back(spark, folder, index.count(), length, shard_records), "slot", "left")
 
 
