@@ -42,14 +42,12 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Write ``df`` and read it back, which cuts its lineage; shuffles of the write are deleted with its end."""
-        conf, kept = self.spark.conf, self.spark.conf.get(CLEAN, None)
-        if kept is not None:
-            conf.set(CLEAN, "true")
+        conf, kept = self.spark.conf, self.spark.conf.get(CLEAN, "false")
+        conf.set(CLEAN, "true")
         try:
             df.write.options(**options).parquet(f"{self.path}/{name}")
         finally:
-            if kept is not None:
-                conf.set(CLEAN, kept)
+            conf.set(CLEAN, kept)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
