@@ -13,11 +13,13 @@ from .exact_dedup import exact_dedup
 from .flow_reshard import reshard
 from .mcd_quality import mcd_quality
 from .ngram_jaccard import ngram_jaccard
+from .piece_rounds import decode, encode
 from .quote_linking import link_quotes
 from .training_order import materialise
 from .url_filters import filter_urls
 
 JSON_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SHARDS = 24
 
@@ -71,7 +73,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = decode(encode(_table(spark, sf_dir, "documents"), PIECES), PIECES)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_training_order, op2_ctw_scoring, op3_mcd_quality, op4_quote_linking, op5_ngram_jaccard, op6_exact_dedup, op7_flow_reshard, op8_best_fit_packing, op9_bpe_transducer, op10_url_filters)
+    for f in (op1_training_order, op2_ctw_scoring, op3_mcd_quality, op4_quote_linking, op5_ngram_jaccard, op6_exact_dedup, op7_flow_reshard, op8_best_fit_packing, op9_bpe_transducer, op10_url_filters, op11_piece_rounds)
 }
