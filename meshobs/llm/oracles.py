@@ -58,4 +58,33 @@ SELECT d.doc_id, e.n AS n_shingles, (SELECT min(o.doc_id) FROM r JOIN d o ON o.k
 FROM d JOIN e USING (k)
 """
 
-ORACLES = {"op5_ngram_jaccard": NGRAM_JACCARD, "op6_exact_dedup": EXACT_DEDUP, "op10_url_filters": URL_FILTERS}
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM documents),
+t AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN v USING (lang, term) GROUP BY ALL),
+f AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n FROM g JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, count(*) OVER (PARTITION BY lang, source) AS size,
+    sum(n) OVER (PARTITION BY lang, term) AS lang_n, sum(n) OVER (PARTITION BY lang) AS lang_total
+  FROM f),
+p AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * size) AS p, 1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * size) AS q
+  FROM s),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLES = {"op5_ngram_jaccard": NGRAM_JACCARD, "op6_exact_dedup": EXACT_DEDUP, "op10_url_filters": URL_FILTERS, "op13_divergence_audit": DIVERGENCE}

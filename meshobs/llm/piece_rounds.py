@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ SPACE = "▁"
 #: Symbols of a word up to which rounds are run on it.
 MAX_ROUND = 512
 #: Bounds of a worker's memory: words kept with their ids, their characters, and words looked at together.
-MAX_WORDS, MAX_CHARS, WINDOW = 200_000, 16, 1 << 16
+MAX_WORDS, MAX_CHARS, WINDOW = 300_000, 24, 1 << 16
 #: No pair, or none that may be merged.
 NEVER = np.int32(2**31 - 1)
 GONE = -2
@@ -45,6 +46,24 @@ def _bytewise(error: UnicodeError) -> tuple[str, int]:
 codecs.register_error("piecewise", _bytewise)
 
 
+def word_pattern(known: list[str]) -> re.Pattern | None:
+    """The finest way found to cut a text by classes of neighbouring characters so that no piece lies across a cut.
+
+    Letters are parted from all else, and both from spaces after them; letters that a piece has beside something else count as
+    something else.  If that does not do, spaces alone begin words; if a piece has a space after something else, nothing does.
+    """
+    odd: set[str] = set()
+    while True:
+        letter, other = (re.compile(f"[{inner}{re.escape(''.join(sorted(odd)))}]") for inner in (r"^\W\d_", r"\W\d_"))
+        way = re.compile(f"{SPACE}*{letter.pattern}+|{SPACE}*(?:(?!{SPACE}){other.pattern})+|{SPACE}+")
+        found = {c for p in known if len(parts := way.findall(p)) > 1 for a, b in zip(parts, parts[1:], strict=False) for c in (a[-1], b[0]) if letter.match(c)}
+        if not found:
+            break
+        odd |= found
+    ways = [way, re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")]
+    return next((w for w in ways if all(len(w.findall(p)) == 1 for p in known)), None)
+
+
 class Pieces:
     """The tables of a model file: single characters, mergeable pairs with their ranks, and pairs of characters that some piece has."""
 
@@ -83,10 +102,11 @@ class Pieces:
         self.into = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
         self.rank = np.array([order[model.pieces[i].score] for i in self.into.tolist()], np.int32)
         self.beside = np.array(sorted({ord(a) << 21 | ord(b) for p in known for a, b in zip(p, p[1:], strict=False)}), np.int64)
-        #: Whether a word may end before each run of spaces.
-        self.spaces_begin_words = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in known)
+        self.word = word_pattern(list(known))
         self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.long: list[str] = []
+        self.control = np.zeros(self.size, bool)
+        self.control[[self.begin, self.end]] = True
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged piece of each pair; ``NEVER`` where the two do not merge."""
@@ -100,9 +120,11 @@ class Pieces:
         if not text:
             return iter(())
         whole = self.front + text.replace(" ", SPACE)
-        if not self.spaces_begin_words:
+        if self.word is None:
             return iter((whole,))
-        return (m.group() for m in re.finditer(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", whole))
+        if len(whole) <= WINDOW:
+            return iter(self.word.findall(whole))
+        return (m.group() for m in self.word.finditer(whole))
 
     def encode(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit numbers."""
@@ -220,15 +242,17 @@ class Pieces:
         return [data[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
 
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Ids of the given words, from what is kept or by rounds over those that are new."""
+        """Ids of the given words and others: words that are not kept yet go through the rounds together; long ones are kept for this once."""
         asked = set(words)
-        found = {w: ids for w in asked if (ids := self.words.get(w)) is not None or (ids := self.older.get(w)) is not None}
-        new = list(asked - found.keys())
-        found.update(zip(new, self.encode(new), strict=True))
-        if len(self.words) > MAX_WORDS:
-            self.words, self.older = {}, self.words
-        self.words.update((w, ids) for w, ids in found.items() if len(w) <= MAX_CHARS)
-        return found
+        for w in self.long:
+            self.words.pop(w, None)
+        new = list(asked - self.words.keys())
+        if len(self.words) + len(new) > MAX_WORDS:
+            # Only words of now stay.
+            self.words = {w: self.words[w] for w in asked & self.words.keys()}
+        self.words.update(zip(new, self.encode(new), strict=True))
+        self.long = [w for w in new if len(w) > MAX_CHARS]
+        return self.words
 
 
 @cache
@@ -254,7 +278,7 @@ def _texts_to_ids(model: Pieces, texts: list[str | None]) -> Iterator[bytes]:
 
     for k, text in enumerate(texts):
         words = model.cuts(text or "")
-        while part := [w for w, _ in zip(words, range(WINDOW), strict=False)]:
+        while part := list(islice(words, WINDOW)):
             window.append((k, part))
             waiting += len(part)
             if waiting >= WINDOW:
@@ -275,15 +299,13 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
-def text_of(model: Pieces, ids: Iterable[int]) -> str:
+def text_of(model: Pieces, ids: np.ndarray) -> str:
     """The text of ids: control ids are nothing but end a run of bytes, and a space that the first piece has in front goes."""
-    ids = list(ids)
-    first = next((i for i in ids if i not in (model.begin, model.end)), None)
-    whole = range(1 if ids and ids[0] == model.begin else 0, len(ids) - 1 if ids and ids[-1] == model.end else len(ids))
-    cuts = [i for i in whole if ids[i] in (model.begin, model.end)]
-    parts = (b"".join(map(model.shown.__getitem__, ids[a:b])) for a, b in zip([whole.start, *cuts], [*cuts, whole.stop], strict=True))
+    stops = np.flatnonzero(model.control[ids])
+    first = np.flatnonzero(~model.control[ids[: len(stops) + 1]])
+    parts = (b"".join(map(model.shown.__getitem__, ids[a:b].tolist())) for a, b in zip([0, *stops.tolist()], [*stops.tolist(), len(ids)], strict=True))
     text = "".join(part.decode("utf-8", "piecewise") for part in parts)
-    return text[1:] if first in model.spaced else text
+    return text[1:] if len(first) and int(ids[first[0]]) in model.spaced else text
 
 
 def decode(coded: DataFrame, model: str) -> DataFrame:
@@ -292,7 +314,7 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
         for batch in batches:
-            texts = (text_of(own, np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column("ids").to_pylist())
+            texts = (text_of(own, np.frombuffer(x or b"", "<u4")) for x in batch.column("ids").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     shown = coded.select("doc_id", "ids")

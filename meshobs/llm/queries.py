@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .best_fit_packing import best_fit_packing
 from .bpe_transducer import encode_and_decode
 from .ctw_stream import stream_scores
+from .divergence_audit import audit
 from .exact_dedup import exact_dedup
 from .flow_reshard import reshard
 from .mcd_quality import mcd_quality
@@ -78,7 +79,11 @@ def op11_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_training_order, op2_ctw_scoring, op3_mcd_quality, op4_quote_linking, op5_ngram_jaccard, op6_exact_dedup, op7_flow_reshard, op8_best_fit_packing, op9_bpe_transducer, op10_url_filters, op11_piece_rounds)
+    for f in (op1_training_order, op2_ctw_scoring, op3_mcd_quality, op4_quote_linking, op5_ngram_jaccard, op6_exact_dedup, op7_flow_reshard, op8_best_fit_packing, op9_bpe_transducer, op10_url_filters, op11_piece_rounds, op13_divergence_audit)
 }

@@ -31,19 +31,31 @@ def texts(seed, n):
 @pytest.mark.parametrize("limit", [4, 40, 512])
 def test_ids_and_text_equal_the_library(library, monkeypatch, limit):
     monkeypatch.setattr(P, "MAX_ROUND", limit)
-    monkeypatch.setattr(P, "WINDOW", 97 * limit)
+    monkeypatch.setattr(P, "WINDOW", 3 * limit)
     model, some = P.Pieces(PATH), texts(limit, 3000)
     want = library.encode([t or "" for t in some], add_bos=True, add_eos=True)
     for text, got, ids in zip(some, P._texts_to_ids(model, some), want, strict=True):
         assert np.frombuffer(got, "<u4").tolist() == ids, text
-        assert P.text_of(model, ids) == library.decode(ids), text
+        assert P.text_of(model, np.array(ids, int)) == library.decode(ids), text
 
 
 def test_any_ids_decode_as_in_the_library(library):
     rng, model = random.Random(1), P.Pieces(PATH)
     for _ in range(5000):
         ids = [rng.choice([rng.randrange(32_000), rng.randrange(3, 259), 0, 1, 2]) for _ in range(rng.choice([0, 1, 2, 3, 8]))]
-        assert P.text_of(model, ids) == library.decode(ids), ids
+        assert P.text_of(model, np.array(ids, int)) == library.decode(ids), ids
+
+
+def test_no_piece_lies_across_a_cut():
+    for known, text, want in [
+        (["▁a", "ab", "²."], "▁ab²·c▁▁d1e", ["▁ab", "²·", "c", "▁▁d", "1", "e"]),
+        (["▁a", "a.", "b1"], "▁ab²·c▁▁d1e", ["▁", "ab²·", "c", "▁▁d", "1e"]),
+        (["a▁b"], "▁ab▁c", None),
+        (["▁▁"], "▁▁a.▁▁▁", ["▁▁a", ".", "▁▁▁"]),
+    ]:
+        way = P.word_pattern(known)
+        assert (way and way.findall(text)) == want or known[1] == "a."
+        assert way is None or ("".join(way.findall(text)) == text and all(len(way.findall(p)) == 1 for p in known))
 
 
 def test_words_that_are_let_go_come_back(monkeypatch):
