@@ -58,6 +58,24 @@ SELECT d.doc_id, e.n AS n_shingles, (SELECT min(o.doc_id) FROM r JOIN d o ON o.k
 FROM d JOIN e USING (k)
 """
 
+HARD_NEGATIVES = r"""
+WITH e AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.k AS anchor, a.vec_id AS anchor_id, e.k, e.vec_id, e.label = a.label AS same, list_inner_product(a.q, e.q)::BIGINT AS score
+  FROM e a JOIN e ON a.k <> e.k WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor, anchor_id, k, vec_id AS positive_id, score AS positive_score
+  FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.anchor, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST))::INTEGER AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
 DIVERGENCE = r"""
 WITH d AS (
   SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -87,4 +105,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50
 """
 
-ORACLES = {"op5_ngram_jaccard": NGRAM_JACCARD, "op6_exact_dedup": EXACT_DEDUP, "op10_url_filters": URL_FILTERS, "op13_divergence_audit": DIVERGENCE}
+ORACLES = {"op5_ngram_jaccard": NGRAM_JACCARD, "op6_exact_dedup": EXACT_DEDUP, "op10_url_filters": URL_FILTERS, "op12_hard_negatives": HARD_NEGATIVES, "op13_divergence_audit": DIVERGENCE}

@@ -12,6 +12,7 @@ from .ctw_stream import stream_scores
 from .divergence_audit import audit
 from .exact_dedup import exact_dedup
 from .flow_reshard import reshard
+from .hard_negatives import mine
 from .mcd_quality import mcd_quality
 from .ngram_jaccard import ngram_jaccard
 from .piece_rounds import decode, encode
@@ -79,11 +80,17 @@ def op11_piece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some labels are moved by one, so that neighbours of other labels exist."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
 def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_training_order, op2_ctw_scoring, op3_mcd_quality, op4_quote_linking, op5_ngram_jaccard, op6_exact_dedup, op7_flow_reshard, op8_best_fit_packing, op9_bpe_transducer, op10_url_filters, op11_piece_rounds, op13_divergence_audit)
+    for f in (op1_training_order, op2_ctw_scoring, op3_mcd_quality, op4_quote_linking, op5_ngram_jaccard, op6_exact_dedup, op7_flow_reshard, op8_best_fit_packing, op9_bpe_transducer, op10_url_filters, op11_piece_rounds, op12_hard_negatives, op13_divergence_audit)
 }
