@@ -1,5 +1,3 @@
-import hashlib
-import hmac
 import os
 import sys
 
@@ -10,12 +8,6 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 
-def python_transport_code(key: bytes, payload_type: int, payload: bytes) -> int:
-    """X23 for one value."""
-    digest = hmac.new(key, bytes([payload_type]) + payload, hashlib.sha256).digest()
-    return {0: 1, 0xFFFF: 0xFFFE}.get(code := int.from_bytes(digest[:2], "little"), code)
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshobs.functions import expr as X
 
-from conftest import python_transport_code
+from reference_values import python_transport_code
 
 
 def value(spark, column, **cols):

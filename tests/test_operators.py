@@ -6,7 +6,7 @@ import datetime as dt
 from meshobs.operators import channels, filters, nodes, observers, resolve, routes, scopes, traces
 from meshobs.sources import dims
 
-from conftest import python_transport_code
+from reference_values import python_transport_code
 
 T = lambda m: dt.datetime(2024, 1, 1, 0, m)
 
