@@ -2,7 +2,7 @@
 
 * **Memtables and runs.**  Each task gathers rows in a memtable and flushes it as a run sorted by
   digest; a run is a stretch of a Parquet file whose digest column has min/max statistics and Parquet
-  Bloom filters, so a lookup skips runs that cannot hold a digest.
+  Bloom filters.  Deduplicating one table never looks a digest up in them: it merges all runs at once.
 * **Compaction.**  Runs merge into one entry per digest that keeps the preferred row (most code
   points, then smallest identifier) and the group's size.  It is an aggregation with map-side combine, so a
   group of copies with a third of all rows moves one entry per task.

@@ -6,8 +6,8 @@ least cost says how many bytes each old shard sends to each new one.  Documents
 is cut by a hash into blocks of about equal size, of which there are ``MAX_BLOCKS`` at most in all, so the block table that
 the driver sees has a fixed bound.  Blocks are chosen to fill each flow; only files of shards that gain or lose are rewritten.
 
-A row is named by ``row_key``, a digest of all its columns.  Rows of one key are alike in every column, so they lie in one
-block and go to one shard, and any of them may take any of their slots.
+A row is named by ``row_key``, a digest of all its columns.  Rows of one key are alike in every column, so any of them may take any of
+their places; a number of the row as first written enters the blocks' hash, so many copies of one row spread like other rows.
 
 Nulls: a null text counts no bytes, so the row's size is 8.  Null and repeated ``doc_id`` are placed and rewritten row by row.
 Equal texts need not share a shard.  Other columns only enter ``row_key``; an empty table gives an empty result.
@@ -20,7 +20,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, gapless_rank
 
 MAX_BLOCKS = 65_536
 
@@ -122,13 +122,14 @@ def reshard(docs: DataFrame, old_shard: Column, n_shards: int, max_blocks: int =
         F.crc32(text.cast("binary")).alias("text_crc32"),
         old_shard.cast("int").alias("old_shard"),
         row_key(docs).alias("row_key"),
+        F.monotonically_increasing_id().alias("rid"),
     )
     rows = Scratch(spark, "flow-reshard").save(rows, "rows")
     sizes = {r["old_shard"]: r["n"] for r in rows.groupBy("old_shard").agg(F.sum("size").alias("n")).collect()}
     total = max(1, sum(sizes.values()))
     cuts = [(s, max(1, (max_blocks - len(sizes)) * n // total)) for s, n in sizes.items()]
     cut = F.broadcast(spark.createDataFrame(cuts, "old_shard int, n_blocks long"))  # a row per old shard
-    in_block = rows.join(cut, "old_shard").withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("n_blocks"))).drop("n_blocks")
+    in_block = rows.join(cut, "old_shard").withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "rid"), F.col("n_blocks"))).drop("n_blocks")
     table = in_block.groupBy("old_shard", "block").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()  # max_blocks rows at most
     blocks = [(r["old_shard"], r["block"], r["n"], r["rows"]) for r in table]
     placed, used, plan = choose_blocks(blocks, n_shards), [0] * n_shards, []
@@ -137,7 +138,7 @@ def reshard(docs: DataFrame, old_shard: Column, n_shards: int, max_blocks: int =
         plan.append((s, b, j, used[j]))
         used[j] += n
     to = F.broadcast(spark.createDataFrame(plan, "old_shard int, block long, shard int, base long"))
-    rank = F.row_number().over(Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size", "row_key")) - 1
+    rank = F.row_number().over(Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size", "row_key", "rid")) - 1
     dealt = in_block.withColumn("rank", rank).join(to, ["old_shard", "block"])
     return dealt.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("rank")).alias("slot"), "row_key")
 
@@ -151,13 +152,15 @@ def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str) -> list[int]
     spark = docs.sparkSession
     moved = placed.filter(F.col("old_shard") != F.col("shard")).select(F.explode(F.array("old_shard", "shard")).alias("shard"))
     affected = sorted(r["shard"] for r in moved.distinct().collect())  # a row per shard
-    copy = F.row_number().over(Window.partitionBy("_key").orderBy("_order"))
     to = placed.filter(F.col("shard").isin(affected)).select(F.col("row_key").alias("_key"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
     filled = {r["_shard"] for r in to.select("_shard").distinct().collect()}  # a row per shard
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    # The k-th of rows that are alike goes to the k-th of their places: any order will do, as long as a task run again finds the same.
+    n_rows = placed.count()
     rows = docs.select(*kept, row_key(docs).alias("_key")).join(to.select("_key").distinct(), "_key", "left_semi")
-    rows = rows.withColumn("_order", F.lit(0)).withColumn("_copy", copy).drop("_order")  # rows of one key are alike: any order will do
-    to = to.withColumn("_order", F.col("_slot")).withColumn("_copy", copy).drop("_order")
+    numbered = Scratch(spark, "flow-rewrite").save(rows.withColumn("_order", F.monotonically_increasing_id()), "rows")
+    rows = gapless_rank(numbered, ["_key"], ["_order"], n_rows, "_copy").drop("_order")
+    to = gapless_rank(to.withColumn("_order", F.struct("_shard", "_slot")), ["_key"], ["_order"], n_rows, "_copy").drop("_order")
     rows = rows.join(to, ["_key", "_copy"]).select(*kept, F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
     rows.repartition("shard", F.floor(F.col("slot") / 100_000)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -247,7 +247,9 @@ def judge(docs: DataFrame, keep: list[str], scratch: Scratch, z: float = 4.0, co
     """
     counted = count_texts(docs.select(*dict.fromkeys([*keep, "lang", "source", "text"])), list(dict.fromkeys([*keep, "lang", "source"])))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    groups = [F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang")), F.lit("all")]
+    # Null fields are written too, so that a null language or source is a value of its own on each level.
+    levels = [F.struct("lang", "source"), F.struct("lang"), F.struct(F.lit("all").alias("rows"))]
+    groups = [F.concat(F.lit(f"{k} "), F.to_json(level, {"ignoreNullFields": "false"})) for k, level in enumerate(levels)]
     rows = counted.select("*", failed.alias("base_failed"), *_vector(), *(g.alias(f"g{k}") for k, g in enumerate(groups)))
     rows = scratch.save(rows, "counts")
     sound = rows.filter("NOT base_failed")

@@ -157,3 +157,17 @@ def test_words_and_shingles_are_told_apart_by_hashes():
     assert len(dict.fromkeys(words)) == len(set(hashes.tolist())) == len(set(zip(words, hashes.tolist(), strict=True)))
     for text, found in zip(texts, ngram_jaccard.shingle_hashes(data), strict=True):
         assert len(set(found.tolist())) == len(shingles(text))
+
+
+@pytest.mark.parametrize("rows", [ROWS, REPEATED])
+def test_sql_counts_repeated_and_null_ids_row_by_row(spark, tmp_path, rows):
+    import duckdb
+
+    from meshobs.llm.oracles import EXACT_DEDUP
+    from meshobs.llm.queries import op6_exact_dedup
+
+    frame(spark, rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = op6_exact_dedup(spark, str(tmp_path)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(con.execute(EXACT_DEDUP).fetchall(), key=repr)

@@ -125,6 +125,15 @@ def test_estimates_against_numpy(spark):
         assert got[d].distance == pytest.approx(distance, rel=1e-5) and got[d].kept == kept
 
 
+def test_null_languages_and_sources_are_values_of_their_own(spark):
+    drawn = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"source": F.when(F.col("doc_id") % 2 == 0, F.lit(None)).otherwise("a"), "lang": F.when(F.col("doc_id") % 3 > 0, F.lit("en"))})
+    want = brute_verdicts(drawn.collect())
+    got = {r.doc_id: r for r in mcd.mcd_quality(drawn).collect()}
+    assert len({(r.lang, r.source) for r in drawn.collect()}) == 4
+    for d, (distance, kept) in want.items():
+        assert got[d].distance == pytest.approx(distance, rel=1e-5) and got[d].kept == kept
+
+
 def test_least_determinant_withstands_a_fifth_of_outliers(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(0, 1, (400, 6)), rng.normal(6, 0.3, (100, 6))]) * 1024
@@ -457,3 +466,16 @@ def test_rewrite_keeps_every_row_once(spark, tmp_path, n_shards):
     assert of(got) == of(docs)
     assert Counter((r.doc_id, r.shard) for r in got.collect()) == Counter((r.doc_id, r.shard) for r in placed.collect())
     assert {r.shard for r in got.collect()} <= set(range(n_shards))
+
+
+def test_many_copies_of_one_row_spread_like_others(spark, tmp_path):
+    docs = spark.range(20_000).select(F.when(F.col("id") < 12_000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 12_000, "same text").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"), F.lit("s").alias("source"))
+    placed = flow.reshard(docs, F.lit(3), 24)
+    sizes = [r["n"] for r in placed.groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(sizes) == 24 and max(sizes) < 1.1 * sum(sizes) / 24 and min(sizes) > 0.9 * sum(sizes) / 24
+    path = str(tmp_path / "shards")
+    docs.withColumns({"shard": F.lit(3), "slot": F.lit(0).cast("long")}).write.partitionBy("shard").parquet(path)
+    flow.rewrite_affected(docs, placed, path)
+    got = spark.read.parquet(path)
+    of = lambda df, *c: Counter(tuple(r) for r in df.select(*c).collect())
+    assert of(got, "doc_id", "text") == of(docs, "doc_id", "text") and of(got, "doc_id", "shard", "slot") == of(placed, "doc_id", "shard", "slot")
