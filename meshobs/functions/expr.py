@@ -239,6 +239,11 @@ def channel_key(secret: Column) -> Column:
     return F.struct(secret.alias("secret"), F.substring(digest, 1, 2).alias("channel_hash"), F.substring(digest, 1, 16).alias("key_fingerprint"))
 
 
+def channel_id(channel_hash: Column, fingerprint: Column) -> Column:
+    """A number for a channel's row: 60 bits of a digest of its hash and its key's fingerprint, if it has a key."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", channel_hash, fingerprint)), 1, 15), 16, 10).cast("long")
+
+
 def normalize_scope_name(name: Column) -> Column:
     """With ``#`` before it unless it starts with ``#`` or ``$``."""
     return F.when(name.rlike("^[#$]"), name).otherwise(F.concat(F.lit("#"), name))

@@ -12,13 +12,13 @@ from pyspark.sql.types import DataType
 from ..functions import expr as X
 from ..sources.messages import parse_packet_envelope, parse_status_envelope, parse_topic
 from .channels import channel_candidates, fold_channel_messages, fold_channels, mark_decrypted
-from .events import message_event_rows, node_event_rows, observation_event_rows, running_counts, status_event_rows
+from .events import fold_observer_newest, message_event_rows, node_event_rows, observation_event_rows, running_counts, status_event_rows, with_observer_context, with_observer_name
 from .filters import filter_allowed
 from .neighbors import fold_neighbors
 from .nodes import fold_default_scope, fold_node_iatas, fold_nodes, fold_short_ids
 from .observers import attach_radio, fold_observer_brokers, fold_observer_scopes, fold_observer_status, fold_observers, telemetry_snapshots
 from .packets import dedup_observations, fold_packets
-from .resolve import node_capabilities, resolve_paths
+from .resolve import node_capabilities, relay_prefixes, unique_intervals
 from .routes import build_known_routes
 from .scopes import match_scope
 
@@ -79,7 +79,7 @@ def ingest_batch(
     their public key.  Batches must come in order of arrival.  Then several batches give what one batch of all their messages gives: radio values, first telemetry, running
     counts and known packets go on from ``state``, and with ``as_of_arrival`` hops resolve to nodes known when they came.  ``events`` are this batch's alone.
 
-    ``save`` writes a table and reads it back; given that, decoded rows, new observations and resolved hops are computed once and not for
+    ``save`` writes a table and reads it back; given that, decoded rows, new observations and the times at which prefixes are unique are computed once and not for
     each table.  With ``touched_only`` the tables of ``APPENDED`` and ``UPSERTED`` hold only rows that are new or changed, so a batch costs by its own size.
     """
     state, save = state or State(), save or (lambda df, name: df)
@@ -107,8 +107,10 @@ def ingest_batch(
     nodes = save(fold_nodes(adverts, existing=state.get("nodes")).withColumn("node_id", F.col("public_key")), "nodes")
     short_ids = save(fold_short_ids(named, existing=state.get("node_short_ids")), "node_short_ids")
     places = save(fold_node_iatas(named, existing=state.get("node_iatas")), "node_iatas")
-    resolved = save(resolve_paths(arrivals, short_ids, nodes, node_iatas=places, as_of_arrival=as_of_arrival), "resolved")
+    prefixes = save(relay_prefixes(short_ids, nodes, node_iatas=places if as_of_arrival else None), "prefixes")
+    intervals = save(unique_intervals(prefixes), "intervals")
     both = rows.select("observer_pubkey", "arrival_ts", "broker").unionByName(status.select(F.col("pubkey").alias("observer_pubkey"), "arrival_ts", "broker"))
+    observers = save(fold_observers(both, existing=state.get("observers")), "observers")
     texts = rows.filter(F.col("payload_type") == X.PAYLOAD_GROUP_TEXT).select("packet_hash", "channel_hash", "arrival_ts", "seq", "message", *(["opened_by"] if "opened_by" in rows.columns else []))
     if "opened_by" in texts.columns:
         opened = channel_candidates(texts.filter("message.ok").groupBy("packet_hash", "channel_hash").agg(F.min_by("opened_by", "seq").alias("opened_by")), keys)
@@ -123,16 +125,20 @@ def ingest_batch(
     if before is not None:
         before = before.join(hashes, "packet_hash", "left_semi") if touched_only else before
     running, counts = running_counts(inserted, before)
+    running = with_observer_name(running, status, stored=stored)
+    told = with_observer_context(status, inserted, scopes, newest=state.get("observer_newest"), observer_scopes=state.get("observer_scopes"))
     telemetry = telemetry_snapshots(status, existing=state.get("telemetry"))
     spoken = messages.join(hashes, "packet_hash", "left_semi") if stored_messages is None else messages.join(hashes, "packet_hash", "left_semi").join(stored_messages.select("packet_hash"), "packet_hash", "left_anti")
     spoken = spoken.join(inserted.groupBy("packet_hash").agg(F.min_by("iata", "seq").alias("iata")), "packet_hash")
-    events = observation_event_rows(running).unionByName(node_event_rows(adverts)).unionByName(message_event_rows(spoken)).unionByName(status_event_rows(status))
+    spoken = spoken.join(opened.select("packet_hash", "channel_hash", "key_fingerprint"), ["packet_hash", "channel_hash"], "left")
+    events = observation_event_rows(running, scopes).unionByName(node_event_rows(adverts, scopes, observers))
+    events = events.unionByName(message_event_rows(spoken)).unionByName(status_event_rows(told))
     old = lambda name, new: new if touched_only or state.get(name) is None else state.get(name).select(*new.columns).unionByName(new)
     return {
         "packets": mark_decrypted(packets, messages), "observations": old("observations", inserted), "packet_counts": counts, "nodes": nodes, "node_short_ids": short_ids, "node_iatas": places,
-        "default_scopes": fold_default_scope(named, existing=state.get("default_scopes")), "node_neighbors": fold_neighbors(named, resolved, existing=state.get("node_neighbors")),
-        "known_routes": build_known_routes(resolved, arrivals, existing=state.get("known_routes")), "capabilities": node_capabilities(resolved, arrivals, packets, existing=state.get("capabilities")),
-        "observers": fold_observers(both, existing=state.get("observers")), "observer_status": fold_observer_status(status, existing=stored),
+        "default_scopes": fold_default_scope(named, existing=state.get("default_scopes")), "node_neighbors": fold_neighbors(named, intervals, existing=state.get("node_neighbors")),
+        "known_routes": build_known_routes(arrivals, intervals, existing=state.get("known_routes")), "capabilities": node_capabilities(arrivals, prefixes, existing=state.get("capabilities")),
+        "observers": observers, "observer_newest": fold_observer_newest(inserted, existing=state.get("observer_newest")), "observer_status": fold_observer_status(status, existing=stored),
         "observer_brokers": fold_observer_brokers(both, existing=state.get("observer_brokers")), "observer_scopes": fold_observer_scopes(inserted, existing=state.get("observer_scopes")),
         "telemetry": old("telemetry", telemetry), "channels": fold_channels(texts.select("packet_hash", "channel_hash", "arrival_ts").distinct(), opened, existing=state.get("channels")), "channel_messages": messages,
         "events": events,

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from .filters import merge_by_key
+from .resolve import came, within
 
 
-def fold_neighbors(adverts: DataFrame, resolved: DataFrame, *, existing: DataFrame | None = None) -> DataFrame:
-    """Edges from an advertising relay to its first hop where that is one node.
+def fold_neighbors(adverts: DataFrame, intervals: DataFrame, *, existing: DataFrame | None = None) -> DataFrame:
+    """Edges from an advertising relay to its first hop where that is one node when the advert comes.
 
-    ``adverts`` has ``id, node_id, node_type, iata, heard_at`` of inserted adverts.
+    ``adverts`` has ``node_id, node_type, iata, heard_at, path_bytes, hash_size`` of inserted adverts; ``intervals`` is what ``unique_intervals`` gives.
     """
-    first = resolved.filter("pos = 0 AND candidates = 1").select("id", F.get("node_ids", F.lit(0)).alias("neighbor_id"))
-    edges = adverts.filter(F.col("node_type").isin(X.REPEATER, X.ROOM_SERVER)).join(first, "id")
+    relays = adverts.filter(F.col("node_type").isin(X.REPEATER, X.ROOM_SERVER) & (F.length("path_bytes") >= 2 * F.col("hash_size")))
+    first = relays.withColumn("hop", F.substring(F.col("path_bytes"), F.lit(1), 2 * F.col("hash_size")))
+    edges = first.join(intervals.withColumnRenamed("node_id", "neighbor_id"), ["iata", "hop"]).filter(within(came(adverts)))
     new = edges.groupBy("node_id", "neighbor_id", "iata").agg(F.min("heard_at").alias("first_seen"), F.max("heard_at").alias("last_seen"), F.count(F.lit(1)).alias("observation_count"))
     return merge_by_key(existing, new, ["node_id", "neighbor_id", "iata"], {"first_seen": "min", "last_seen": "max", "observation_count": "sum"})
 

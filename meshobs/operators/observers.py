@@ -39,8 +39,7 @@ def attach_radio(obs: DataFrame, status: DataFrame, *, stored: DataFrame | None
     found = filled.join(days, ["observer_id", "_day"]).withColumn("_use", F.coalesce("_now", "_carried"))
     if stored is not None:
         found = found.join(stored.select("observer_id", radio.alias("_stored")), "observer_id", "left").withColumn("_use", F.coalesce("_use", "_stored"))
-    zero = F.lit(0)
-    return found.select("_row.*", *(F.coalesce(F.col(f"_use.{c}"), zero).alias(n) for c, n in (("freq", "radio_freq_mhz"), ("bw", "bandwidth_khz"), ("sf", "spread_factor"), ("cr", "coding_rate"))))
+    return found.select("_row.*", *(F.coalesce(F.col(f"_use.{c}"), F.lit(0).cast(status.schema[c].dataType)).alias(n) for c, n in (("freq", "radio_freq_mhz"), ("bw", "bandwidth_khz"), ("sf", "spread_factor"), ("cr", "coding_rate"))))
 
 
 def telemetry_buckets(telemetry: DataFrame, *, hours: int, since=None, until=None) -> DataFrame:

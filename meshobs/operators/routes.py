@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from .filters import equals, limited, merge_by_key, page_desc
+from .resolve import came, unique_paths, within
 
 
-def build_known_routes(resolved: DataFrame, obs: DataFrame, *, existing: DataFrame | None = None) -> DataFrame:
-    """``node_ids, iata, hash_prefix, hop_count, first_seen, last_seen, observation_count`` of paths of two hops or more that resolve uniquely.
+def build_known_routes(obs: DataFrame, intervals: DataFrame, *, existing: DataFrame | None = None) -> DataFrame:
+    """``node_ids, iata, hash_prefix, hop_count, first_seen, last_seen, observation_count`` of paths of two hops or more that resolve uniquely when they come.
 
-    ``obs`` holds every arrival, second copies included.
+    ``obs`` holds every arrival, second copies included, with ``path_bytes`` and ``hash_size``; ``intervals`` is what ``unique_intervals`` gives.
     """
-    step = F.struct("pos", "hop", F.get("node_ids", F.lit(0)).alias("node"))
-    paths = resolved.groupBy("id", "iata").agg(F.sort_array(F.collect_list(step)).alias("steps"), F.min("candidates").alias("least"), F.max("candidates").alias("most"))
-    paths = paths.filter("least = 1 AND most = 1 AND size(steps) >= 2").join(obs.select("id", "heard_at"), "id")
-    routes = paths.groupBy(F.col("steps.node").alias("node_ids"), "iata").agg(
-        F.min_by("steps.hop", F.struct("heard_at", "id")).alias("hash_prefix"), F.min("heard_at").alias("first_seen"), F.max("heard_at").alias("last_seen"), F.count(F.lit(1)).alias("observation_count")
+    found = obs.join(unique_paths(obs, intervals), ["iata", "path_bytes", "hash_size"]).filter(within(came(obs)))
+    routes = found.groupBy("node_ids", "iata").agg(
+        F.min_by("hash_prefix", F.struct("heard_at", "id")).alias("hash_prefix"), F.min("heard_at").alias("first_seen"), F.max("heard_at").alias("last_seen"), F.count(F.lit(1)).alias("observation_count")
     )
     routes = merge_by_key(existing, routes, ["node_ids", "iata"], {"hash_prefix": "first", "first_seen": "min", "last_seen": "max", "observation_count": "sum"})
     return routes.withColumn("hop_count", F.size("node_ids"))

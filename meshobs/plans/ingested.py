@@ -13,7 +13,7 @@ from ..functions import expr as X
 from ..operators import channels, ingest, maintenance, nodes, observers, scopes
 from ..sources import dims
 from .adapters import Tables
-from .registry import as_of, plain, query
+from .registry import NAMES, as_of, plain, query
 
 SCOPES = ["bc", "west", "$private"]
 BORDER = "2024-01-16 00:00:00"
@@ -72,16 +72,17 @@ def decoded_packets(t: Tables) -> DataFrame:
 
 
 def decoded_statuses(t: Tables) -> DataFrame:
-    """Every tenth event is a status of its observer, just before the event's packet; some have no name."""
-    odd = F.col("event_id") % 20 == 3
+    """Each event is also a status of its observer, five minutes after the event's packet; every second one has no name and no battery."""
+    odd = F.col("event_id") % 2 == 1
     stats = F.struct(
         F.col("event_id").alias("uptime_secs"), F.when(odd, 0).otherwise(4000 + F.col("event_id") % 100).cast("int").alias("battery_mv"), F.lit(-110.0).cast("float").alias("noise_floor"), F.lit(0).alias("queue_len"), F.lit(0).alias("debug_flags"),
         F.lit(0.0).alias("tx_air_secs"), F.lit(0.0).alias("rx_air_secs"), F.lit(0).alias("recv_errors"),
     )
     place = F.expr("substr('YVRYYJYYCYEGYOWYYZSEALHR', CAST(1 + 3*(user_id % 8) AS INT), 3)")
-    return t.events.filter("event_id % 10 = 3").select(
-        (seq_of("ts") - 1).alias("seq"), F.col("ts").cast("timestamp").alias("arrival_ts"), F.lit("mqtt1").alias("broker"), place.alias("iata"), F.col("user_id").cast("string").alias("pubkey"), F.when(odd, "org/ha:1").alias("source"),
-        F.lit("v1").alias("client_version"), F.lit("m").alias("model"), F.lit("f").alias("firmware_version"), F.when(odd, "").otherwise(F.concat(F.lit("obs-"), F.col("user_id").cast("string"))).alias("origin"),
+    later = F.col("ts").cast("timestamp") + F.expr("INTERVAL 5 MINUTES")
+    return t.events.select(
+        (seq_of("ts") + 1_200_000_002).alias("seq"), later.alias("arrival_ts"), F.lit("mqtt1").alias("broker"), place.alias("iata"), F.col("user_id").cast("string").alias("pubkey"), F.when(odd, "org/ha:1").alias("source"),
+        F.lit("v1").alias("client_version"), F.lit("m").alias("model"), F.lit("f").alias("firmware_version"), F.when(odd, "").otherwise(F.concat(F.lit("obs-"), F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 3).cast("string"))).alias("origin"),
         F.when(odd, "910.525,62.5,7,5").otherwise("915,250,10,6").alias("radio"), stats.alias("stats"),
     )
 
@@ -95,16 +96,21 @@ US = "CAST(unix_micros({}) AS STRING)"
 #: Per table the columns that are compared, as texts in SQL of Spark.
 SHOWN = {
     "packets": ["packet_hash", "payload_type", "route_type", "scope_id", US.format("first_heard_at"), US.format("last_heard_at"), "decrypted", "trace_tag", "get_json_object(parsed_payload, '$.type')"],
-    "observations": ["packet_hash", "observer_id", US.format("heard_at"), "broker", "iata", "spread_factor", "hop_count"],
-    "packet_counts": ["packet_hash", "n"], "nodes": ["public_key", "node_type", "name", US.format("first_seen"), US.format("last_seen")], "node_short_ids": ["node_id", "iata", "prefix_4", "prefix_1"],
+    "observations": [
+        "packet_hash", "observer_id", US.format("heard_at"), "broker", "iata", "payload_type", "route_type", "scope_id", "channel_hash", "hash_size", "hop_count", "path_bytes", "rssi", "snr",
+        "radio_freq_mhz", "bandwidth_khz", "spread_factor", "coding_rate", "advert.pubkey",
+    ],
+    "packet_counts": ["packet_hash", "n"], "nodes": ["public_key", "node_type", "name", "latitude", "longitude", "radio_sf", US.format("first_seen"), US.format("last_seen"), US.format("last_advert_at")], "node_short_ids": ["node_id", "iata", "prefix_4", "prefix_1"],
     "node_iatas": ["node_id", "iata", US.format("first_heard"), US.format("last_heard"), "observation_count"], "default_scopes": ["public_key", "default_scope_id"],
     "node_neighbors": ["node_id", "neighbor_id", "iata", US.format("first_seen"), US.format("last_seen"), "observation_count"],
     "known_routes": ["array_join(node_ids, ',')", "iata", "array_join(hash_prefix, ',')", "hop_count", US.format("first_seen"), US.format("last_seen"), "observation_count"],
     "capabilities": ["node_id", "multibyte_paths", "multibyte_traces"], "observers": ["public_key", US.format("first_seen"), US.format("last_seen"), "observation_count"],
-    "observer_status": ["public_key", "display_name", "observer_type", "radio_sf", US.format("last_status_at"), "uptime_seconds"], "observer_brokers": ["observer_pubkey", "broker_name", US.format("first_seen"), US.format("last_packet_at")],
-    "observer_scopes": ["observer_id", "scope_id", US.format("first_seen"), US.format("last_seen")], "telemetry": ["pubkey", US.format("reported_at"), "stats.uptime_secs"],
-    "channels": ["channel_hash", "key_fingerprint", "name", US.format("first_seen"), US.format("last_seen"), "key_known"], "channel_messages": ["packet_hash", "channel_hash", "content", US.format("sent_at")],
-    "events": ["type", "iata", "CASE WHEN type <> 'observerStatus' THEN payload END"],
+    "observer_newest": ["observer_id", US.format("newest.heard_at"), "newest.iata"],
+    "observer_status": ["public_key", "display_name", "observer_type", "software_version", "hardware_model", "firmware_version", "radio_freq_mhz", "radio_bw_khz", "radio_sf", "radio_cr", "battery_level", US.format("last_status_at"), "uptime_seconds"], "observer_brokers": ["observer_pubkey", "broker_name", US.format("first_seen"), US.format("last_packet_at")],
+    "observer_scopes": ["observer_id", "scope_id", US.format("first_seen"), US.format("last_seen")], "telemetry": ["pubkey", US.format("reported_at"), *(f"stats.{c}" for c in ("uptime_secs", "battery_mv", "noise_floor", "queue_len", "debug_flags", "tx_air_secs", "rx_air_secs", "recv_errors"))],
+    "channels": ["channel_hash", "key_fingerprint", "name", "hashtag", "is_hashtag", "message_count", US.format("first_seen"), US.format("last_seen"), "key_known"],
+    "channel_messages": ["packet_hash", "channel_hash", "sender_name", "content", US.format("sent_at")],
+    "events": ["type", "iata", "payload_type", "channel_hash", "payload"],
 }
 
 
@@ -126,9 +132,11 @@ def _digest_sql(kind: str, columns: list[str], source: str) -> str:
 
 _SQL = {
     "packets": (["packet_hash", "payload_type", "route_type", "scope_id", "epoch_us(first_heard_at)", "epoch_us(last_heard_at) + 600000000", "payload_type = 5 AND packet_no % 2 = 1", "CASE WHEN trace_tag IS NOT NULL THEN substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) END", "CASE payload_type WHEN 4 THEN 'ADVERT' WHEN 5 THEN 'GROUP_TEXT' WHEN 9 THEN CASE WHEN trace_hops = 1 THEN 'PING' ELSE 'TRACE' END END"], "(SELECT *, format('{:08x}', packet_no) AS h FROM packets)"),
-    "observations": (["packet_hash", "observer_id", "epoch_us(heard_at)", "source_broker", "iata", "coalesce(sf, 0)", "hop_count"], "radio"),
+    "observations": ([
+        "packet_hash", "observer_id", "epoch_us(heard_at)", "source_broker", "iata", "payload_type", "route_type", "scope_id", "channel_hash", "hash_size", "hop_count", "coalesce(path, '')", "'-100'", "'1.5'",
+        "coalesce(freq, '0.0')", "coalesce(bw, '0.0')", "coalesce(sf, 0)", "coalesce(cr, 0)", "CASE payload_type WHEN 4 THEN origin_pubkey END"], "radio JOIN packets USING (packet_hash) LEFT JOIN (SELECT id, string_agg(hop, '' ORDER BY pos) AS path FROM hops GROUP BY id) USING (id)"),
     "packet_counts": (["packet_hash", "n"], "(SELECT packet_hash, count(*) AS n FROM obs GROUP BY packet_hash)"),
-    "nodes": (["origin_pubkey", "2 + origin_node % 2", "'node ' || origin_node", "epoch_us(a)", "epoch_us(b)"], "(SELECT origin_pubkey, origin_node, min(heard_at) AS a, max(heard_at) AS b FROM ad GROUP BY ALL)"),
+    "nodes": (["origin_pubkey", "2 + origin_node % 2", "'node ' || origin_node", "'49.0'", "'-123.0'", "s", "epoch_us(a)", "epoch_us(b)", "epoch_us(b)"], "(SELECT origin_pubkey, origin_node, min(heard_at) AS a, max(heard_at) AS b, arg_max(CASE WHEN hop_count = 0 AND sf > 0 THEN sf ELSE -1 END, ad.id) AS r, nullif(r, -1) AS s FROM ad JOIN radio USING (id, hop_count, heard_at) GROUP BY ALL)"),
     "node_short_ids": (["origin_pubkey", "iata", "substr(origin_pubkey, 1, 8)", "substr(origin_pubkey, 1, 2)"], "(SELECT DISTINCT origin_pubkey, iata FROM ad)"),
     "node_iatas": (["node", "iata", "epoch_us(first_heard)", "epoch_us(last_heard)", "n"], "places"),
     "default_scopes": (["origin_pubkey", "s"], "(SELECT origin_pubkey, arg_max(scope_id, id) AS s FROM ad WHERE route_type IN (0,3) AND scope_id IS NOT NULL GROUP BY origin_pubkey)"),
@@ -136,27 +144,54 @@ _SQL = {
     "known_routes": (["array_to_string(nodes, ',')", "iata", "array_to_string(prefix, ',')", "len(nodes)", "epoch_us(a)", "epoch_us(b)", "n"], "(SELECT nodes, iata, arg_min(hops, (heard_at, id, copy)) AS prefix, min(heard_at) AS a, max(heard_at) AS b, count(*) AS n FROM (SELECT id, copy, iata, heard_at, list(node ORDER BY pos) AS nodes, list(hop ORDER BY pos) AS hops FROM resolved GROUP BY ALL HAVING min(candidates) = 1 AND max(candidates) = 1 AND count(*) >= 2) GROUP BY nodes, iata)"),
     "capabilities": (["node", "p", "t"], "(SELECT node, bool_or(payload_type <> 9 AND hash_size IN (2,3)) AS p, bool_or(payload_type = 9 AND hash_size IN (2,4)) AS t FROM candidates WHERE node IS NOT NULL AND ((payload_type <> 9 AND hash_size IN (2,3)) OR (payload_type = 9 AND hash_size IN (2,4))) GROUP BY node)"),
     "observers": (["observer_id", "epoch_us(a)", "epoch_us(b)", "n - 1"], "(SELECT observer_id, min(ts) AS a, max(ts) AS b, count(*) AS n FROM heard GROUP BY observer_id)"),
-    "observer_status": (["observer_id", "name", "CASE sf WHEN 7 THEN 'ha' ELSE 'v1' END", "sf", "epoch_us(ts)", "up"], "(SELECT observer_id, arg_max(nullif(name, ''), ts) AS name, arg_max(sf, ts) AS sf, max(ts) AS ts, arg_max(id, ts) AS up FROM st GROUP BY observer_id)"),
+    "observer_status": (["observer_id", "name", "CASE sf WHEN 7 THEN 'ha' ELSE 'v1' END", "'v1'", "'m'", "'f'", "freq", "bw", "sf", "cr", "battery", "epoch_us(ts)", "up"], "(SELECT observer_id, arg_max(nullif(name, ''), ts) AS name, arg_max(sf, ts) AS sf, arg_max(freq, ts) AS freq, arg_max(bw, ts) AS bw, arg_max(cr, ts) AS cr, arg_max(CASE WHEN id % 2 = 0 THEN (4000 + id % 100) / 1000.0::DOUBLE END, ts) AS battery, max(ts) AS ts, arg_max(id, ts) AS up FROM st GROUP BY observer_id)"),
+    "observer_newest": (["observer_id", "epoch_us(t)", "iata"], "(SELECT observer_id, max(heard_at) AS t, arg_max(iata, heard_at) AS iata FROM obs GROUP BY observer_id)"),
     "observer_brokers": (["observer_id", "broker", "epoch_us(a)", "epoch_us(b)"], "(SELECT observer_id, broker, min(ts) AS a, max(ts) AS b FROM heard GROUP BY ALL)"),
     "observer_scopes": (["observer_id", "scope_id", "epoch_us(first_seen)", "epoch_us(last_seen)"], "observer_scopes"),
-    "telemetry": (["observer_id", "epoch_us(w)", "up"], "(SELECT observer_id, date_trunc('hour', ts) AS w, arg_min(id, ts) AS up FROM st GROUP BY ALL)"),
-    "channels": (["channel_hash", "f", "CASE WHEN f IS NOT NULL THEN '#one' END", "epoch_us(a)", "epoch_us(b)", "f IS NOT NULL"], "(SELECT channel_hash, NULL AS f, min(first_heard_at) AS a, max(last_heard_at) + INTERVAL 10 MINUTE AS b FROM packets WHERE payload_type = 5 GROUP BY ALL UNION ALL SELECT channel_hash, 'f' || channel_hash, min(first_heard_at), max(last_heard_at) + INTERVAL 10 MINUTE FROM packets WHERE payload_type = 5 AND packet_no % 2 = 1 GROUP BY ALL)"),
-    "channel_messages": (["packet_hash", "channel_hash", "'hello ' || packet_no", "1704067200000000"], "(SELECT * FROM packets WHERE payload_type = 5 AND packet_no % 2 = 1)"),
-    "events": (["type", "iata", "payload"], """(SELECT 'packetObservation' AS type, iata, '{"packetHash":"' || packet_hash || '","observerId":"' || observer_id || '","iata":"' || iata || '","heardAt":' || (epoch_us(heard_at) // 1000) || ',"isFirstObservation":' || (k = 1) || ',"observationCount":' || k || '}' AS payload FROM (SELECT *, row_number() OVER (PARTITION BY packet_hash ORDER BY id) AS k FROM obs)
- UNION ALL SELECT 'nodeUpdate', iata, '{"publicKey":"' || origin_pubkey || '","name":"node ' || origin_node || '","nodeType":"' || CASE origin_node % 2 WHEN 0 THEN 'repeater' ELSE 'room_server' END || '","iata":"' || iata || '"}' FROM ad
- UNION ALL SELECT 'channelMessage', arg_min(o.iata, o.id), '{"channelHash":"' || p.channel_hash || '","sender":"s","content":"hello ' || p.packet_no || '","sentAt":1704067200000}' FROM packets p JOIN obs o USING (packet_hash) WHERE p.payload_type = 5 AND p.packet_no % 2 = 1 GROUP BY p.packet_no, p.channel_hash
- UNION ALL SELECT 'observerStatus', iata, NULL FROM st)"""),
+    "telemetry": (["observer_id", "epoch_us(w)", "up", "CASE WHEN up % 2 = 1 THEN 0 ELSE 4000 + up % 100 END", "'-110.0'", "0", "0", "'0.0'", "'0.0'", "0"], "(SELECT observer_id, date_trunc('hour', ts) AS w, arg_min(id, ts) AS up FROM st GROUP BY ALL)"),
+    "channels": (["channel_hash", "f", "CASE WHEN f IS NOT NULL THEN '#one' END", "CASE WHEN f IS NOT NULL THEN '#one' END", "f IS NOT NULL", "0", "epoch_us(a)", "epoch_us(b)", "f IS NOT NULL"], "(SELECT channel_hash, NULL AS f, min(first_heard_at) AS a, max(last_heard_at) + INTERVAL 10 MINUTE AS b FROM packets WHERE payload_type = 5 GROUP BY ALL UNION ALL SELECT channel_hash, 'f' || channel_hash, min(first_heard_at), max(last_heard_at) + INTERVAL 10 MINUTE FROM packets WHERE payload_type = 5 AND packet_no % 2 = 1 GROUP BY ALL)"),
+    "channel_messages": (["packet_hash", "channel_hash", "'s'", "'hello ' || packet_no", "1704067200000000"], "(SELECT * FROM packets WHERE payload_type = 5 AND packet_no % 2 = 1)"),
+    "events": (["type", "iata", "payload_type", "channel_hash", "payload"], "told"),
 }
-_WITH = """st AS (SELECT event_id AS id, user_id AS observer_id, ts, CASE WHEN event_id % 20 = 3 THEN 7 ELSE 10 END AS sf, CASE WHEN event_id % 20 = 3 THEN '' ELSE 'obs-' || user_id END AS name, substr('YVRYYJYYCYEGYOWYYZSEALHR', CAST(1 + 3*(user_id % 8) AS INT), 3) AS iata FROM events WHERE event_id % 10 = 3),
-radio AS (SELECT o.*, st.sf FROM obs o ASOF LEFT JOIN st ON st.observer_id = o.observer_id AND st.ts <= o.heard_at),
+_WITH = """st AS (SELECT event_id AS id, user_id AS observer_id, ts + INTERVAL 5 MINUTE AS ts, CASE event_id % 2 WHEN 1 THEN '910.525' ELSE '915.0' END AS freq, CASE event_id % 2 WHEN 1 THEN '62.5' ELSE '250.0' END AS bw,
+  CASE event_id % 2 WHEN 1 THEN 7 ELSE 10 END AS sf, CASE event_id % 2 WHEN 1 THEN 5 ELSE 6 END AS cr, CASE event_id % 2 WHEN 1 THEN '910.5,62.5,7' ELSE '915.0,250,10' END AS shown,
+  CASE event_id % 2 WHEN 1 THEN '' ELSE 'obs-' || user_id || '-' || event_id % 3 END AS name FROM events),
+radio AS (SELECT o.*, st.freq, st.bw, st.sf, st.cr, st.shown FROM obs o ASOF LEFT JOIN st ON st.observer_id = o.observer_id AND st.ts < o.heard_at),
 heard AS (SELECT observer_id, source_broker AS broker, heard_at AS ts FROM obs UNION ALL SELECT observer_id, 'other', heard_at + INTERVAL 10 MINUTE FROM obs UNION ALL SELECT observer_id, 'mqtt1', ts FROM st),
 ad AS (SELECT o.*, p.origin_pubkey, p.origin_node, p.scope_id, p.route_type FROM obs o JOIN packets p USING (packet_hash) WHERE p.payload_type = 4),
 places AS (SELECT origin_pubkey AS node, iata, min(heard_at) AS first_heard, max(heard_at) AS last_heard, count(*) AS n FROM ad GROUP BY ALL),
 candidates AS (SELECT h.id, c.copy, h.iata, o.heard_at, h.pos, h.hop, k.node, p.payload_type, o.hash_size FROM hops h JOIN obs o ON o.id = h.id JOIN packets p ON p.packet_hash = h.packet_hash CROSS JOIN (VALUES (0), (1)) c(copy)
  LEFT JOIN places k ON k.iata = h.iata AND substr(k.node, 1, length(h.hop)) = h.hop AND k.first_heard <= o.heard_at + to_minutes(10 * c.copy)),
-resolved AS (SELECT id, copy, iata, heard_at, pos, hop, count(node) AS candidates, min(node) AS node FROM candidates GROUP BY ALL)"""
+resolved AS (SELECT id, copy, iata, heard_at, pos, hop, count(node) AS candidates, min(node) AS node FROM candidates GROUP BY ALL),
+named AS (SELECT o.id, n.name FROM obs o ASOF LEFT JOIN (SELECT observer_id, ts, name FROM st WHERE name <> '') n ON n.observer_id = o.observer_id AND n.ts < o.heard_at),
+first_scope AS (SELECT o.observer_id, s.name, min(o.heard_at) AS since FROM obs o JOIN packets p USING (packet_hash) JOIN scopes s USING (scope_id) GROUP BY ALL),
+had_scopes AS (SELECT st.id, string_agg('"' || f.name || '"', ',' ORDER BY f.name) AS names FROM st JOIN first_scope f ON f.observer_id = st.observer_id AND f.since <= st.ts GROUP BY st.id),
+told AS (
+  SELECT 'packetObservation' AS type, o.iata, p.payload_type, '' AS channel_hash,
+    '{"packetHash":"' || o.packet_hash || '","packet":{"payloadType":' || p.payload_type || ',"payloadTypeName":"' || n.name || '","routeType":' || p.route_type
+    || ',"routeTypeName":"' || CASE p.route_type WHEN 0 THEN 'TRANSPORT_FLOOD' WHEN 1 THEN 'FLOOD' WHEN 2 THEN 'DIRECT' ELSE 'TRANSPORT_DIRECT' END
+    || '","isFirstObservation":' || (o.k = 1) || ',"observationCount":' || o.k || coalesce(',"scope":"' || s.name || '"', '')
+    || '},"observation":{"observerId":"' || o.observer_id || '","observerName":"' || coalesce(m.name, '') || '","iata":"' || o.iata || '","heardAt":' || (epoch_us(o.heard_at) // 1000)
+    || ',"rssi":-100,"snr":1.5,"sourceBroker":"' || o.source_broker || '","pathBytes":"' || coalesce(h.path, '')
+    || '","pathLength":{"raw":"' || format('{:02x}', (o.hash_size - 1) * 64 + o.hop_count) || '","hashSize":' || o.hash_size || ',"hopCount":' || o.hop_count || '},"propagationTimeMs":0}}' AS payload
+  FROM (SELECT *, row_number() OVER (PARTITION BY packet_hash ORDER BY id) AS k FROM obs) o JOIN packets p USING (packet_hash) JOIN {NAMES} n ON n.payload_type = p.payload_type
+    LEFT JOIN scopes s ON s.scope_id = p.scope_id JOIN named m ON m.id = o.id LEFT JOIN (SELECT id, string_agg(hop, '' ORDER BY pos) AS path FROM hops GROUP BY id) h ON h.id = o.id
+  UNION ALL
+  SELECT 'nodeUpdate', ad.iata, 4, '', '{"nodeId":"' || origin_pubkey || '","publicKey":"' || origin_pubkey || '","name":"node ' || origin_node || '","nodeType":' || (2 + origin_node % 2)
+    || ',"nodeTypeName":"' || CASE origin_node % 2 WHEN 0 THEN 'repeater' ELSE 'room_server' END || '","iata":"' || ad.iata || '","lat":49.0,"lng":-123.0,"isObserver":false,"iatas":[{"iata":"' || ad.iata
+    || '","lastHeard":' || (epoch_us(ad.heard_at) // 1000) || '}]' || coalesce(',"defaultScope":"' || s.name || '"', '') || coalesce(',"radio":"' || r.shown || '"', '') || '}'
+  FROM ad JOIN radio r ON r.id = ad.id LEFT JOIN scopes s ON s.scope_id = ad.scope_id
+  UNION ALL
+  SELECT 'channelMessage', arg_min(o.iata, o.id), 0, p.channel_hash, '{"channelId":' || CAST('0x' || substr(md5(p.channel_hash || ':f' || p.channel_hash), 1, 15) AS BIGINT) || ',"channelHash":"' || p.channel_hash
+    || '","packetHash":"' || p.packet_hash || '","senderName":"s","content":"hello ' || p.packet_no || '","sentAt":1704067200000}'
+  FROM packets p JOIN obs o USING (packet_hash) WHERE p.payload_type = 5 AND p.packet_no % 2 = 1 GROUP BY p.packet_no, p.packet_hash, p.channel_hash
+  UNION ALL
+  SELECT 'observerStatus', coalesce(o.iata, ''), 0, '', '{"observerId":"' || st.observer_id || '","displayName":"' || st.name || '"' || CASE st.id % 2 WHEN 1 THEN ',"observerType":"org/ha:1"' ELSE '' END
+    || coalesce(',"iata":"' || o.iata || '"', '') || ',"online":true,"radio":"' || st.shown || '","scopes":[' || coalesce(h.names, '') || ']' || CASE st.id % 2 WHEN 0 THEN ',"batteryMv":' || (4000 + st.id % 100) ELSE '' END
+    || ',"uptimeSeconds":' || st.id || ',"lastStatusAt":' || (epoch_us(st.ts) // 1000) || '}'
+  FROM st ASOF LEFT JOIN obs o ON o.observer_id = st.observer_id AND o.heard_at <= st.ts LEFT JOIN had_scopes h ON h.id = st.id)""".replace("{NAMES} n", NAMES.replace("AS names", "AS n"))
 INGEST_SQL = f"WITH {_WITH}\n" + "\nUNION ALL ".join(_digest_sql(kind, *_SQL[kind]) for kind in SHOWN)
-INGEST_VIEWS = ("obs", "packets", "hops", "observer_scopes")
+INGEST_VIEWS = ("obs", "packets", "hops", "observer_scopes", "scopes")
 
 
 @query(INGEST_SQL, *INGEST_VIEWS)
@@ -187,7 +222,7 @@ def j7_match_scope(t):
     return scopes.match_scope(coded, dims.scope_dim(t.spark, SCOPES)).select("packet_hash", "scope_id")
 
 
-@query("WITH " + ",\n".join(_WITH.split(",\n")[:2]) + " SELECT id, coalesce(sf, 0) AS spread_factor FROM radio", "obs")
+@query("WITH " + _WITH.split(",\nheard AS")[0] + " SELECT id, coalesce(sf, 0) AS spread_factor FROM radio", "obs")
 def j9_attach_radio(t):
     rows = t.obs.select("id", "observer_id", seq_of("heard_at").alias("seq"), F.col("heard_at").cast("timestamp").alias("arrival_ts"))
     status = decoded_statuses(t).select(F.col("pubkey").cast("long").alias("observer_id"), "seq", "arrival_ts", X.parse_radio(F.col("radio")).alias("r")).select("observer_id", "seq", "arrival_ts", "r.*")
@@ -199,7 +234,7 @@ def j10_observer_nodes(t):
     return nodes.with_observer_link(t.nodes, t.observers).select("node_id", "observer_id", "is_observer")
 
 
-@query("WITH " + _WITH.split(",\n")[0] + " SELECT CAST(observer_id AS VARCHAR) AS public_key, arg_max(nullif(name, ''), ts) AS display_name, arg_max(sf, ts) AS radio_sf, arg_max(id, ts) AS uptime_seconds, max(ts) AS last_status_at, arg_max(CASE WHEN id % 20 <> 3 THEN (4000 + id % 100) / 1000.0 END::DOUBLE, ts) AS battery_level FROM st GROUP BY observer_id")
+@query("WITH " + _WITH.split(",\nradio AS")[0] + " SELECT CAST(observer_id AS VARCHAR) AS public_key, arg_max(nullif(name, ''), ts) AS display_name, arg_max(sf, ts) AS radio_sf, arg_max(id, ts) AS uptime_seconds, max(ts) AS last_status_at, arg_max(CASE WHEN id % 2 = 0 THEN (4000 + id % 100) / 1000.0 END::DOUBLE, ts) AS battery_level FROM st GROUP BY observer_id")
 def a21_observer_status(t):
     """Folded in two halves by time; names and batteries that are unknown keep the old value."""
     status = decoded_statuses(t)
@@ -228,7 +263,7 @@ def a25_default_scope(t):
     return nodes.fold_default_scope(_adverts(t))
 
 
-@query("WITH " + _WITH.split(",\n")[0] + " SELECT CAST(observer_id AS VARCHAR) AS pubkey, date_trunc('hour', ts) AS reported_at, arg_min(id, ts) AS uptime_secs FROM st GROUP BY ALL")
+@query("WITH " + _WITH.split(",\nradio AS")[0] + " SELECT CAST(observer_id AS VARCHAR) AS pubkey, date_trunc('hour', ts) AS reported_at, arg_min(id, ts) AS uptime_secs FROM st GROUP BY ALL")
 def t4_telemetry_snapshots(t):
     """A window that the first half has stored is not taken again."""
     status = decoded_statuses(t)

@@ -294,17 +294,25 @@ def resolved(t: Tables) -> DataFrame:
     return resolve.resolve_paths(t.paths, t.short_ids, t.nodes)
 
 
+def intervals(t: Tables) -> DataFrame:
+    return resolve.unique_intervals(resolve.relay_prefixes(t.short_ids, t.nodes))
+
+
+def capabilities(t: Tables) -> DataFrame:
+    return resolve.node_capabilities(t.paths.join(t.packets.select("packet_hash", "payload_type"), "packet_hash"), resolve.relay_prefixes(t.short_ids, t.nodes))
+
+
 def known_routes(t: Tables) -> DataFrame:
-    return routes.with_route_id(routes.build_known_routes(resolved(t), t.obs))
+    return routes.with_route_id(routes.build_known_routes(t.paths, intervals(t)))
 
 
 def adverts(t: Tables) -> DataFrame:
-    heard = t.obs.join(t.packets.filter("payload_type = 4").select("packet_hash", F.col("origin_node").alias("node_id")), "packet_hash")
+    heard = t.paths.join(t.packets.filter("payload_type = 4").select("packet_hash", F.col("origin_node").alias("node_id")), "packet_hash")
     return heard.join(t.nodes.select("node_id", "node_type", "public_key"), "node_id")
 
 
 def edges(t: Tables) -> DataFrame:
-    return neighbors.fold_neighbors(adverts(t), resolved(t))
+    return neighbors.fold_neighbors(adverts(t), intervals(t))
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -323,7 +331,7 @@ def j6_resolve_paths(t):
 
 @query(f"WITH {RESOLVED} SELECT node_id, bool_or(t <> 9 AND s IN (2,3)) AS multibyte_paths, bool_or(t = 9 AND s IN (2,4)) AS multibyte_traces FROM (SELECT c.node_id, p.payload_type AS t, o.hash_size AS s FROM hops h JOIN obs o USING (id) JOIN packets p ON p.packet_hash = o.packet_hash JOIN (SELECT s.iata, substr(s.prefix_4, 1, 2*w.n) AS hop, s.node_id FROM short_ids s JOIN nodes USING (node_id), (VALUES (1),(2),(3),(4)) w(n) WHERE node_type IN (2,3)) c ON c.iata = h.iata AND c.hop = h.hop) WHERE (t <> 9 AND s IN (2,3)) OR (t = 9 AND s IN (2,4)) GROUP BY node_id", *PATH_VIEWS)
 def a28_node_capabilities(t):
-    return resolve.node_capabilities(resolved(t), t.obs, t.packets)
+    return capabilities(t)
 
 
 @query(f"WITH {EDGES_SQL} SELECT * FROM edges", *PATH_VIEWS)
@@ -444,11 +452,11 @@ def r16_cross_iata_routes(t):
     return found.select(joined("source"), "cross_from", "cross_to", joined("target"), "total_hops")
 
 
-TRACE_HASHES = "substr(md5('n' || CAST(8*((packet_no*31 + {i}*17) % 18) + packet_no % 8 AS STRING)),1,2)"
+TRACE_HASHES = "substr(md5('n' || CAST((packet_no*31 + {i}*17) % n_nodes AS STRING)),1,2)"
 
 
 @query(f"""WITH cand AS (SELECT s.iata, substr(s.prefix_4, 1, 2) AS hop, count(*) AS n, min(s.node_id) AS node_id FROM short_ids s JOIN nodes USING (node_id) WHERE node_type IN (2,3) GROUP BY ALL),
- h AS (SELECT packet_hash, CAST(i AS INT) AS pos, {TRACE_HASHES.format(i='i')} AS hop FROM packets, (VALUES (0),(1),(2),(3)) v(i) WHERE trace_tag IS NOT NULL AND i < trace_hops),
+ h AS (SELECT packet_hash, CAST(i AS INT) AS pos, {TRACE_HASHES.format(i='i')} AS hop FROM packets, (SELECT count(*) AS n_nodes FROM customer) c, (VALUES (0),(1),(2),(3)) v(i) WHERE trace_tag IS NOT NULL AND i < trace_hops),
  pl AS (SELECT packet_hash, iata, min((heard_at, id)) AS heard FROM obs GROUP BY ALL),
  m AS (SELECT h.packet_hash, h.pos, h.hop, pl.iata, pl.heard, coalesce(c.n, 0) AS candidates, c.node_id FROM h LEFT JOIN pl USING (packet_hash) LEFT JOIN cand c ON c.iata = pl.iata AND c.hop = h.hop),
  k AS (SELECT *, row_number() OVER (PARTITION BY packet_hash, pos ORDER BY CASE candidates WHEN 1 THEN 0 WHEN 0 THEN 2 ELSE 1 END, heard, iata) AS rn FROM m)
@@ -464,7 +472,8 @@ def _traced_hashes(t: Tables) -> DataFrame:
     hashes = F.slice(F.array(*(F.expr(TRACE_HASHES.format(i=i)) for i in range(4))), 1, F.col("trace_hops"))
     signals = F.slice(F.array(*(((F.col("packet_no") + 7 * i) % 256).cast("int") for i in range(4))), 1, F.col("trace_hops") - 1)
     traced_row = F.col("trace_tag").isNotNull()
-    return t.packets.withColumns({"trace_hashes": F.when(traced_row, hashes), "trace_flags": F.lit(0), "trace_snr": F.when(traced_row, signals)})
+    n_nodes = t.customer.agg(F.count(F.lit(1)).alias("n_nodes"))
+    return t.packets.join(F.broadcast(n_nodes), how="cross").withColumns({"trace_hashes": F.when(traced_row, hashes), "trace_flags": F.lit(0), "trace_snr": F.when(traced_row, signals)}).drop("n_nodes")
 
 
 # -- devices, channels, messages, dimensions ---------------------------------------------------------------------------
@@ -482,7 +491,7 @@ CAPABLE = "SELECT node_id, bool_or(t <> 9 AND s IN (2,3)) AS multibyte_paths, bo
 @query(f"WITH cap AS ({CAPABLE}) SELECT n.node_id, n.name, s.name AS default_scope, multibyte_paths, multibyte_traces FROM nodes n JOIN cap USING (node_id) LEFT JOIN scopes s ON s.scope_id = n.default_scope_id WHERE node_type = 2 AND n.node_id IN (SELECT node_id FROM node_iatas WHERE iata IN {IN_PLACES}) AND n.name ILIKE '%customer%' AND multibyte_paths AND NOT multibyte_traces", *PATH_VIEWS, "node_iatas", "scopes")
 def r5_filtered_nodes(t):
     """Type, places, name and both capability flags."""
-    able = resolve.node_capabilities(resolved(t), t.obs, t.packets)
+    able = capabilities(t)
     found = nodes.list_nodes(
         t.nodes.join(able, "node_id", "left"), t.node_iatas, t.observers, t.obs.limit(0).select(F.lit(0).alias("node_id")), t.scopes, node_type=2, iatas=PLACES, name="customer", multibyte_paths=True, multibyte_traces=False
     )

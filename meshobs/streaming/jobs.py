@@ -16,7 +16,7 @@ from ..operators.observers import telemetry_snapshots
 from .store import Store
 
 #: Tables of ``ingest_batch`` that a micro-batch writes whole: they hold a row per device, place or route and not per message.
-WHOLE = ["nodes", "node_short_ids", "node_iatas", "default_scopes", "node_neighbors", "known_routes", "capabilities", "observers", "observer_status", "observer_brokers", "observer_scopes", "channels"]
+WHOLE = ["nodes", "node_short_ids", "node_iatas", "default_scopes", "node_neighbors", "known_routes", "capabilities", "observers", "observer_newest", "observer_status", "observer_brokers", "observer_scopes", "channels"]
 #: Clients that may subscribe to everything; their ids are broadcast.
 MAX_OPEN = 100_000
 

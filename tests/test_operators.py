@@ -1,9 +1,13 @@
 """Operators over small tables: what the derived tables cannot show."""
 
 import datetime as dt
+import hashlib
+import json
 
+from pyspark.sql import functions as F
 
-from meshobs.operators import channels, filters, nodes, observers, resolve, routes, scopes, traces
+
+from meshobs.operators import asof, channels, events, filters, neighbors, nodes, observers, resolve, routes, scopes, traces
 from meshobs.sources import dims
 
 from reference_values import python_transport_code
@@ -118,3 +122,110 @@ def test_radio_goes_on_from_stored_values(spark):
     stored = spark.createDataFrame([("o", 915.0, 250.0, 10, 6)], "observer_id string, freq double, bw double, sf int, cr int")
     got = {r.id: r.spread_factor for r in observers.attach_radio(obs, status, stored=stored).collect()}
     assert got == {10: 10, 11: 7, 12: 0}
+
+
+def test_prefixes_are_unique_between_first_and_second(spark):
+    short = spark.createDataFrame([("n1", "YVR", "aabbccdd"), ("n2", "YVR", "aabb0000"), ("n3", "YVR", "aacc0000"), ("n4", "YVR", "aadd0000"), ("n5", "SEA", "aabbccdd"), ("n6", "YVR", "ee000000")], "node_id string, iata string, prefix_4 string")
+    known = spark.createDataFrame([(f"n{k}", 1 if k == 4 else 2) for k in range(1, 7)], "node_id string, node_type int")
+    heard = spark.createDataFrame([("n1", "YVR", T(5)), ("n2", "YVR", T(9)), ("n3", "YVR", T(5)), ("n4", "YVR", T(1)), ("n5", "SEA", T(2)), ("n6", "YVR", T(7))], "node_id string, iata string, first_heard timestamp")
+    prefixes = resolve.relay_prefixes(short, known, node_iatas=heard)
+    spans = {(r.iata, r.hop): (r.node_id, r.since, r.until) for r in resolve.unique_intervals(prefixes).collect()}
+    assert ("YVR", "aa") not in spans  # two come at once; the companion of minute 1 is no candidate
+    assert spans["YVR", "aabb"] == ("n1", T(5), T(9)) and spans["YVR", "aacc"] == ("n3", T(5), None) and spans["SEA", "aa"] == ("n5", T(2), None)
+    rows = [(k, "YVR", path, size, T(m), T(m)) for k, (path, size, m) in enumerate([("aabbee00", 2, 6), ("aabbee00", 2, 7), ("aabbee00", 2, 8), ("aabbee00", 2, 9), ("aaccee00", 2, 40), ("aabb", 2, 8), ("aabbccddee", 4, 8), ("", 1, 8), ("ffffee00", 2, 8)])]
+    obs = spark.createDataFrame(rows, "id long, iata string, path_bytes string, hash_size int, heard_at timestamp, arrival_ts timestamp").withColumn("payload_type", F.lit(2))
+    found = {tuple(r.node_ids): (r.observation_count, r.first_seen, r.hash_prefix) for r in routes.build_known_routes(obs, resolve.unique_intervals(prefixes)).collect()}
+    assert found == {("n1", "n6"): (2, T(7), ["aabb", "ee00"]), ("n3", "n6"): (1, T(40), ["aacc", "ee00"])}
+    adverts = obs.withColumns({"node_id": F.lit("n9"), "node_type": F.lit(2)})
+    edges = {r.neighbor_id: r.observation_count for r in neighbors.fold_neighbors(adverts, resolve.unique_intervals(prefixes)).collect()}
+    assert edges == {"n1": 5, "n3": 1}  # the four-byte hop and those before minute 9
+    able = {r.node_id: (r.multibyte_paths, r.multibyte_traces) for r in resolve.node_capabilities(obs, prefixes).collect()}
+    assert able == {"n1": (True, False), "n2": (True, False), "n3": (True, False), "n6": (True, False)}
+    plan = routes.build_known_routes(obs, resolve.unique_intervals(prefixes))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "first_heard" in plan
+
+
+def test_intervals_equal_candidates_at_each_arrival(spark):
+    """Unique hops by intervals are those with one candidate by lists."""
+    import random
+
+    rng = random.Random(3)
+    ids = [(f"n{k}", rng.choice(["YVR", "SEA"]), "".join(rng.choice("ab") for _ in range(8)), 2 + k % 3, T(rng.randrange(20))) for k in range(40)]
+    table = spark.createDataFrame(ids, "node_id string, iata string, prefix_4 string, node_type int, first_heard timestamp")
+    obs = spark.createDataFrame([(k, "h", rng.choice(["YVR", "SEA"]), "".join(rng.choice("ab") for _ in range(16)), rng.choice([1, 2, 3, 4]), T(rng.randrange(22))) for k in range(300)], "id long, packet_hash string, iata string, path_bytes string, hash_size int, arrival_ts timestamp")
+    obs = obs.withColumn("heard_at", F.col("arrival_ts"))
+    lists = resolve.resolve_paths(obs, table.drop("first_heard"), table, node_iatas=table, as_of_arrival=True)
+    spans = resolve.unique_intervals(resolve.relay_prefixes(table, table, node_iatas=table))
+    hops = resolve.explode_hops(obs).join(obs.select("id", "arrival_ts"), "id").join(spans, ["iata", "hop"])
+    got = {(r.id, r.pos, r.node_id) for r in hops.filter(resolve.within(F.col("arrival_ts"))).collect()}
+    assert got == {(r.id, r.pos, r.node_ids[0]) for r in lists.filter("candidates = 1").collect()} and len(got) > 50
+
+
+def test_carried_values_cross_days(spark):
+    rows = spark.createDataFrame([(k, "o", dt.datetime(2024, 1, 1 + k // 4, k % 4)) for k in range(1, 20)], "seq long, key string, arrival_ts timestamp")
+    updates = spark.createDataFrame([(2, "o", dt.datetime(2024, 1, 1, 2), 7), (6, "o", dt.datetime(2024, 1, 2, 2), None), (9, "o", dt.datetime(2024, 1, 3, 1), 3), (9, "p", dt.datetime(2024, 1, 3, 1), 99)], "seq long, key string, arrival_ts timestamp, v int")
+    last = {r.seq: r.v for r in asof.carried(rows, updates, ["key"], "v").collect()}
+    assert last == {k: None if k < 2 else 7 if k < 9 else 3 for k in range(1, 20)}
+    most = {r.seq: r.v for r in asof.carried(rows, updates, ["key"], "v", largest=True).collect()}
+    assert most == {k: None if k < 2 else 7 for k in range(1, 20)}
+
+
+def _payloads(df):
+    return [(json.loads(r.payload), (r.type, r.iata, r.payload_type, r.channel_hash)) for r in df.collect()]
+
+
+def test_event_payloads_have_the_published_shapes(spark):
+    some = spark.createDataFrame([(1, "#bc"), (2, "#west")], "scope_id int, name string")
+    seen = spark.createDataFrame(
+        [("h", "o1", "obs", "YVR", T(1), 4, 0, 1, -90, 2.5, "mqtt1", "aabb", 2, 1, True, 1), ("h", "o2", "", "SEA", T(2), 4, 0, None, -80, 1.5, "mqtt2", "", 1, 0, False, 2)],
+        "packet_hash string, observer_id string, observer_name string, iata string, heard_at timestamp, payload_type int, route_type int, scope_id int, rssi int, snr float, broker string, path_bytes string, hash_size int, hop_count int, is_first boolean, observation_count long",
+    )
+    (first, match), (second, _) = sorted(_payloads(events.observation_event_rows(seen, some)), key=lambda p: p[0]["packet"]["observationCount"])
+    assert first == {
+        "packetHash": "h",
+        "packet": {"payloadType": 4, "payloadTypeName": "advert", "routeType": 0, "routeTypeName": "TRANSPORT_FLOOD", "isFirstObservation": True, "observationCount": 1, "scope": "#bc"},
+        "observation": {"observerId": "o1", "observerName": "obs", "iata": "YVR", "heardAt": 1704067260000, "rssi": -90, "snr": 2.5, "sourceBroker": "mqtt1", "pathBytes": "aabb", "pathLength": {"raw": "41", "hashSize": 2, "hopCount": 1}, "propagationTimeMs": 0},
+    }
+    assert "scope" not in second["packet"] and second["observation"]["observerName"] == "" and second["observation"]["pathLength"]["raw"] == "00"
+    assert match[0] == "packetObservation" and match[2:] == (4, "")
+    advert = F.struct(F.lit("aa").alias("pubkey"), F.lit(2).alias("type"), F.col("lat").alias("lat"), F.lit(0).alias("lon"), F.lit("n").alias("name"))
+    adverts = spark.createDataFrame([("YVR", T(3), 1_500_000, 1, 915.0, 250.0, 10), ("SEA", T(1), 0, None, 0.0, 0.0, 0)], "iata string, arrival_ts timestamp, lat int, scope_id int, radio_freq_mhz float, bandwidth_khz float, spread_factor int").withColumn("advert", advert)
+    watching = spark.createDataFrame([("aa", T(2))], "public_key string, first_seen timestamp")
+    shown = {p["iata"]: (p, m) for p, m in _payloads(events.node_event_rows(adverts, some, watching))}
+    assert shown["YVR"] == (
+        {"nodeId": "aa", "publicKey": "aa", "name": "n", "nodeType": 2, "nodeTypeName": "repeater", "iata": "YVR", "lat": 1.5, "lng": 0.0, "isObserver": True, "iatas": [{"iata": "YVR", "lastHeard": 1704067380000}], "defaultScope": "#bc", "radio": "915.0,250,10"},
+        ("nodeUpdate", "YVR", 4, ""),
+    )
+    assert not {"lat", "lng", "defaultScope", "radio"} & set(shown["SEA"][0]) and shown["SEA"][0]["isObserver"] is False
+    text = spark.createDataFrame([("h", "ab", "f1", "me", "hi", T(0), "YVR"), ("g", "ab", None, None, None, T(0), "YVR")], "packet_hash string, channel_hash string, key_fingerprint string, sender_name string, content string, sent_at timestamp, iata string")
+    said = {p["packetHash"]: (p, m) for p, m in _payloads(events.message_event_rows(text))}
+    assert said["h"][0] == {"channelId": int(hashlib.md5(b"ab:f1").hexdigest()[:15], 16), "channelHash": "ab", "packetHash": "h", "senderName": "me", "content": "hi", "sentAt": 1704067200000}
+    assert said["h"][1] == ("channelMessage", "YVR", 0, "ab") and said["g"][0]["content"] == ""
+
+
+def test_status_events_know_place_and_scopes_by_then(spark):
+    some = spark.createDataFrame([(1, "#bc"), (2, "#west"), (3, "#old")], "scope_id int, name string")
+    stats = F.struct(F.col("battery").alias("battery_mv"), F.col("seq").alias("uptime_secs"))
+    status = spark.createDataFrame([(2, "o", T(2), "a/x:1", "me", "915,250,10,6", 4100), (6, "o", T(6), "", "", "bad", 0), (7, "p", T(7), None, None, None, None)], "seq long, pubkey string, arrival_ts timestamp, source string, origin string, radio string, battery int").withColumn("stats", stats)
+    inserted = spark.createDataFrame([(1, "o", T(1), T(1), "YVR", 2), (3, "o", T(3), T(0), "SEA", 1), (8, "o", T(8), T(8), "YYC", 3)], "seq long, observer_id string, arrival_ts timestamp, heard_at timestamp, iata string, scope_id int")
+    rows = events.with_observer_context(status, inserted, some)
+    got = {p["lastStatusAt"]: (p, m) for p, m in _payloads(events.status_event_rows(rows))}
+    assert got[1704067320000] == (
+        {"observerId": "o", "displayName": "me", "observerType": "a/x:1", "iata": "YVR", "online": True, "radio": "915.0,250,10", "scopes": ["#west"], "batteryMv": 4100, "uptimeSeconds": 2, "lastStatusAt": 1704067320000},
+        ("observerStatus", "YVR", 0, ""),
+    )
+    later, none = got[1704067560000][0], got[1704067620000]
+    assert later["iata"] == "YVR" and later["scopes"] == ["#bc", "#west"] and not {"radio", "batteryMv", "observerType"} & set(later)
+    assert none == ({"observerId": "p", "displayName": "", "online": True, "scopes": [], "uptimeSeconds": 7, "lastStatusAt": 1704067620000}, ("observerStatus", "", 0, ""))
+    newest = events.fold_observer_newest(inserted.filter("seq < 8"))
+    before = spark.createDataFrame([("o", 3)], "observer_id string, scope_id int")
+    carried_on = events.with_observer_context(status, inserted.filter("seq = 8"), some, newest=newest, observer_scopes=before)
+    assert {(r.seq, r.last_iata, tuple(r.scopes)) for r in carried_on.collect()} == {(2, "YVR", ("#old",)), (6, "YVR", ("#old",)), (7, None, ())}
+
+
+def test_observer_names_are_those_of_their_time(spark):
+    rows = spark.createDataFrame([(1, "o", T(1)), (3, "o", T(3)), (5, "o", T(5)), (5, "p", T(5))], "seq long, observer_id string, arrival_ts timestamp")
+    status = spark.createDataFrame([(2, "o", T(2), "new"), (4, "o", T(4), "")], "seq long, pubkey string, arrival_ts timestamp, origin string")
+    assert {(r.seq, r.observer_name) for r in events.with_observer_name(rows.filter("observer_id = 'o'"), status).collect()} == {(1, ""), (3, "new"), (5, "new")}
+    stored = spark.createDataFrame([("o", "old"), ("p", None)], "public_key string, display_name string")
+    assert sorted((r.seq, r.observer_id, r.observer_name) for r in events.with_observer_name(rows, status, stored=stored).collect()) == [(1, "o", "old"), (3, "o", "new"), (5, "o", "new"), (5, "p", "")]
