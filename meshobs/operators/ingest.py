@@ -65,10 +65,16 @@ def decoded_columns(decoded: DataFrame) -> DataFrame:
 
 #: How the tables of ``ingest_batch`` grow: rows that only come anew, by key.
 APPENDED = {"observations": ["packet_hash", "observer_id", "heard_at"], "telemetry": ["pubkey", "reported_at"], "events": ["type", "payload", "iata"]}
-#: Large tables of which a batch touches few rows, by key.
+#: Large tables of which a batch touches few rows, by key.  A batch's rows merge into those before by ``merge_rules``.
 UPSERTED = {"packets": ["packet_hash"], "channel_messages": ["packet_hash"], "packet_counts": ["packet_hash"]}
 
 
+def merge_rules(columns: list[str]) -> dict[str, str]:
+    """How rows of a later batch merge into those of ``UPSERTED`` tables: the first row counts, but for these columns."""
+    special = {"first_heard_at": "min", "last_heard_at": "max", "decrypted": "or", "n": "sum"}
+    return {c: special.get(c, "first") for c in columns}
+
+
 def ingest_batch(
     decoded: DataFrame, status: DataFrame, scopes: DataFrame, keys: DataFrame, state: State | None = None, *, save: Callable[[DataFrame, str], DataFrame] | None = None,
     as_of_arrival: bool = True, touched_only: bool = False,
@@ -79,15 +85,20 @@ def ingest_batch(
     their public key.  Batches must come in order of arrival.  Then several batches give what one batch of all their messages gives: radio values, first telemetry, running
     counts and known packets go on from ``state``, and with ``as_of_arrival`` hops resolve to nodes known when they came.  ``events`` are this batch's alone.
 
+    Rows that a stream's state has marked (``new_observation``, ``observation_count`` and ``new_message`` of packets, ``new_window`` of statuses) say themselves what is new; then
+    packets, observations, messages, counts and telemetry need no history.
+
     ``save`` writes a table and reads it back; given that, decoded rows, new observations and the times at which prefixes are unique are computed once and not for
     each table.  With ``touched_only`` the tables of ``APPENDED`` and ``UPSERTED`` hold only rows that are new or changed, so a batch costs by its own size.
     """
     state, save = state or State(), save or (lambda df, name: df)
+    marked = "new_observation" in decoded.columns
+    marks = ["new_observation", "observation_count"] if marked else []
     rows = decoded_columns(decoded).withColumn("observer_id", F.col("observer_pubkey"))
     first = rows.groupBy("packet_hash").agg(F.min_by(F.struct("route_type", "payload_type", "raw_payload", "transport_code_1"), "seq").alias("p")).select("packet_hash", "p.*")
     matched = match_scope(first, scopes).select("packet_hash", "scope_id")
     rows = save(rows.join(matched, "packet_hash", "left"), "rows")
-    known_packets, known_obs, stored_messages = (state.get(n) for n in ("packets", "observations", "channel_messages"))
+    known_packets, known_obs, stored_messages = (None if marked else state.get(n) for n in ("packets", "observations", "channel_messages"))
     hashes = rows.select("packet_hash").distinct()
     if touched_only:
         known_packets, stored_messages = (None if t is None else t.join(hashes, "packet_hash", "left_semi") for t in (known_packets, stored_messages))
@@ -97,11 +108,12 @@ def ingest_batch(
         F.col("public_key").alias("observer_id"), F.col("radio_freq_mhz").alias("freq"), F.col("radio_bw_khz").alias("bw"), F.col("radio_sf").alias("sf"), F.col("radio_cr").alias("cr")
     )
     arrivals = attach_radio(
-        rows.select("seq", "arrival_ts", "broker", "iata", "observer_id", "packet_hash", "payload_type", "route_type", "scope_id", "channel_hash", "heard_at", "hash_size", "hop_count", "path_bytes", "rssi", "snr", "advert", F.col("seq").alias("id")),
+        rows.select("seq", "arrival_ts", "broker", "iata", "observer_id", "packet_hash", "payload_type", "route_type", "scope_id", "channel_hash", "heard_at", "hash_size", "hop_count", "path_bytes", "rssi", "snr", "advert", F.col("seq").alias("id"), *marks),
         status.select(F.col("pubkey").alias("observer_id"), "seq", "arrival_ts", X.parse_radio(F.col("radio")).alias("r")).select("observer_id", "seq", "arrival_ts", "r.*"), stored=radios,
     )
     arrivals = save(arrivals, "arrivals")
-    inserted = save(dedup_observations(arrivals, existing=known_obs), "inserted")
+    fresh = arrivals.filter("new_observation").drop("new_observation") if marked else dedup_observations(arrivals, existing=known_obs)
+    inserted = save(fresh, "inserted")
     adverts = inserted.filter((F.col("payload_type") == X.PAYLOAD_ADVERT) & F.col("advert").isNotNull())
     named = adverts.withColumns({"public_key": F.col("advert.pubkey"), "node_id": F.col("advert.pubkey"), "node_type": F.col("advert.type")})
     nodes = save(fold_nodes(adverts, existing=state.get("nodes")).withColumn("node_id", F.col("public_key")), "nodes")
@@ -121,14 +133,20 @@ def ingest_batch(
         existing=stored_messages,
     )
     messages = save(messages, "channel_messages")
-    before = state.get("packet_counts")
+    before = None if marked else state.get("packet_counts")
     if before is not None:
         before = before.join(hashes, "packet_hash", "left_semi") if touched_only else before
-    running, counts = running_counts(inserted, before)
+    if marked:
+        running, counts = inserted.withColumn("is_first", F.col("observation_count") == 1), inserted.groupBy("packet_hash").agg(F.count(F.lit(1)).alias("n"))
+        inserted = inserted.drop("observation_count")
+    else:
+        running, counts = running_counts(inserted, before)
     running = with_observer_name(running, status, stored=stored)
     told = with_observer_context(status, inserted, scopes, newest=state.get("observer_newest"), observer_scopes=state.get("observer_scopes"))
-    telemetry = telemetry_snapshots(status, existing=state.get("telemetry"))
-    spoken = messages.join(hashes, "packet_hash", "left_semi") if stored_messages is None else messages.join(hashes, "packet_hash", "left_semi").join(stored_messages.select("packet_hash"), "packet_hash", "left_anti")
+    telemetry = telemetry_snapshots(status.filter("new_window")) if "new_window" in status.columns else telemetry_snapshots(status, existing=state.get("telemetry"))
+    spoken = messages.join(rows.filter("new_message").select("packet_hash").distinct() if marked else hashes, "packet_hash", "left_semi")
+    if stored_messages is not None:
+        spoken = spoken.join(stored_messages.select("packet_hash"), "packet_hash", "left_anti")
     spoken = spoken.join(inserted.groupBy("packet_hash").agg(F.min_by("iata", "seq").alias("iata")), "packet_hash")
     spoken = spoken.join(opened.select("packet_hash", "channel_hash", "key_fingerprint"), ["packet_hash", "channel_hash"], "left")
     events = observation_event_rows(running, scopes).unionByName(node_event_rows(adverts, scopes, observers))

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import expr as X
-from ..operators.ingest import APPENDED, UPSERTED, State, ingest_batch, split_messages
+from ..operators.ingest import UPSERTED, State, ingest_batch, merge_rules, split_messages
 from ..operators.observers import telemetry_snapshots
+from . import arrivals
 from .store import Store
 
 #: Tables of ``ingest_batch`` that a micro-batch writes whole: they hold a row per device, place or route and not per message.
 WHOLE = ["nodes", "node_short_ids", "node_iatas", "default_scopes", "node_neighbors", "known_routes", "capabilities", "observers", "observer_newest", "observer_status", "observer_brokers", "observer_scopes", "channels"]
+#: Tables of ``ingest_batch`` that are kept by day, and the time that says which.
+BY_DAY = {"observations": "heard_at", "telemetry": "reported_at"}
 #: Clients that may subscribe to everything; their ids are broadcast.
 MAX_OPEN = 100_000
 
@@ -70,7 +73,7 @@ def fold_stream(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], keys:
     def merge(batch: DataFrame, number: int) -> None:
         store.write_delta(fold(batch), number)
         if (number + 1) % compact_every == 0:
-            store.compact(keys, rules, number)
+            store.compact_deltas(keys, rules, number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -80,14 +83,29 @@ def read_folded(spark: SparkSession, path: str, keys: list[str], rules: dict[str
     return Store(spark, path).folded(keys, rules)
 
 
+def marked_arrivals(messages: DataFrame, decode: Callable[[DataFrame], DataFrame], *, airports: DataFrame | None = None, countries=(), continents=(), hold_s: float = arrivals.HOLD_S, keep_s: float = arrivals.KEEP_S) -> DataFrame:
+    """A stream of ``kind, packet, status, reject``: decoded packets and statuses that the state store has marked as new or not, and rejected messages."""
+    parts = split_messages(messages, airports, countries=countries, continents=continents)
+    kinds = {
+        "packet": arrivals.packets_with_state(decode(parts["packets"]), hold_s=hold_s, keep_s=keep_s),
+        "status": arrivals.statuses_with_state(parts["status"], keep_s=keep_s),
+        "reject": parts["rejects"],
+    }
+    shapes = {k: df.schema for k, df in kinds.items()}
+    rows = [df.select(F.lit(k).alias("kind"), *((F.struct(*df.columns) if n == k else F.lit(None).cast(shapes[n])).alias(n) for n in kinds)) for k, df in kinds.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def run_ingest_stream(
     messages: DataFrame, decode: Callable[[DataFrame], DataFrame], scopes: DataFrame, keys: DataFrame, state_dir: str, checkpoint: str, *, airports: DataFrame | None = None, countries=(), continents=(),
+    hold_s: float = arrivals.HOLD_S, keep_s: float = arrivals.KEEP_S, upkeep_every: int = 100, telemetry_keep_s: float = 28 * 86_400,
 ) -> StreamingQuery:
-    """W-A, T5, T6: the ingest batch over a stream of messages, with all its tables kept under ``state_dir``; ``read_ingested`` reads them.
+    """W-A, T5, T6, T10: the ingest batch over a stream of messages, with all its tables kept under ``state_dir``; ``read_ingested`` reads them.
 
-    ``decode`` turns ``packets`` rows of S3 into decoded packets.  New observations, telemetry and events are appended; of packets, messages and counts only
-    the rows that a batch touched are written, the newest of a key counts; small tables are written anew and their older versions removed.  A micro-batch reads what the
-    batches before it left, and one that is run again overwrites its own folders, so nothing counts twice.
+    ``decode`` turns ``packets`` rows of S3 into decoded packets, on a stream.  What has come before is in Spark's state store (see ``arrivals``), so a micro-batch reads no packets,
+    observations, messages or telemetry of earlier ones: it appends new observations and telemetry by day, events and rejects by batch, and of packets, messages and counts the
+    rows that it touched, which readers merge.  Tables with a row per device, place or route are read and written whole, and older versions go.  A micro-batch that is run again
+    overwrites its own folders, so nothing counts twice.  Every ``upkeep_every`` batches ``upkeep`` merges and prunes what is kept, between two batches.
     """
     spark = messages.sparkSession
     store = Store(spark, state_dir)
@@ -99,30 +117,78 @@ def run_ingest_stream(
             df.write.mode("overwrite").parquet(f"{work}/{name}")
             return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
-        parts = split_messages(save(batch, "messages"), airports, countries=countries, continents=continents)
-        decoded = save(decode(parts["packets"]), "decoded")
-        # Times are kept within half an hour of arrival, so older observations cannot be the same.
-        span = decoded.agg(F.min("arrival_ts").alias("t")).first()["t"]
-        tables = {n: store.appended(n, number) for n in APPENDED if n != "events"} | {n: store.upserted(n, UPSERTED[n], number) for n in UPSERTED}
-        if tables["observations"] is not None and span is not None:
-            tables["observations"] = tables["observations"].filter(F.col("heard_at") >= F.lit(span) - F.expr("INTERVAL 31 MINUTES"))
-        tables |= {n: store.latest(n, number) for n in WHOLE}
-        found = ingest_batch(decoded, parts["status"], scopes, keys, State({n: t for n, t in tables.items() if t is not None}), save=save, touched_only=True)
+        rows = save(batch, "marked")  # the state moves on once per batch
+        if rows.isEmpty():
+            return
+        of = lambda kind: rows.filter(F.col("kind") == kind).select(f"{kind}.*")
+        tables = {n: store.latest(n, number) for n in WHOLE}
+        found = ingest_batch(of("packet"), of("status"), scopes, keys, State({n: t for n, t in tables.items() if t is not None}), save=save, touched_only=True)
         for name, df in found.items():
-            store.append(name, df, number)
-        store.append("rejects", parts["rejects"], number)
+            if name in BY_DAY:
+                store.append_by_day(name, df, BY_DAY[name], number)
+            else:
+                store.append(name, df, number)
+        store.append("rejects", of("reject"), number)
         for name in WHOLE:
             store.forget(name, number - 2)
+        if (number + 1) % upkeep_every == 0:
+            upkeep(spark, state_dir, number, packet_keep_s=keep_s, telemetry_keep_s=telemetry_keep_s)
+
+    stream = marked_arrivals(messages, decode, airports=airports, countries=countries, continents=continents, hold_s=hold_s, keep_s=keep_s)
+    return stream.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return messages.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def upkeep(spark: SparkSession, state_dir: str, number: int, *, as_of: Column | None = None, packet_keep_s: float = arrivals.KEEP_S, telemetry_keep_s: float = 28 * 86_400) -> None:
+    """T10, J14 on what ``run_ingest_stream`` keeps: packets last heard before the cutoff go with their observations, counts and messages, old telemetry goes, and the batches before
+    ``number`` of each table become one.  ``as_of`` is the newest time that a packet was heard unless given.  A run that was broken off is made good by the next.
 
-def read_ingested(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
-    """The table ``name`` of ``ingest_batch`` as ``run_ingest_stream`` keeps it."""
+    Days of observations before the cutoff are dropped as folders; the few of their rows whose packet still lives are written back.
+    """
+    store = Store(spark, state_dir)
+    packets = store.merged("packets", UPSERTED["packets"], merge_rules)
+    if packets is None:
+        return
+    work = f"{state_dir}/work/upkeep"
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    packets = save(packets, "all-packets")
+    newest = packets.agg(F.max("last_heard_at").alias("t")) if as_of is None else spark.range(1).select(as_of.alias("t"))
+    cut = newest.select(*(F.expr(f"t - make_dt_interval(0, 0, 0, {s})").alias(n) for n, s in (("packet", packet_keep_s), ("telemetry", telemetry_keep_s)))).first()
+    kept = save(packets.filter(F.col("last_heard_at") >= F.lit(cut["packet"])), "living")
+    for name in UPSERTED:
+        table = store.merged(name, UPSERTED[name], merge_rules, before=number)
+        if table is not None:
+            store.compact(name, save(table.join(kept.select("packet_hash"), "packet_hash", "left_semi"), name), number)
+    for name, border in (("observations", cut["packet"]), ("telemetry", cut["telemetry"])):
+        rows, day = store.by_day(name, until=F.lit(border)), f"{border:%Y-%m-%d}"
+        if rows is None:
+            continue
+        old = rows.filter(F.to_date(BY_DAY[name]) < F.lit(day).cast("date"))
+        if name == "observations":
+            store.append_by_day("observations-kept", save(old.join(kept.select("packet_hash"), "packet_hash", "left_semi"), "observations"), BY_DAY[name], number)
+            store.drop_days("observations", day)
+            back = store.by_day("observations-kept")
+            if back is not None:
+                store.append_by_day("observations", back, BY_DAY[name], number)
+                store.drop_days("observations-kept", "9999")
+        else:
+            store.drop_days(name, day)
+
+
+def read_ingested(spark: SparkSession, state_dir: str, name: str, *, since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """The table ``name`` of ``ingest_batch`` as ``run_ingest_stream`` keeps it; of observations and telemetry only the days between two times, if given."""
     store = Store(spark, state_dir)
     if name in UPSERTED:
-        return store.upserted(name, UPSERTED[name], None)
-    return store.appended(name, None) if name in APPENDED or name == "rejects" else store.latest(name, None)
+        return store.merged(name, UPSERTED[name], merge_rules)
+    if name in BY_DAY:
+        rows = store.by_day(name, since, until)
+        for bound, keep in ((since, lambda b: F.col(BY_DAY[name]) >= b), (until, lambda b: F.col(BY_DAY[name]) <= b)):
+            rows = rows if bound is None else rows.filter(keep(bound))
+        return rows
+    return store.appended(name, None) if name in ("events", "rejects") else store.latest(name, None)
 
 
 def match_subscriptions(events: DataFrame, subs: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from ..operators.filters import merge_by_key
+from ..operators.filters import RULES, merge_by_key
 
 
 class Store:
@@ -46,14 +48,42 @@ class Store:
         found = self._read(table, self._numbers(table, "batch", before))
         return None if found is None else found.drop("batch")
 
-    def upserted(self, table: str, keys: list[str], before: int | None) -> DataFrame | None:
-        """The newest row of each key."""
+    def merged(self, table: str, keys: list[str], rules: Callable[[list[str]], dict[str, str]], before: int | None = None) -> DataFrame | None:
+        """One row per key: what the batches wrote of it, merged in their order."""
         rows = self._read(table, self._numbers(table, "batch", before))
         if rows is None:
             return None
-        rest = [c for c in rows.columns if c not in (*keys, "batch")]
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
-        return newest.select(*keys, "_row.*")
+        how = rules([c for c in rows.columns if c not in (*keys, "batch")])
+        return rows.withColumnRenamed("batch", "_age").groupBy(*keys).agg(*(RULES[rule](c).alias(c) for c, rule in how.items()))
+
+    def compact(self, table: str, df: DataFrame, number: int) -> None:
+        """Replace the batches before ``number`` by ``df``, which was read from them and written elsewhere since.  Batch ``number`` itself may be run again, so its folder stays its own."""
+        self.append(table, df, number - 1)
+        self.forget(table, number - 2)
+
+    def append_by_day(self, table: str, df: DataFrame, ts: str, number: int) -> None:
+        """The rows of a batch in partitions of its own, ``day=D/batch=N``; one that is run again replaces exactly these."""
+        parts = df.withColumns({"day": F.to_date(ts), "batch": F.lit(number)})
+        parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{self.path}/{table}")
+
+    def by_day(self, table: str, since: Column | None = None, until: Column | None = None) -> DataFrame | None:
+        """The rows of all batches; days outside of ``since`` and ``until`` are not read."""
+        fs, root = self._fs(f"{self.path}/{table}")
+        if not fs.exists(root) or not any(s.getPath().getName().startswith("day=") for s in fs.listStatus(root)):
+            return None
+        rows = self.spark.read.parquet(f"{self.path}/{table}")
+        for bound, keep in ((since, lambda b: F.col("day") >= F.to_date(b)), (until, lambda b: F.col("day") <= F.to_date(b))):
+            rows = rows if bound is None else rows.filter(keep(bound))
+        return rows.drop("day", "batch")
+
+    def drop_days(self, table: str, before: str) -> list[str]:
+        """Remove the folders of days before ``before`` (``YYYY-MM-DD``); their names."""
+        fs, root = self._fs(f"{self.path}/{table}")
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        old = sorted(n for n in names if n.startswith("day=") and n[4:] < before)
+        for n in old:
+            fs.delete(self._fs(f"{self.path}/{table}/{n}")[1], True)
+        return old
 
     def latest(self, table: str, before: int | None) -> DataFrame | None:
         """What the newest batch wrote."""
@@ -77,7 +107,7 @@ class Store:
             out = merge_by_key(out, self.spark.read.parquet(f"{self.path}/delta={n}"), keys, rules)
         return out
 
-    def compact(self, keys: list[str], rules: dict[str, str], number: int) -> None:
+    def compact_deltas(self, keys: list[str], rules: dict[str, str], number: int) -> None:
         """Write the table at batch ``number`` as a base; remove what the base before it had replaced."""
         older = self._numbers("", "base", number)
         self.folded(keys, rules, number, number).write.mode("overwrite").parquet(f"{self.path}/base={number}")

@@ -1,6 +1,9 @@
 """Streams give what the batch jobs give."""
 
 import datetime as dt
+import os
+import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from meshobs.plans import ingested
 from meshobs.plans.adapters import Tables
 from meshobs.sources import dims, messages
 from meshobs.sources.messages import TOPIC_ROOT
-from meshobs.streaming import jobs
+from meshobs.streaming import arrivals, jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,8 +75,10 @@ def test_clamped_times(spark):
     assert [r.heard_at.minute for r in jobs.clamp_times(rows).collect()] == [59, 0, 0]
 
 
-def test_ingest_stream_equals_one_batch(spark, tmp_path):
-    """Three micro-batches of messages leave the tables that one batch of all messages gives."""
+@pytest.fixture(scope="module")
+def raw_messages(spark, tmp_path_factory):
+    """Messages of the derived packets and statuses, what a decoder makes of them, and three files of them in order of arrival."""
+    base = tmp_path_factory.mktemp("messages")
     t = Tables(spark, SF)
     decoded, status = ingested.decoded_packets(t), ingested.decoded_statuses(t)
     key = lambda c: F.lpad(c, 4, "0")
@@ -81,22 +86,130 @@ def test_ingest_stream_equals_one_batch(spark, tmp_path):
     packets_in = decoded.select(F.concat_ws("/", F.lit(TOPIC_ROOT), "iata", key("observer_pubkey"), F.lit("packets")).alias("topic"), F.regexp_replace(raw, '"raw":"([0-9A-F])"', '"raw":"0$1"').alias("payload"), "broker", "arrival_ts", "seq")
     told = F.to_json(F.struct("source", "client_version", "model", "firmware_version", "origin", "radio", "stats"))
     status_in = status.select(F.concat_ws("/", F.lit(TOPIC_ROOT), "iata", key("pubkey"), F.lit("status")).alias("topic"), told.alias("payload"), "broker", "arrival_ts", "seq")
-    everything = packets_in.unionByName(status_in).withColumn("payload", F.regexp_replace("payload", '"raw":"([0-9A-F]([0-9A-F]{2})*)"', '"raw":"0$1"'))
-    everything.write.parquet(str(tmp_path / "all"))
-    everything = spark.read.parquet(str(tmp_path / "all"))
+    bad = spark.createDataFrame([(f"{TOPIC_ROOT}/YVR/ab/packets", "{no json", "mqtt1", dt.datetime(2024, 1, 12), 1)], status_in.schema)
+    everything = packets_in.unionByName(status_in).withColumn("payload", F.regexp_replace("payload", '"raw":"([0-9A-F]([0-9A-F]{2})*)"', '"raw":"0$1"')).unionByName(bad)
+    everything.write.parquet(str(base / "all"))
+    everything = spark.read.parquet(str(base / "all"))
     for k, part in enumerate(("arrival_ts < TIMESTAMP '2024-01-11'", "arrival_ts >= TIMESTAMP '2024-01-11' AND arrival_ts < TIMESTAMP '2024-01-16'", "arrival_ts >= TIMESTAMP '2024-01-16'")):
-        everything.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    decoded.drop("arrival_ts", "broker", "iata", "observer_pubkey", "timestamp_text", "rssi_text", "snr_text").write.parquet(str(tmp_path / "decoded"))
-    known = spark.read.parquet(str(tmp_path / "decoded"))
-    decode = lambda p: p.drop("raw").join(known, "seq")
-    scopes, keys = dims.scope_dim(spark, ingested.SCOPES), ingested.channel_keys(t)
-    stream = messages.read_messages(spark, str(tmp_path / "in"), streaming=True, fmt="parquet", maxFilesPerTrigger="1")
-    jobs.run_ingest_stream(stream, decode, scopes, keys, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
+        everything.filter(part).coalesce(1).write.parquet(str(base / f"part{k}"))
+    decoded.drop("arrival_ts", "broker", "iata", "observer_pubkey", "timestamp_text", "rssi_text", "snr_text").write.parquet(str(base / "decoded"))
+    known = spark.read.parquet(str(base / "decoded"))
+    return base, everything, lambda p: p.drop("raw").join(known, "seq"), ingested.channel_keys(t)
+
+
+def feed(base, folder, k):
+    """Part ``k`` as a new file of the stream's folder."""
+    folder.mkdir(exist_ok=True)
+    for f in (base / f"part{k}").glob("*.parquet"):
+        shutil.copy(f, folder / f"{k}-{f.name}")
+        at = time.time() - 100 + 10 * k  # files are taken in order of these times
+        os.utime(folder / f"{k}-{f.name}", (at, at))
+
+
+def test_ingest_stream_equals_one_batch(spark, tmp_path, raw_messages, monkeypatch):
+    """Three micro-batches, with a restart after the first, leave the tables that one batch of all messages gives, and read no history but small tables."""
+    base, everything, decode, keys = raw_messages
+    scopes = dims.scope_dim(spark, ingested.SCOPES)
+    reads = []
+    inner = jobs.Store._read
+    monkeypatch.setattr(jobs.Store, "_read", lambda self, table, numbers: reads.append((table, numbers)) or inner(self, table, numbers))
+    path = str(tmp_path / "state")
+
+    def run_on():
+        stream = messages.read_messages(spark, str(tmp_path / "in"), streaming=True, fmt="parquet", maxFilesPerTrigger="1")
+        jobs.run_ingest_stream(stream, decode, scopes, keys, path, str(tmp_path / "cp")).awaitTermination()
+
+    feed(base, tmp_path / "in", 0)
+    run_on()
+    feed(base, tmp_path / "in", 1)
+    feed(base, tmp_path / "in", 2)
+    run_on()
+    assert reads == []  # tables of many batches are not read by the stream
     parts = ingest.split_messages(everything)
     want = ingest.ingest_batch(decode(parts["packets"]), parts["status"], scopes, keys, save=ingested.saver(spark, "t"))
-    got = {name: jobs.read_ingested(spark, str(tmp_path / "state"), name) for name in want}
+    got = {name: jobs.read_ingested(spark, path, name) for name in want}
     show = lambda tables: {r.kind: (r.n, r.checksum) for r in ingested.digests(tables).collect()}
-    assert parts["rejects"].count() == 0 and show(got) == show(want)
+    assert show(got) == show(want) and jobs.read_ingested(spark, path, "rejects").count() == 1
+    for name in jobs.WHOLE:
+        assert len(list((tmp_path / "state" / name).glob("batch=*"))) <= 2
+    # Only the days that are asked for are read.
+    since, until = F.lit("2024-01-12 06:00:00").cast("timestamp"), F.lit("2024-01-13 06:00:00").cast("timestamp")
+    some = jobs.read_ingested(spark, path, "observations", since=since, until=until)
+    assert "PartitionFilters: [isnotnull(day" in some._jdf.queryExecution().executedPlan().toString()
+    whole = jobs.read_ingested(spark, path, "observations")
+    assert 0 < some.count() == whole.filter((F.col("heard_at") >= since) & (F.col("heard_at") <= until)).count() < whole.count()
+
+
+def test_upkeep_of_what_the_stream_keeps(spark, tmp_path, raw_messages):
+    """Old days go as folders, packets that still live keep their old observations, and the stream goes on."""
+    base, everything, decode, keys = raw_messages
+    scopes, path = dims.scope_dim(spark, ingested.SCOPES), str(tmp_path / "state")
+
+    def run_on(k, **options):
+        feed(base, tmp_path / "in", k)
+        stream = messages.read_messages(spark, str(tmp_path / "in"), streaming=True, fmt="parquet", maxFilesPerTrigger="1")
+        jobs.run_ingest_stream(stream, decode, scopes, keys, path, str(tmp_path / "cp"), **options).awaitTermination()
+
+    run_on(0)
+    run_on(1)
+    days = lambda name: sorted(f.name for f in (tmp_path / "state" / name).glob("day=*"))
+    kept_apart = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    before, obs = days("observations"), kept_apart(jobs.read_ingested(spark, path, "observations").select("packet_hash", "observer_id", "heard_at", "seq"))
+    all_packets = kept_apart(jobs.read_ingested(spark, path, "packets").select("packet_hash", "last_heard_at"))
+    cut = dt.datetime(2024, 1, 12)
+    jobs.upkeep(spark, path, 3, as_of=F.lit(cut + dt.timedelta(days=30)).cast("timestamp"), telemetry_keep_s=29 * 86_400)
+    alive = all_packets.filter(F.col("last_heard_at") >= F.lit(cut))
+    assert 0 < alive.count() < all_packets.count()
+    left = jobs.read_ingested(spark, path, "observations")
+    key = lambda df: sorted(map(tuple, df.select("packet_hash", "observer_id", "heard_at", "seq").collect()))
+    in_old_days_of_dead = F.to_date("heard_at") < F.lit(cut).cast("date")
+    want = obs.join(alive, "packet_hash", "left_semi").unionByName(obs.join(alive, "packet_hash", "left_anti").filter(~in_old_days_of_dead))
+    assert key(left) == key(want) and len(days("observations")) < len(before)
+    assert min(days("telemetry")) == "day=2024-01-13" and len(list((tmp_path / "state" / "packets").glob("batch=*"))) == 1
+    for name in ("packets", "packet_counts"):
+        assert jobs.read_ingested(spark, path, name).count() == alive.count()
+    run_on(2)
+    assert jobs.read_ingested(spark, path, "packets").count() > alive.count()
+    assert key(jobs.read_ingested(spark, path, "observations"))[: len(key(want))] != [] and jobs.read_ingested(spark, path, "observations").count() > want.count()
+
+
+def test_state_marks_what_is_new_and_is_freed(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    schema = "seq long, arrival_ts timestamp, heard_at timestamp, packet_hash string, observer_pubkey string, payload_type int, message struct<ok:boolean>"
+    files = [
+        [(2, at(2), at(0), "a", "o", 5, (False,)), (1, at(1), at(0), "a", "o", 5, (False,)), (3, at(3), at(1), "a", "p", 5, (True,)), (4, at(4), at(1), "b", None, 4, None)],
+        [(5, at(50), at(0), "a", "o", 5, (True,)), (6, at(50), at(2), "a", "o", 5, (True,)), (7, at(51), at(1), "b", None, 4, None)],
+    ]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def marks(name, **hold):
+        got = []
+        stream = arrivals.packets_with_state(read(), **hold)
+        q = stream.writeStream.foreachBatch(lambda b, _: got.extend(b.select("seq", "new_observation", "observation_count", "new_message").collect())).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return {r.seq: tuple(r)[1:] for r in got}
+
+    def kept(name, variable):
+        return spark.read.format("statestore").option("stateVarName", variable).load(str(tmp_path / name)).count()
+
+    first_two = {1: (True, 1, False), 2: (False, None, False), 3: (True, 2, True), 4: (True, 1, False)}
+    got = marks("long")
+    assert got == first_two | {5: (False, None, False), 6: (True, 3, False), 7: (False, None, False)}
+    assert kept("long", "count") == 2 and kept("long", "last") == 2
+    freed = marks("short", hold_s=0.001, keep_s=0.002)
+    assert {k: v for k, v in freed.items() if k < 5} == first_two and freed[6][0] and freed[7] == (True, 1, False)
+    assert kept("short", "count") == kept("short", "last") == 0
+
+
+def test_state_needs_its_provider(spark, monkeypatch):
+    spark.conf.unset(arrivals.PROVIDER[0])
+    try:
+        with pytest.raises(ValueError):
+            arrivals.packets_with_state(spark.readStream.format("rate").load().select(F.lit("a").alias("packet_hash"), F.lit(1).alias("seq"), F.col("timestamp").alias("heard_at"), F.lit("o").alias("observer_pubkey"), F.lit(1).alias("payload_type")))
+    finally:
+        spark.conf.set(*arrivals.PROVIDER)
 
 
 def test_published_versions_and_upkeep(spark, tmp_path):
