@@ -131,7 +131,7 @@ def top(df: DataFrame, by: str, *, limit: int | None = 10, ties: Sequence[str] =
 
 #: How a column of the old and the new rows of a key merges.
 RULES = {
-    "sum": F.sum, "min": F.min, "max": F.max, "or": F.bool_or,
+    "sum": F.sum, "min": F.min, "max": F.max, "or": F.bool_or, "sketch": F.hll_union_agg,
     "first": lambda c: F.min_by(c, "_age"), "last": lambda c: F.max_by(c, "_age"),
     "last_known": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_age"))),
     "first_known": lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_age"))),
@@ -141,7 +141,7 @@ RULES = {
 def merge_by_key(existing: DataFrame | None, updates: DataFrame, keys: Sequence[str], rules: dict[str, str]) -> DataFrame:
     """One row per key; ``rules`` names for each other column how old and new values merge.
 
-    ``updates`` has one row per key at most; ``sum``, ``min``, ``max`` and ``or`` work on both sides, ``first`` keeps the old value,
+    ``updates`` has one row per key at most; ``sum``, ``min``, ``max``, ``or`` and ``sketch`` work on both sides, ``first`` keeps the old value,
     ``last`` takes the new one, and the ``known`` forms skip nulls.
     """
     if existing is None:

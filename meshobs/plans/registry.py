@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import channels, filters, ingest, maintenance, neighbors, nodes, observers, packets, resolve, routes, scopes, stats, traces
+from ..operators import channels, filters, ingest, maintenance, neighbors, nodes, observers, packets, resolve, routes, scopes, sketches, stats, traces
 from ..sources import dims
 from ..streaming import jobs
 from .adapters import AS_OF, Tables, with_views
@@ -76,6 +76,34 @@ def a2_stats_overview(t):
     return stats.stats_overview(t.obs, as_of=as_of())
 
 
+def _near(estimate: str, exact: str) -> Column:
+    """Whether an estimate is within 5% of the exact number, or one off."""
+    return (F.abs(F.col(estimate) - F.col(exact)) <= F.greatest(F.lit(1), F.col(exact) * 0.05)).alias(f"{exact}_near")
+
+
+def sketched_hours(t: Tables) -> DataFrame:
+    """Hours of two halves by id, merged: hours that both have are unions of sketches."""
+    return sketches.merge_hours(sketches.hourly_sketches(t.obs.filter("id % 2 = 0")), sketches.hourly_sketches(t.obs.filter("id % 2 = 1")))
+
+
+@query("SELECT iata, date_trunc('hour', heard_at)::TIMESTAMP AS hour, count(*) AS observations, count(DISTINCT packet_hash) AS packets, count(DISTINCT observer_id) AS observers, true AS packets_near, true AS observers_near FROM obs GROUP BY ALL", "obs")
+def t3_sketched_hours(t):
+    """Exact counts of each hour, and whether the merged sketches give them."""
+    exact = stats.distinct_counts(t.obs.select("iata", F.date_trunc("hour", "heard_at").alias("hour"), "packet_hash", "observer_id"), ["iata", "hour"])
+    guess = sketches.sketched_counts(sketched_hours(t), ["iata", "hour"]).select("iata", "hour", F.col("observations").alias("n"), F.col("packets").alias("p"), F.col("observers").alias("o"))
+    both = exact.join(guess, ["iata", "hour"], "left")
+    return plain(both.select("iata", "hour", F.col("n").alias("observations"), "packets", "observers", _near("p", "packets"), _near("o", "observers")), "hour")
+
+
+@query(f"SELECT iata, count(*) AS observations, count(DISTINCT packet_hash) AS packets, count(DISTINCT observer_id) AS observers, true AS packets_near, true AS observers_near FROM obs WHERE date_trunc('hour', heard_at) >= {T0} - INTERVAL 7 DAY GROUP BY iata", "obs")
+def a2_sketched_week(t):
+    """A week per place from hours alone, beside exact counts from rows."""
+    since = as_of() - F.expr("INTERVAL 7 DAYS")
+    exact = stats.distinct_counts(t.obs.filter(F.date_trunc("hour", "heard_at") >= since), ["iata"])
+    guess = sketches.sketched_counts(sketched_hours(t), ["iata"], since=since).select("iata", F.col("observations").alias("n"), F.col("packets").alias("p"), F.col("observers").alias("o"))
+    return exact.join(guess, "iata", "left").select("iata", F.col("n").alias("observations"), "packets", "observers", _near("p", "packets"), _near("o", "observers"))
+
+
 NAMES = "(VALUES " + ", ".join(f"({k}, '{v}')" for k, v in X.PAYLOAD_TYPES.items()) + ") AS names(payload_type, name)"
 
 
@@ -680,6 +708,30 @@ def t8_match_subscriptions(t):
     return jobs.match_subscriptions(events, subs).groupBy("client_id").agg(F.count(F.lit(1)).alias("events"))
 
 
+CLOCK = "CAST(floor(event_id / 4) AS BIGINT) % 90 - 45"
+
+
+@query(f"SELECT event_id AS id, CASE WHEN abs(m) <= 30 THEN ts + to_minutes(CAST(m AS INT)) ELSE ts END AS heard_at FROM (SELECT event_id, ts, {CLOCK} AS m FROM events)")
+def t2_clamped_times(t):
+    """Observers' clocks are up to 45 minutes off; beyond half an hour the arrival counts."""
+    late = t.events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("arrival_ts"), F.expr(CLOCK).alias("m"))
+    text = F.date_format(F.col("arrival_ts") + F.make_dt_interval(mins=F.col("m").cast("int")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return plain(jobs.clamp_times(late.withColumn("timestamp_text", text)).select("id", "heard_at"), "heard_at")
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, c_custkey % 9 AS a, n_regionkey AS b FROM customer JOIN nation ON n_nationkey = c_nationkey),
+ m AS (SELECT s.id, i.iata FROM s JOIN region_iatas i ON i.region_id IN (s.a, s.b) UNION SELECT id, substr('YVRYYJYYCYEGYOWYYZSEALHR', CAST(1 + 3*(id % 8) AS INT), 3) FROM s)
+ SELECT CAST(id AS VARCHAR) AS client_id, string_agg(iata, ',' ORDER BY iata) AS iatas FROM m GROUP BY id""", "region_iatas")
+def t9_subscription_places(t):
+    """A place of each client's own and the members of two regions, by number (unknown ones are skipped) and by name; a client per customer."""
+    nation = t.nation.join(t.regions, F.col("n_regionkey") == F.col("region_id")).select(F.col("n_nationkey").alias("c_nationkey"), "slug")
+    place = F.expr("substr('YVRYYJYYCYEGYOWYYZSEALHR', CAST(1 + 3*(c_custkey % 8) AS INT), 3)")
+    subs = t.customer.join(nation, "c_nationkey").select(
+        F.col("c_custkey").cast("string").alias("client_id"), F.lit("s").alias("subscription_id"), F.array(place).alias("iatas"), F.array((F.col("c_custkey") % 9).cast("int")).alias("region_ids"), F.array("slug").alias("region_slugs")
+    )
+    return jobs.expand_subscription_places(subs, t.regions, t.region_iatas).select("client_id", F.array_join("iatas", ",").alias("iatas"))
+
+
 # -- at volume ---------------------------------------------------------------------------------------------------------
 
 

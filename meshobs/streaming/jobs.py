@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import expr as X
+from ..operators import sketches
 from ..operators.ingest import UPSERTED, State, ingest_batch, merge_rules, split_messages
 from ..operators.observers import telemetry_snapshots
 from . import arrivals
@@ -45,6 +46,16 @@ def hourly_stream(stream: DataFrame, *, watermark: str = "1 hour") -> DataFrame:
     return counted.select("iata", F.col("w.start").alias("hour"), "observations", "packets", "observers")
 
 
+def hourly_sketch_stream(stream: DataFrame, path: str, checkpoint: str, *, compact_every: int = 16) -> StreamingQuery:
+    """Hours with sketches of distinct packets and observers, folded over micro-batches and kept under ``path``; late rows count whenever they come."""
+    return fold_stream(stream, sketches.hourly_sketches, sketches.KEY, sketches.RULES, path, checkpoint, compact_every=compact_every)
+
+
+def read_hours(spark: SparkSession, path: str) -> DataFrame:
+    """What ``hourly_sketch_stream`` keeps, for ``sketches.sketched_counts``."""
+    return read_folded(spark, path, sketches.KEY, sketches.RULES)
+
+
 def telemetry_stream(stream: DataFrame, *, resolution_s: int = 3600, watermark: str = "2 hours") -> DataFrame:
     """T4: the first status of each observer and window that arrives."""
     snapped = stream.withColumn("reported_at", X.truncate_ts(F.col("arrival_ts"), resolution_s))

@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from meshobs.operators import events, filters, ingest, maintenance, observers, packets
+from meshobs.operators import events, filters, ingest, maintenance, observers, packets, sketches
 from meshobs.plans import ingested
 from meshobs.plans.adapters import Tables
 from meshobs.sources import dims, messages
@@ -56,6 +56,21 @@ def test_fold_stream(spark, tmp_path, compact_every):
     assert {f.name for f in (tmp_path / "out").iterdir()} == ({"base=1", "base=3", "delta=2", "delta=3", "delta=4"} if compact_every == 2 else {f"delta={k}" for k in range(5)})
 
 
+def test_sketches_fold_over_batches(spark, tmp_path):
+    rows = Tables(spark, SF).obs
+    rows.repartition(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.hourly_sketch_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), compact_every=2).awaitTermination()
+    hours = jobs.read_hours(spark, str(tmp_path / "out"))
+    got = {(r.iata, r.hour): r for r in sketches.sketched_counts(hours, ["iata", "hour"]).collect()}
+    want = rows.groupBy("iata", F.date_trunc("hour", "heard_at").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("packet_hash").alias("p"), F.countDistinct("observer_id").alias("o")).collect()
+    assert {k: (r.observations, r.packets, r.observers) for k, r in got.items()} == {(r.iata, r.hour): (r.n, r.p, r.o) for r in want}
+    all_of = sketches.sketched_counts(hours).first()
+    exact = rows.agg(F.countDistinct("packet_hash").alias("p"), F.countDistinct("observer_id").alias("o"), F.countDistinct("iata").alias("i")).first()
+    assert all_of.observations == rows.count() and abs(all_of.packets - exact.p) < 0.05 * exact.p and all_of.observers == exact.o and all_of.places == exact.i
+    assert sketches.sketched_counts(hours, iatas=["none"]).first().packets == 0
+
+
 def test_telemetry_streams(spark, tmp_path):
     status = ingested.decoded_statuses(Tables(spark, SF)).select("pubkey", "seq", "arrival_ts", "stats")
     for k in range(3):  # in order of arrival, with windows across files
