@@ -31,8 +31,12 @@ from .bpe_ids import json_coder
 from .common import Scratch
 
 ROUNDS = 6
+#: Records that a dictionary for compressing the others is made from, and its bytes; it decides how small they get, never what they hold.
+DICTIONARY_RECORDS, DICTIONARY_BYTES = 2000, 112_640
 #: Bytes of text in a stream, and the most streams and partitions.
 STREAM, STREAMS, PARTITIONS = 16 << 20, 65_536, 20_000
+#: Copies of one row that a task makes.
+COPIES = 1000
 RECORD = "slot long, shard int, byte_offset long, seq long, doc_id long, start long, n_tokens int, record_crc32 long, record binary"
 
 
@@ -76,7 +80,10 @@ def dealt_documents(docs: DataFrame, streams: int | None) -> tuple[DataFrame, in
         rows = rows.withColumn("tie", F.lit(""))
     else:  # copies of one row are alike: each gets its number, so that many of them do not meet in one stream
         same = rows.groupBy("doc_id", F.sha2("text", 256).alias("sha")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
-        rows = same.select("doc_id", "text", "sha", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).withColumn("tie", F.format_string("%s-%012d", "sha", "copy"))
+        # Many copies are made by many tasks, some to each.
+        some = same.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))).repartition("doc_id", "sha", "part")
+        copies = F.sequence(F.col("part") * COPIES + 1, F.least("n", (F.col("part") + 1) * COPIES))
+        rows = some.select("doc_id", "text", "sha", F.explode(copies).alias("copy")).withColumn("tie", F.format_string("%s-%012d", "sha", "copy"))
     return rows.select(F.pmod(F.xxhash64("doc_id", "tie"), F.lit(streams)).cast("int").alias("stream"), "doc_id", "tie", "text"), streams
 
 
@@ -141,17 +148,34 @@ def cut_sequences(docs: DataFrame, tokenizer: str, length: int, end_id: int, str
     return ordered.select("stream", "doc_id", "ids").mapInArrow(cut, "stream int, local long, doc_id long, start long, n_tokens int, record binary")
 
 
-def training_order(docs: DataFrame, tokenizer: str, key: str, length: int = 1024, end_id: int = 50256, shard_records: int = 4096, streams: int | None = None, zipped: bool = False) -> DataFrame:
+def training_order(docs: DataFrame, tokenizer: str, key: str, length: int = 1024, end_id: int = 50256, shard_records: int = 4096, streams: int | None = None) -> DataFrame:
     """One record per sequence, partitioned by ranges of slots and sorted by slot.
 
     ``seq`` is the sequence's number, ``slot`` its place in training order; ``byte_offset`` is the place in its
     shard, ``doc_id`` and ``start`` name its first token, ``n_tokens`` counts those that are not filling.
-    If ``zipped``, records are compressed one by one, as ``write_shards`` can take them.
     """
+    return _ordered(docs, tokenizer, key, length, end_id, shard_records, streams, zipped=False)[0]
+
+
+def dictionary(sequences: DataFrame) -> bytes:
+    """A dictionary for records, from some of them; empty if there are too few."""
+    some = [r.as_py() for r in sequences.select("record").limit(DICTIONARY_RECORDS).toArrow()["record"]]
+    if len(some) < DICTIONARY_RECORDS // 4:
+        return b""
+    return zstandard.train_dictionary(DICTIONARY_BYTES, some).as_bytes()
+
+
+def _coder(words: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
+
+
+def _ordered(docs: DataFrame, tokenizer: str, key: str, length: int, end_id: int, shard_records: int, streams: int | None, zipped: bool) -> tuple[DataFrame, bytes]:
+    """``training_order``, its records compressed one by one if ``zipped``, and the dictionary that unpacks them."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "training-order")
     sequences = scratch.save(cut_sequences(docs, tokenizer, length, end_id, streams), "sequences", compression="zstd")
     scratch.drop()
+    words = dictionary(sequences) if zipped else b""
     base, n = {}, 0
     for r in sequences.groupBy("stream").count().orderBy("stream").collect():  # STREAMS rows at most
         base[r["stream"]], n = n, n + r["count"]
@@ -165,7 +189,7 @@ def training_order(docs: DataFrame, tokenizer: str, key: str, length: int = 1024
                 records = batch.column("record")
                 crc = [zlib.crc32(r.as_buffer()) for r in records]
                 if zipped:
-                    zip_one = zstandard.ZstdCompressor(level=1).compress
+                    zip_one = zstandard.ZstdCompressor(level=3, **_coder(words)).compress
                     records = pa.array([zip_one(r.as_buffer()) for r in records], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(slot), pa.array((slot // shard_records).astype(np.int32)), pa.array(slot % shard_records * 2 * length), pa.array(seq), *(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64()), records],
@@ -176,16 +200,16 @@ def training_order(docs: DataFrame, tokenizer: str, key: str, length: int = 1024
     n_shards = max(1, -(-n // shard_records))
     n_parts = min(n_shards, PARTITIONS)
     part = F.floor(F.col("shard").cast("long") * n_parts / n_shards).cast("int")
-    return sequences.mapInArrow(place, RECORD).repartitionById(n_parts, part).sortWithinPartitions("slot")
+    return sequences.mapInArrow(place, RECORD).repartitionById(n_parts, part).sortWithinPartitions("slot"), words
 
 
 INDEX = "slot long, shard int, byte_offset long, seq long, doc_id long, start long, n_tokens int, record_crc32 long"
 
 
-def write_shards(ordered: DataFrame, folder: str, zipped: bool = False) -> DataFrame:
+def write_shards(ordered: DataFrame, folder: str, zipped: bool = False, words: bytes = b"") -> DataFrame:
     """Write the records as ``shard-NNNNNN.bin`` files below ``folder``, a path or URI that every executor reaches.
 
-    A file appears under its name only when whole, so a task that is run again replaces it with the same bytes.
+    ``zipped`` records are unpacked with the dictionary ``words``.  A file appears under its name only when whole, so a task that is run again replaces it with the same bytes.
     Returns the rows without their records; running it writes the files.
     """
 
@@ -193,7 +217,7 @@ def write_shards(ordered: DataFrame, folder: str, zipped: bool = False) -> DataF
         fs, root = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        file, shard, unzip = None, None, zstandard.ZstdDecompressor().decompress
+        file, shard, unzip = None, None, zstandard.ZstdDecompressor(**_coder(words)).decompress
 
         def close() -> None:
             file.close()
@@ -227,13 +251,20 @@ def read_back(spark: SparkSession, folder: str, n_records: int, length: int = 10
     return spark.range(0, n_shards, 1, max(1, min(n_shards, PARTITIONS))).mapInArrow(read, "slot long, stored_crc32 long")
 
 
-def materialise(docs: DataFrame, tokenizer: str, key: str, folder: str | None = None, length: int = 1024, shard_records: int = 4096, **options) -> DataFrame:
-    """Write the shards of ``training_order`` below ``folder`` and return their index, with ``stored_crc32`` as read from the files again."""
+def materialise(docs: DataFrame, tokenizer: str, key: str, folder: str | None = None, length: int = 1024, shard_records: int = 4096, **options: int) -> DataFrame:
+    """Write the shards of ``training_order`` below ``folder`` and return their index, with ``stored_crc32`` as read from the files again.
+
+    Reading the index fails if a record is missing from the files or differs from what was written.  Writing onto a folder that has
+    shards replaces them, on file systems whose ``move`` replaces a file: local ones, HDFS and object stores.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "training-shards")
     folder = folder or f"{scratch.path if '://' in scratch.path else 'file://' + scratch.path}/shards"
-    index = scratch.save(write_shards(training_order(docs, tokenizer, key, length=length, shard_records=shard_records, zipped=True, **options), folder, zipped=True), "index")
-    return index.join(read_back(spark, folder, index.count(), length, shard_records), "slot", "left")
+    ordered, words = _ordered(docs, tokenizer, key, length, options.pop("end_id", 50256), shard_records, options.pop("streams", None), zipped=True)
+    index = scratch.save(write_shards(ordered, folder, zipped=True, words=words), "index")
+    both = index.join(read_back(spark, folder, index.count(), length, shard_records), "slot", "left")
+    wrong = F.raise_error(F.format_string("record %d is not in the files as it was written", "slot"))
+    return both.withColumn("stored_crc32", F.when(F.col("stored_crc32") == F.col("record_crc32"), F.col("stored_crc32")).otherwise(wrong))
 
 
 def read_from(folder: str, slot: int, count: int, length: int = 1024, shard_records: int = 4096) -> np.ndarray:

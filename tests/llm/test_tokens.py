@@ -200,5 +200,30 @@ def test_materialised_shards_hold_the_records(spark, rows):
     assert all(r.stored_crc32 == r.record_crc32 for r in got) and bool(got) == bool(rows)
 
 
+def test_shards_are_written_over_and_checked(spark, tmp_path):
+    """With a dictionary; a second write onto the folder replaces what is there, and a damaged file is noticed."""
+    docs, folder = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), f"file://{tmp_path}/shards"
+    options = {"folder": folder, "length": 64, "shard_records": 500}
+    first = order.materialise(docs, JSON, "k", **options).collect()
+    assert len(first) > order.DICTIONARY_RECORDS and all(r.stored_crc32 == r.record_crc32 for r in first)
+    before = {f.name: f.read_bytes() for f in (tmp_path / "shards").iterdir()}
+    again = order.materialise(docs, JSON, "k", **options)
+    assert sorted(again.collect()) == sorted(first) and {f.name: f.read_bytes() for f in (tmp_path / "shards").iterdir()} == before
+    other = order.materialise(docs, JSON, "another", **options)
+    assert {r.slot: r.record_crc32 for r in other.collect()} != {r.slot: r.record_crc32 for r in first}
+    last, name = order.materialise(docs, JSON, "k", **options), sorted(before)[0]
+    (tmp_path / "shards" / name).write_bytes(bytes([before[name][0] ^ 1]) + before[name][1:])
+    with pytest.raises(Exception, match="not in the files"):
+        last.collect()
+
+
+def test_many_copies_of_one_row_are_made_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(order, "COPIES", 7)
+    rows = [(5, "alike", "en", "a", 1)] * 50 + [(6, "other", "en", "a", 1), (6, "third", "en", "a", 1), (None, None, None, None, None)]
+    dealt, _ = order.dealt_documents(frame(spark, rows), 3)
+    found = dealt.collect()
+    assert sorted(r.text for r in found) == sorted(r[1] or "" for r in rows) and len({(r.doc_id, r.tie) for r in found}) == len(rows)
+
+
 def test_training_order_of_nothing(spark):
     assert order.training_order(frame(spark, []), JSON, "k").count() == 0
