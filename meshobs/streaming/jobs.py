@@ -14,6 +14,7 @@ from ..functions import expr as X
 from ..operators import sketches
 from ..operators.ingest import UPSERTED, State, ingest_batch, merge_rules, split_messages
 from ..operators.observers import telemetry_snapshots
+from ..sources.messages import to_event_json
 from . import arrivals
 from .store import Store
 
@@ -110,6 +111,7 @@ def marked_arrivals(messages: DataFrame, decode: Callable[[DataFrame], DataFrame
 def run_ingest_stream(
     messages: DataFrame, decode: Callable[[DataFrame], DataFrame], scopes: DataFrame, keys: DataFrame, state_dir: str, checkpoint: str, *, airports: DataFrame | None = None, countries=(), continents=(),
     hold_s: float = arrivals.HOLD_S, keep_s: float = arrivals.KEEP_S, upkeep_every: int = 100, telemetry_keep_s: float = 28 * 86_400,
+    subscriptions: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """W-A, T5, T6, T10: the ingest batch over a stream of messages, with all its tables kept under ``state_dir``; ``read_ingested`` reads them.
 
@@ -117,6 +119,8 @@ def run_ingest_stream(
     observations, messages or telemetry of earlier ones: it appends new observations and telemetry by day, events and rejects by batch, and of packets, messages and counts the
     rows that it touched, which readers merge.  Tables with a row per device, place or route are read and written whole, and older versions go.  A micro-batch that is run again
     overwrites its own folders, so nothing counts twice.  Every ``upkeep_every`` batches ``upkeep`` merges and prunes what is kept, between two batches.
+
+    ``subscriptions`` reads the clients' subscriptions, anew for each micro-batch; its events then go to ``deliveries`` (S9, T8), a row per client that wants one, as the text that it gets.
     """
     spark = messages.sparkSession
     store = Store(spark, state_dir)
@@ -140,6 +144,10 @@ def run_ingest_stream(
             else:
                 store.append(name, df, number)
         store.append("rejects", of("reject"), number)
+        if subscriptions is not None:
+            told = save(store.read_batch("events", number).withColumn("event_id", F.monotonically_increasing_id()), "told")
+            wanted = match_subscriptions(told, subscriptions())
+            store.append("deliveries", to_event_json(told).join(wanted, "event_id").select("client_id", "type", "iata", "value"), number)
         for name in WHOLE:
             store.forget(name, number - 2)
         if (number + 1) % upkeep_every == 0:
@@ -199,7 +207,7 @@ def read_ingested(spark: SparkSession, state_dir: str, name: str, *, since: Colu
         for bound, keep in ((since, lambda b: F.col(BY_DAY[name]) >= b), (until, lambda b: F.col(BY_DAY[name]) <= b)):
             rows = rows if bound is None else rows.filter(keep(bound))
         return rows
-    return store.appended(name, None) if name in ("events", "rejects") else store.latest(name, None)
+    return store.appended(name, None) if name in ("events", "rejects", "deliveries") else store.latest(name, None)
 
 
 def match_subscriptions(events: DataFrame, subs: DataFrame) -> DataFrame:

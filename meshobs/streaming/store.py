@@ -43,6 +43,9 @@ class Store:
     def append(self, table: str, df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{table}/batch={number}")
 
+    def read_batch(self, table: str, number: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{table}/batch={number}")
+
     def appended(self, table: str, before: int | None) -> DataFrame | None:
         """The rows of all batches before a number."""
         found = self._read(table, self._numbers(table, "batch", before))

@@ -1,6 +1,7 @@
 """Streams give what the batch jobs give."""
 
 import datetime as dt
+import json
 import os
 import shutil
 import time
@@ -122,7 +123,7 @@ def feed(base, folder, k):
 
 
 def test_ingest_stream_equals_one_batch(spark, tmp_path, raw_messages, monkeypatch):
-    """Three micro-batches, with a restart after the first, leave the tables that one batch of all messages gives, and read no history but small tables."""
+    """Three micro-batches, with a restart after the first and the last run twice, leave the tables that one batch of all messages gives, and read no history but small tables."""
     base, everything, decode, keys = raw_messages
     scopes = dims.scope_dim(spark, ingested.SCOPES)
     reads = []
@@ -132,14 +133,33 @@ def test_ingest_stream_equals_one_batch(spark, tmp_path, raw_messages, monkeypat
 
     def run_on():
         stream = messages.read_messages(spark, str(tmp_path / "in"), streaming=True, fmt="parquet", maxFilesPerTrigger="1")
-        jobs.run_ingest_stream(stream, decode, scopes, keys, path, str(tmp_path / "cp")).awaitTermination()
+        jobs.run_ingest_stream(stream, decode, scopes, keys, path, str(tmp_path / "cp"), subscriptions=lambda: spark.read.parquet(str(tmp_path / "subs"))).awaitTermination()
 
+    def subscribe(client, **lists):
+        row = (client, *(lists.get(n, []) for n in ("iatas", "payload_types", "channel_hashes", "events")))
+        spark.createDataFrame([row], "client_id string, iatas array<string>, payload_types array<int>, channel_hashes array<string>, events array<string>").write.mode("append").parquet(str(tmp_path / "subs"))
+
+    subscribe("early", iatas=["YVR"], events=["packetObservation", "observerStatus"])
     feed(base, tmp_path / "in", 0)
     run_on()
     feed(base, tmp_path / "in", 1)
     feed(base, tmp_path / "in", 2)
+    subscribe("late", payload_types=[0], events=["channelMessage"])
     run_on()
+    last = max(int(f.name) for f in (tmp_path / "cp" / "commits").iterdir() if f.name.isdigit())
+    for k in (last, last - 1):  # as if the stream had stopped before it could note that the last batch with rows was done
+        (tmp_path / "cp" / "commits" / str(k)).unlink()
+        (tmp_path / "cp" / "commits" / f".{k}.crc").unlink(missing_ok=True)
+    (tmp_path / "cp" / "offsets" / str(last)).unlink()
+    (tmp_path / "cp" / "offsets" / f".{last}.crc").unlink(missing_ok=True)
     assert reads == []  # tables of many batches are not read by the stream
+    stamps = {f: f.stat().st_mtime_ns for f in (tmp_path / "state" / "events").glob("batch=*/_SUCCESS")}
+    run_on()
+    assert sum(f.stat().st_mtime_ns > t for f, t in stamps.items()) == 1
+    events_of = lambda where: [json.loads(r.value)["event"] for r in jobs.read_ingested(spark, path, "deliveries").filter(where).collect()]
+    told = jobs.read_ingested(spark, path, "events")
+    assert len(events_of("client_id = 'early'")) == told.filter("iata = 'YVR' AND type IN ('packetObservation', 'observerStatus')").count() > 0
+    assert 0 < len(events_of("client_id = 'late'")) < told.filter("type = 'channelMessage'").count()
     parts = ingest.split_messages(everything)
     want = ingest.ingest_batch(decode(parts["packets"]), parts["status"], scopes, keys, save=ingested.saver(spark, "t"))
     got = {name: jobs.read_ingested(spark, path, name) for name in want}
