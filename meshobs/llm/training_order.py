@@ -159,7 +159,7 @@ def training_order(docs: DataFrame, tokenizer: str, key: str, length: int = 1024
 
 def dictionary(sequences: DataFrame) -> bytes:
     """A dictionary for records, from some of them; empty if there are too few."""
-    some = [r.as_py() for r in sequences.select("record").limit(DICTIONARY_RECORDS).toArrow()["record"]]
+    some = [bytes(r["record"]) for r in sequences.select("record").take(DICTIONARY_RECORDS)]
     if len(some) < DICTIONARY_RECORDS // 4:
         return b""
     return zstandard.train_dictionary(DICTIONARY_BYTES, some).as_bytes()
@@ -173,7 +173,7 @@ def _ordered(docs: DataFrame, tokenizer: str, key: str, length: int, end_id: int
     """``training_order``, its records compressed one by one if ``zipped``, and the dictionary that unpacks them."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "training-order")
-    sequences = scratch.save(cut_sequences(docs, tokenizer, length, end_id, streams), "sequences", compression="zstd")
+    sequences = scratch.save(cut_sequences(docs, tokenizer, length, end_id, streams), "sequences", compression="zstd", **{"parquet.compression.codec.zstd.level": "9"})
     scratch.drop()
     words = dictionary(sequences) if zipped else b""
     base, n = {}, 0
@@ -189,7 +189,7 @@ def _ordered(docs: DataFrame, tokenizer: str, key: str, length: int, end_id: int
                 records = batch.column("record")
                 crc = [zlib.crc32(r.as_buffer()) for r in records]
                 if zipped:
-                    zip_one = zstandard.ZstdCompressor(level=3, **_coder(words)).compress
+                    zip_one = zstandard.ZstdCompressor(level=9, **_coder(words)).compress
                     records = pa.array([zip_one(r.as_buffer()) for r in records], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(slot), pa.array((slot // shard_records).astype(np.int32)), pa.array(slot % shard_records * 2 * length), pa.array(seq), *(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64()), records],
