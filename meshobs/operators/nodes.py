@@ -13,9 +13,10 @@ from .neighbors import neighbor_counts, node_neighbors_merged
 
 
 def node_places(node_iatas: DataFrame) -> DataFrame:
-    """Per node an array of places and when they were last heard, newest first."""
-    each = F.struct(X.epoch_ms(F.col("last_heard")).alias("last_heard_ms"), "iata")
-    return node_iatas.groupBy("node_id").agg(F.sort_array(F.collect_list(each), asc=False).alias("places"))
+    """Per node an array of places and when they were last heard, newest first by the whole time, of which milliseconds are shown."""
+    newest = F.sort_array(F.collect_list(F.struct("last_heard", "iata")), asc=False)
+    shown = F.transform(newest, lambda p: F.struct(X.epoch_ms(p["last_heard"]).alias("last_heard_ms"), p["iata"].alias("iata")))
+    return node_iatas.groupBy("node_id").agg(shown.alias("places"))
 
 
 def fold_nodes(adverts: DataFrame, *, existing: DataFrame | None = None) -> DataFrame:

@@ -42,6 +42,13 @@ def test_fold_nodes(spark):
     assert (r.node_type, r.name, r.latitude, r.longitude, r.radio_freq_mhz, r.first_seen, r.last_seen) == (3, "", 49.0, 0.0, None, T(1), T(2))
 
 
+def test_node_places_within_a_millisecond(spark):
+    times = [dt.datetime(2024, 1, 1, 0, 0, 0, us) for us in (100, 900)]
+    places = spark.createDataFrame([(1, "YVR", times[0]), (1, "LHR", times[1])], "node_id long, iata string, last_heard timestamp")
+    (found,) = nodes.node_places(places).collect()
+    assert [tuple(p) for p in found.places] == [(1_704_067_200_000, "LHR"), (1_704_067_200_000, "YVR")]
+
+
 def test_match_scope(spark):
     dim = dims.scope_dim(spark, ["bc", "west"])
     key = bytes.fromhex("84509cfe73d94f7f6a8299e6bcdb8a3c")
