@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from .filters import after_id, between, equals, heard_in, merge_by_key, page_by_id, page_desc
-from .resolve import resolve_paths
+from .resolve import candidates_by_prefix, count_candidates, explode_hops
 
 FIRST = ["payload_type", "payload_version", "route_type", "region_code", "sub_region_code", "scope_id", "origin_pubkey", "raw_payload", "raw_header", "parsed_payload", "channel_hash", "trace_tag"]
 
@@ -78,8 +78,13 @@ def packet_detail(packets: DataFrame, obs: DataFrame, observers: DataFrame, scop
 
     An observation carries what ``obs`` has of the path's width, RSSI, radio and broker.  For a trace with ``trace_hashes``, ``route`` holds its
     resolved hops merged over places, else it is null.  A packet without observations has an empty array.
+
+    Hops of paths and routes tell their confidence and number of ``candidates``.  Who these are stands once per packet in ``candidates``, an array of ``iata, hop, node_ids``:
+    a short hop has a fixed share of a place's nodes as candidates, so lists at every hop would grow with the square of the input.
     """
-    paths = resolve_paths(obs, short_ids, nodes).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "hop", "confidence", "node_ids"))).alias("path"))
+    hops = count_candidates(explode_hops(obs), short_ids, nodes)
+    paths = hops.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "hop", "confidence", "candidates"))).alias("path"))
+    met = explode_hops(obs).select("packet_hash", "iata", "hop")
     rows = propagation_ms(obs).join(paths, "id", "left").join(observers.select("observer_id", F.col("display_name").alias("observer_name")), "observer_id", "left")
     optional = [c for c in ("path_length_byte", "hash_size", "rssi", "radio_freq_mhz", "bandwidth_khz", "spread_factor", "coding_rate", "source_broker") if c in obs.columns]
     each = F.struct("heard_at", "id", "observer_id", "observer_name", "iata", "propagation_ms", "hop_count", *optional, "snr", "path")
@@ -91,11 +96,17 @@ def packet_detail(packets: DataFrame, obs: DataFrame, observers: DataFrame, scop
     if {"trace_hashes", "trace_flags", "trace_tag"} <= set(packets.columns):
         from .traces import trace_detail
 
-        hop = F.struct("pos", "hop", "confidence", "node_ids", "iata", "snr")
-        route = trace_detail(packets, obs, short_ids, nodes).groupBy("packet_hash").agg(F.sort_array(F.collect_list(hop)).alias("route"))
+        hop = F.struct("pos", "hop", "confidence", "candidates", "iata", "snr")
+        traced = trace_detail(packets, obs, short_ids, nodes).drop("node_ids")
+        met = met.unionByName(traced.filter("candidates > 0").select("packet_hash", "iata", "hop"))
+        route = traced.groupBy("packet_hash").agg(F.sort_array(F.collect_list(hop)).alias("route"))
         found = found.join(route, "packet_hash", "left")
+    # Not computed where ``candidates`` is not asked for: a left join to one row per packet.
+    who = met.distinct().join(candidates_by_prefix(short_ids, nodes), ["iata", "hop"]).groupBy("packet_hash").agg(F.sort_array(F.collect_list(F.struct("iata", "hop", "node_ids"))).alias("candidates"))
+    found = found.join(who, "packet_hash", "left")
     empty = F.array().cast(heard.schema["observations"].dataType)
-    return found.withColumns({"observations": F.coalesce("observations", empty), "spread_ms": F.coalesce("spread_ms", F.lit(0))}).drop("sender_name", "content", "sent_at")
+    nobody = F.array().cast(who.schema["candidates"].dataType)
+    return found.withColumns({"observations": F.coalesce("observations", empty), "candidates": F.coalesce("candidates", nobody), "spread_ms": F.coalesce("spread_ms", F.lit(0))}).drop("sender_name", "content", "sent_at")
 
 
 def node_observations(obs: DataFrame, packets: DataFrame, observers: DataFrame, *, cursor: int | None = None, limit: int | None = None, public_key: str | None = None) -> DataFrame:

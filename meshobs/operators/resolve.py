@@ -18,6 +18,15 @@ def candidates_by_prefix(short_ids: DataFrame, nodes: DataFrame) -> DataFrame:
     return relays.select("iata", "node_id", prefixes).groupBy("iata", "hop").agg(F.sort_array(F.collect_set("node_id")).alias("node_ids"))
 
 
+def count_candidates(hops: DataFrame, short_ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``hops`` with ``candidates`` and ``confidence`` but without the candidates, whose lists grow with the nodes of a place."""
+    prefixes = F.explode(F.array(*(X.key_prefix(F.col("prefix_4"), n) for n in (1, 2, 3, 4)))).alias("hop")
+    relays = short_ids.join(nodes.filter(F.col("node_type").isin(X.REPEATER, X.ROOM_SERVER)).select("node_id"), "node_id", "left_semi")
+    counts = relays.select("iata", prefixes, "node_id").groupBy("iata", "hop").agg(F.count_distinct("node_id").cast("int").alias("candidates"))
+    found = hops.join(counts, ["iata", "hop"], "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    return found.withColumn("confidence", X.hop_confidence(F.col("candidates")))
+
+
 def relay_prefixes(short_ids: DataFrame, nodes: DataFrame, *, node_iatas: DataFrame | None = None) -> DataFrame:
     """``iata, hop, node_id, first_heard`` of repeaters and room servers by each prefix of 1 to 4 bytes.
 

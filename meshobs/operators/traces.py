@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from .filters import between, equals, heard_in, page_desc, trace_typed
-from .resolve import resolve_hops
+from .resolve import candidates_by_prefix, count_candidates
 
 
 def best_trace_payload(packets: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def trace_tags(
 
 
 def trace_detail(packets: DataFrame, obs: DataFrame, short_ids: DataFrame, nodes: DataFrame, *, tag: str | None = None) -> DataFrame:
-    """``packet_hash, pos, hop, confidence, node_ids, iata, snr`` of each traced hop, merged over the places that heard the packet.
+    """``packet_hash, pos, hop, confidence, node_ids, iata, snr, candidates`` of each traced hop, merged over the places that heard the packet.
 
     ``snr`` is the hop's of ``trace_snr``, quarter decibels of signed bytes, where ``packets`` has that column and so many values.  Per hop the highest confidence wins (high, then ambiguous, then none), on ties the place that heard the packet first.  ``packets``
     has ``trace_hashes``, an array of hop hashes; a hash that is not as wide as ``trace_flags`` says resolves to nothing.
@@ -59,10 +59,13 @@ def trace_detail(packets: DataFrame, obs: DataFrame, short_ids: DataFrame, nodes
     width = X.trace_hash_width(F.col("trace_flags"))
     hops = hops.withColumn("hop", F.when(F.length("raw_hop") == 2 * width, F.col("raw_hop")))
     places = obs.groupBy("packet_hash", "iata").agg(F.min(F.struct("heard_at", "id")).alias("heard"))
-    resolved = resolve_hops(hops.join(places, "packet_hash", "left"), short_ids, nodes)
+    resolved = count_candidates(hops.join(places, "packet_hash", "left"), short_ids, nodes)
     rank = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "ambiguous", 1).otherwise(2)
-    best = F.min_by(F.struct("confidence", "node_ids", "iata"), F.struct(rank.alias("rank"), "heard", "iata")).alias("b")
-    return resolved.groupBy("packet_hash", "pos", F.col("raw_hop").alias("hop")).agg(best, F.first("snr").alias("snr")).select("packet_hash", "pos", "hop", "b.*", "snr")
+    best = F.min_by(F.struct("confidence", "iata", "candidates", F.col("hop").alias("known")), F.struct(rank.alias("rank"), "heard", "iata")).alias("b")
+    chosen = resolved.groupBy("packet_hash", "pos", F.col("raw_hop").alias("hop")).agg(best, F.first("snr").alias("snr")).select("packet_hash", "pos", "hop", "snr", "b.*")
+    # The candidates come last, so no aggregation carries their lists.
+    ids = candidates_by_prefix(short_ids, nodes).withColumnRenamed("hop", "known")
+    return chosen.join(ids, ["iata", "known"], "left").select("packet_hash", "pos", "hop", "confidence", "node_ids", "iata", "snr", "candidates")
 
 
 def retag_pings(packets: DataFrame) -> DataFrame:

@@ -80,6 +80,29 @@ def test_resolution_as_of_arrival(spark):
     assert timed[7, 0] == ("high", [1]) and timed[8, 1] == ("none", [])
 
 
+def test_packet_detail_keeps_candidates_once(spark):
+    """Hops count their candidates, whose ids stand once per packet; who does not ask for them shuffles no list of ids."""
+    from meshobs.operators import packets
+
+    n = 300
+    known = spark.createDataFrame([(i, 2) for i in range(n)], "node_id long, node_type int")
+    short = spark.createDataFrame([(i, "YVR", f"aa{i:06x}") for i in range(n)], "node_id long, iata string, prefix_4 string")
+    obs = spark.createDataFrame([(i, "p", "YVR", "aaaabb", 1, T(i), 1, 3, 1.0) for i in range(4)], "id long, packet_hash string, iata string, path_bytes string, hash_size int, heard_at timestamp, observer_id long, hop_count int, snr double")
+    table = spark.createDataFrame([("p", None, "t", 0, ["aa", "cc"])], "packet_hash string, scope_id int, trace_tag string, trace_flags int, trace_hashes array<string>")
+    named = spark.createDataFrame([(1, "o")], "observer_id long, display_name string")
+    scope_list = spark.createDataFrame([(1, "#a")], "scope_id int, name string")
+    texts = spark.createDataFrame([], "packet_hash string, sender_name string, content string, sent_at timestamp")
+    found = packets.packet_detail(table, obs, named, scope_list, texts, short, known)
+    r = found.first()
+    assert [(h.hop, h.confidence, h.candidates) for h in r.observations[3].path] == [("aa", "ambiguous", n), ("aa", "ambiguous", n), ("bb", "none", 0)]
+    assert [(h.hop, h.confidence, h.candidates, h.iata) for h in r.route] == [("aa", "ambiguous", n, "YVR"), ("cc", "none", 0, "YVR")]
+    assert [(c.iata, c.hop, c.node_ids) for c in r.candidates] == [("YVR", "aa", list(range(n)))]
+    traced = traces.trace_detail(table, obs, short, known).orderBy("pos").collect()
+    assert [(h.hop, h.confidence, h.node_ids) for h in traced] == [("aa", "ambiguous", list(range(n))), ("cc", "none", None)]
+    plan = found.select("packet_hash", "observations", "route")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
+
+
 def test_reconfirm_width(spark):
     table = spark.createDataFrame([([1, 2], ["aa", "bb"], "YVR", 1)], "node_ids array<long>, hash_prefix array<string>, iata string, id long")
     short = spark.createDataFrame([(1, "YVR", "aabb0000"), (2, "YVR", "bb000000"), (3, "YVR", "aacc0000")], "node_id long, iata string, prefix_4 string")
