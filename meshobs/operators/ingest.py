@@ -107,13 +107,13 @@ def ingest_batch(
     radios = None if stored is None else stored.select(
         F.col("public_key").alias("observer_id"), F.col("radio_freq_mhz").alias("freq"), F.col("radio_bw_khz").alias("bw"), F.col("radio_sf").alias("sf"), F.col("radio_cr").alias("cr")
     )
-    arrivals = attach_radio(
-        rows.select("seq", "arrival_ts", "broker", "iata", "observer_id", "packet_hash", "payload_type", "route_type", "scope_id", "channel_hash", "heard_at", "hash_size", "hop_count", "path_bytes", "rssi", "snr", "advert", F.col("seq").alias("id"), *marks),
-        status.select(F.col("pubkey").alias("observer_id"), "seq", "arrival_ts", X.parse_radio(F.col("radio")).alias("r")).select("observer_id", "seq", "arrival_ts", "r.*"), stored=radios,
+    arrivals = rows.select(
+        "seq", "arrival_ts", "broker", "iata", "observer_id", "packet_hash", "payload_type", "route_type", "scope_id", "channel_hash", "heard_at", "hash_size", "hop_count", "path_bytes", "rssi", "snr", "advert", F.col("seq").alias("id"), *marks
     )
-    arrivals = save(arrivals, "arrivals")
-    fresh = arrivals.filter("new_observation").drop("new_observation") if marked else dedup_observations(arrivals, existing=known_obs)
-    inserted = save(fresh, "inserted")
+    # Routes and capabilities need no radio values, so only new observations get them.
+    fresh = save(arrivals.filter("new_observation").drop("new_observation") if marked else dedup_observations(arrivals, existing=known_obs), "fresh")
+    radio = status.select(F.col("pubkey").alias("observer_id"), "seq", "arrival_ts", X.parse_radio(F.col("radio")).alias("r")).select("observer_id", "seq", "arrival_ts", "r.*")
+    inserted = save(attach_radio(fresh, radio, stored=radios), "inserted")
     adverts = inserted.filter((F.col("payload_type") == X.PAYLOAD_ADVERT) & F.col("advert").isNotNull())
     named = adverts.withColumns({"public_key": F.col("advert.pubkey"), "node_id": F.col("advert.pubkey"), "node_type": F.col("advert.type")})
     nodes = save(fold_nodes(adverts, existing=state.get("nodes")).withColumn("node_id", F.col("public_key")), "nodes")
